@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketfeat.functions.numeric import clip, ieee_divide, ieee_ln, nonzero, rolling
-from marketfeat.operators.series import Layout, over_series
+from marketfeat.operators.series import Layer, Layout, Stage, over_series, run_layers, series_layers
 
 # The feature columns in their order, and the bounds of the returns per horizon.
 FEATURE_COLUMNS = (
@@ -30,70 +30,89 @@ THRESHOLD = 0.01
 
 # -- window features ----------------------------------------------------------------
 
-def return_layer(df: DataFrame, lay: Layout, bounds: dict[int, float] = RETURN_BOUNDS) -> DataFrame:
-    cols = {}
-    for n, bound in bounds.items():
-        base = F.col("ldcp") if n == 1 else F.lag("close", n).over(lay.window)
-        cols[f"ret_{n}d"] = clip(ieee_ln(ieee_divide(F.col("close"), base)), -bound, bound)
-    return df.withColumns(cols)
+def return_layer(bounds: dict[int, float] = RETURN_BOUNDS) -> Layer:
+    def layer(lay: Layout) -> list[Stage]:
+        bases = {n: "ldcp" if n == 1 else f"_close_{n}" for n in bounds}
+        return [
+            {f"_close_{n}": F.lag("close", n).over(lay.window) for n in bounds if n != 1},
+            {f"_ratio_{n}": ieee_divide(F.col("close"), F.col(base)) for n, base in bases.items()},
+            {f"_ln_{n}": ieee_ln(F.col(f"_ratio_{n}")) for n in bounds},
+            {f"ret_{n}d": clip(F.col(f"_ln_{n}"), -bound, bound) for n, bound in bounds.items()},
+        ]
+
+    return layer
 
 
 def log_returns(df: DataFrame, bounds: dict[int, float] = RETURN_BOUNDS, **series) -> DataFrame:
     """Clipped log returns; the one-day return uses ``ldcp``, the others the n-th row before."""
-    return over_series(df, lambda d, lay: return_layer(d, lay, bounds), back=max(bounds), **series)
+    return series_layers(df, [return_layer(bounds)], back=max(bounds), **series)
 
 
-def volatility_layer(df: DataFrame, lay: Layout) -> DataFrame:
+def volatility_layer(lay: Layout) -> list[Stage]:
     w = lay.window
-    df = df.withColumns({
-        "_vol_5": rolling(F.stddev_samp, F.col("ret_1d"), 5, w),
-        "rolling_vol_10": rolling(F.stddev_samp, F.col("ret_1d"), 10, w),
-        "rolling_vol_20": rolling(F.stddev_samp, F.col("ret_1d"), 20, w),
-    })
-    ratio = F.col("_vol_5") / nonzero(F.col("rolling_vol_20"))
-    return df.withColumn("vol_ratio_5_20", clip(ratio, 0, 5)).drop("_vol_5")
+    ret = F.col("ret_1d")
+    return [
+        {
+            "_vol_5": rolling(F.stddev_samp, ret, 5, w),
+            "rolling_vol_10": rolling(F.stddev_samp, ret, 10, w),
+            "rolling_vol_20": rolling(F.stddev_samp, ret, 20, w),
+        },
+        {"_vol_ratio": F.col("_vol_5") / nonzero(F.col("rolling_vol_20"))},
+        {"vol_ratio_5_20": clip(F.col("_vol_ratio"), 0, 5)},
+    ]
 
 
 def rolling_vol(df: DataFrame, **series) -> DataFrame:
     """Sample deviation of ``ret_1d`` over 10 and 20 rows, and the clipped ratio of 5 to 20."""
-    return over_series(df, volatility_layer, back=19, **series)
+    return series_layers(df, [volatility_layer], back=19, **series)
 
 
-def volume_layer(df: DataFrame, lay: Layout) -> DataFrame:
+def volume_layer(lay: Layout) -> list[Stage]:
     w = lay.window
-    df = df.withColumns({
-        "_mean_5": nonzero(rolling(F.avg, F.col("volume"), 5, w)),
-        "_mean_20": nonzero(rolling(F.avg, F.col("volume"), 20, w)),
-    })
-    return df.withColumns({
-        "volume_ma5_ratio": clip(F.col("volume") / F.col("_mean_5"), 0, 10),
-        "volume_ma20_ratio": clip(F.col("volume") / F.col("_mean_20"), 0, 10),
-        "volume_trend": clip(ieee_ln(F.col("_mean_5") / F.col("_mean_20")), -2, 2),
-    }).drop("_mean_5", "_mean_20")
+    volume = F.col("volume")
+    return [
+        {"_sum_5": rolling(F.avg, volume, 5, w), "_sum_20": rolling(F.avg, volume, 20, w)},
+        {"_mean_5": nonzero(F.col("_sum_5")), "_mean_20": nonzero(F.col("_sum_20"))},
+        {
+            "_ratio_v5": volume / F.col("_mean_5"), "_ratio_v20": volume / F.col("_mean_20"),
+            "_ln_v": ieee_ln(F.col("_mean_5") / F.col("_mean_20")),
+        },
+        {
+            "volume_ma5_ratio": clip(F.col("_ratio_v5"), 0, 10),
+            "volume_ma20_ratio": clip(F.col("_ratio_v20"), 0, 10),
+            "volume_trend": clip(F.col("_ln_v"), -2, 2),
+        },
+    ]
 
 
 def volume_ratios(df: DataFrame, **series) -> DataFrame:
     """Volume against its 5- and 20-row means, and the log ratio of the means."""
-    return over_series(df, volume_layer, back=19, **series)
+    return series_layers(df, [volume_layer], back=19, **series)
+
 
+def range_layer(n: int = RANGE_ROWS) -> Layer:
+    def layer(lay: Layout) -> list[Stage]:
+        close = F.col("close")
+        return [
+            {"_top": rolling(F.max, close, n, lay.window), "_bottom": rolling(F.min, close, n, lay.window)},
+            {"_to_top": ieee_divide(close, F.col("_top")) - 1, "_to_bottom": ieee_divide(close, F.col("_bottom")) - 1},
+            {"52w_high_ratio": clip(F.col("_to_top"), -1, 0), "52w_low_ratio": clip(F.col("_to_bottom"), 0, 3)},
+        ]
 
-def range_layer(df: DataFrame, lay: Layout, n: int = RANGE_ROWS) -> DataFrame:
-    top = rolling(F.max, F.col("close"), n, lay.window)
-    bottom = rolling(F.min, F.col("close"), n, lay.window)
-    return df.withColumns({
-        "52w_high_ratio": clip(ieee_divide(F.col("close"), top) - 1, -1, 0),
-        "52w_low_ratio": clip(ieee_divide(F.col("close"), bottom) - 1, 0, 3),
-    })
+    return layer
 
 
 def range_ratio(df: DataFrame, n: int = RANGE_ROWS, **series) -> DataFrame:
     """Close against the highest and the lowest close of the last ``n`` rows."""
-    return over_series(df, lambda d, lay: range_layer(d, lay, n), back=n - 1, **series)
+    return series_layers(df, [range_layer(n)], back=n - 1, **series)
 
 
-def forward_layer(df: DataFrame, lay: Layout, horizon: int = HORIZON) -> DataFrame:
-    later = F.lead("close", horizon).over(lay.window)
-    return df.withColumn("next_ret", ieee_ln(ieee_divide(later, F.col("close"))))
+def forward_layer(horizon: int = HORIZON) -> Layer:
+    return lambda lay: [
+        {"_later": F.lead("close", horizon).over(lay.window)},
+        {"_gain_ratio": ieee_divide(F.col("_later"), F.col("close"))},
+        {"next_ret": ieee_ln(F.col("_gain_ratio"))},
+    ]
 
 
 def label(threshold: float = THRESHOLD) -> Column:
@@ -102,18 +121,19 @@ def label(threshold: float = THRESHOLD) -> Column:
 
 
 def outside_noise(threshold: float = THRESHOLD) -> Column:
-    return (F.col("next_ret") > threshold) | (F.col("next_ret") < -threshold)
+    """Strictly outside the noise band; a missing return is not."""
+    return F.abs("next_ret") > threshold
 
 
 def forward_label(df: DataFrame, horizon: int = HORIZON, threshold: float = THRESHOLD, **series) -> DataFrame:
     """Forward log return ``next_ret`` and the binary ``target``; NULL at the end of a series."""
-    built = over_series(df, lambda d, lay: forward_layer(d, lay, horizon), back=0, ahead=horizon, **series)
+    built = series_layers(df, [forward_layer(horizon)], back=0, ahead=horizon, **series)
     return built.withColumn("target", label(threshold))
 
 
 def noise_filter(df: DataFrame, horizon: int = HORIZON, threshold: float = THRESHOLD, **series) -> DataFrame:
     """Rows whose forward return is strictly outside ``[-threshold, threshold]``."""
-    built = over_series(df, lambda d, lay: forward_layer(d, lay, horizon), back=0, ahead=horizon, **series)
+    built = series_layers(df, [forward_layer(horizon)], back=0, ahead=horizon, **series)
     return built.filter(outside_noise(threshold))
 
 
@@ -121,52 +141,78 @@ def noise_filter(df: DataFrame, horizon: int = HORIZON, threshold: float = THRES
 
 def ema_distance(df: DataFrame, spans=(9, 21, 50)) -> DataFrame:
     """Close relative to its exponential averages."""
-    return df.withColumns({
-        f"close_to_ema{s}": clip(F.col("close") / nonzero(F.col(f"ema_{s}")) - 1, -0.5, 0.5) for s in spans
-    })
+    return row_columns(df, [distance_columns(spans)])
 
 
 def bar_shape(df: DataFrame) -> DataFrame:
     """Where the close lies in the day's range, the size of the range, the opening gap."""
-    day_range = nonzero(F.col("high") - F.col("low"))
-    return df.withColumns({
-        "close_to_high": clip((F.col("high") - F.col("close")) / day_range, 0, 1),
-        "close_to_low": clip((F.col("close") - F.col("low")) / day_range, 0, 1),
-        "high_low_range_pct": clip(ieee_divide(day_range, F.col("close")), 0, 0.2),
-        "gap_pct": clip(ieee_divide(F.col("open"), F.col("ldcp")) - 1, -0.5, 0.5),
-    })
+    return row_columns(df, [shape_columns()])
 
 
 def bound_indicators(df: DataFrame) -> DataFrame:
     """Indicator columns brought to feature scale: ``macd`` per price, the rest clipped."""
-    return df.withColumns({
+    return row_columns(df, [bounded_columns()])
+
+
+def circuit_flags(df: DataFrame) -> DataFrame:
+    """1 where the close is near the day's upper or lower price limit; missing counts as 0."""
+    return row_columns(df, [circuit_columns()])
+
+
+def calendar(df: DataFrame) -> DataFrame:
+    """Weekday (Monday is 0) and month."""
+    return row_columns(df, [calendar_columns()])
+
+
+def distance_columns(spans=(9, 21, 50)) -> Stage:
+    return {f"close_to_ema{s}": clip(F.col("close") / nonzero(F.col(f"ema_{s}")) - 1, -0.5, 0.5) for s in spans}
+
+
+def shape_columns() -> Stage:
+    high, low, close = F.col("high"), F.col("low"), F.col("close")
+    day_range = nonzero(high - low)
+    return {
+        "close_to_high": clip((high - close) / day_range, 0, 1),
+        "close_to_low": clip((close - low) / day_range, 0, 1),
+        "high_low_range_pct": clip(ieee_divide(day_range, close), 0, 0.2),
+        "gap_pct": clip(ieee_divide(F.col("open"), F.col("ldcp")) - 1, -0.5, 0.5),
+    }
+
+
+def bounded_columns() -> Stage:
+    return {
         "macd": clip(F.col("macd") / nonzero(F.col("close")), -0.5, 0.5),
         "bb_pct": clip(F.col("bb_pct"), -0.5, 1.5),
         "bb_width": clip(F.col("bb_width"), 0, 1),
         "turbulence": clip(F.col("turbulence"), 0, 20),
-    })
+    }
 
 
-def circuit_flags(df: DataFrame) -> DataFrame:
-    """1 where the close is near the day's upper or lower price limit; missing counts as 0."""
+def circuit_columns() -> Stage:
     move = ieee_divide(F.col("close"), F.col("ldcp"))
-    return df.withColumns({
+    return {
         "near_upper_circuit": F.coalesce((move > 1.045).cast("int"), F.lit(0)),
         "near_lower_circuit": F.coalesce((move < 0.955).cast("int"), F.lit(0)),
-    })
+    }
 
 
-def calendar(df: DataFrame) -> DataFrame:
-    """Weekday (Monday is 0) and month."""
-    return df.withColumns({"day_of_week": F.weekday("date"), "month": F.month("date")})
+def calendar_columns() -> Stage:
+    return {"day_of_week": F.weekday("date"), "month": F.month("date")}
+
+
+def row_columns(df: DataFrame, groups: list[Stage]) -> DataFrame:
+    """Columns that look at their own row only, in one projection."""
+    return df.withColumns({name: col for group in groups for name, col in group.items()})
 
 
 # -- all together -------------------------------------------------------------------
 
+WINDOW_LAYERS: tuple[Layer, ...] = (return_layer(), volume_layer, range_layer(), forward_layer())
+
+
 def feature_layers(df: DataFrame, lay: Layout) -> DataFrame:
-    for layer in (return_layer, volatility_layer, volume_layer, range_layer, forward_layer):
-        df = layer(df, lay)
-    return df
+    """Columns that look at other rows; volatility goes second, it needs the one-day return."""
+    return run_layers(run_layers(df, lay, WINDOW_LAYERS), lay, [volatility_layer])
 
 
 def feature_matrix(indicators: DataFrame, news: DataFrame | None = None, threshold: float = THRESHOLD, **series) -> DataFrame:
@@ -177,9 +223,11 @@ def feature_matrix(indicators: DataFrame, news: DataFrame | None = None, thresho
     rows inside the noise band are gone by then. Output rows are complete.
     """
     built = over_series(indicators, feature_layers, back=RANGE_ROWS, ahead=HORIZON, **series)
-    built = built.filter(outside_noise(threshold)).withColumn("target", label(threshold))
-    for step in (ema_distance, bar_shape, bound_indicators, circuit_flags, calendar):
-        built = step(built)
+    built = built.filter(outside_noise(threshold))
+    built = row_columns(built, [
+        distance_columns(), shape_columns(), bounded_columns(), circuit_columns(), calendar_columns(),
+        {"target": label(threshold)},
+    ])
     built = drop_incomplete_features(built)
     if news is not None:
         built = built.join(news.select("ticker", "date", *NEWS_COLUMNS), ["ticker", "date"], "left")

@@ -1,19 +1,20 @@
 """Technical indicators over daily bars.
 
-Each indicator is a *layer*: it takes a DataFrame and its Layout and adds columns.
-The public functions run one layer by itself; ``technical_indicators`` stacks all
-of them over one exchange and one sort.
+Each indicator is a *layer*: column expressions in stages, over a Layout. The public
+functions run one layer by itself; ``technical_indicators`` runs all of them over one
+exchange, and layers of like depth share their window operators.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketfeat.functions.numeric import INF, ieee_divide, nonzero, rolling
-from marketfeat.operators.series import Layout, over_series
+from marketfeat.operators.series import Layer, Layout, Stage, over_series, run_layers, series_layers
 
 EMA_SPANS = (9, 21, 50, 200)
 WARMUP_ROWS = 252
@@ -41,15 +42,17 @@ def drop_incomplete(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return df.na.drop(subset=cols)
 
 
-def change_layer(df: DataFrame, lay: Layout) -> DataFrame:
-    df = df.withColumn("ldcp", F.lag("close", 1).over(lay.window))
-    df = df.withColumn("change", F.round(F.col("close") - F.col("ldcp"), 2))
-    return df.withColumn("change_pct", F.round(ieee_divide(F.col("change"), F.col("ldcp")) * 100, 2))
+def change_layer(lay: Layout) -> list[Stage]:
+    return [
+        {"ldcp": F.lag("close", 1).over(lay.window)},
+        {"change": F.round(F.col("close") - F.col("ldcp"), 2)},
+        {"change_pct": F.round(ieee_divide(F.col("change"), F.col("ldcp")) * 100, 2)},
+    ]
 
 
 def ldcp_change(df: DataFrame, **series) -> DataFrame:
     """Last day's close, change and change in percent (of the rounded change)."""
-    return over_series(df, change_layer, back=1, **series).select(
+    return series_layers(df, [change_layer], back=1, **series).select(
         "date", "ticker", "ldcp", "open", "high", "low", "close", "change", "change_pct", "volume"
     )
 
@@ -70,7 +73,7 @@ def ema_reach(spans) -> int:
     return max(math.ceil(_FORGET / -math.log(1 - 2 / (span + 1))) for span in spans)
 
 
-def ema_layer(df: DataFrame, lay: Layout, col: str, outputs: dict[str, int], block: int | None = None) -> DataFrame:
+def ema_layer(col: str, outputs: dict[str, int], block: int | None = None) -> Layer:
     """Exponential averages ``e0 = x0, e_t = a*x_t + (1-a)*e_(t-1)`` with ``a = 2/(span+1)``.
 
     The recurrence is unrolled over blocks of positions. Inside a block it is a
@@ -83,186 +86,194 @@ def ema_layer(df: DataFrame, lay: Layout, col: str, outputs: dict[str, int], blo
     widest = max(-math.log(q) for q in decay.values())
     rows = block or max(1, min(1024, int(_SPREAD / widest)))
 
-    df = df.withColumn("_at", lay.position - 1)
-    df = df.withColumns({"_chunk": F.floor(F.col("_at") / F.lit(rows)), "_step": F.col("_at") % rows})
-    inside = Window.partitionBy(*lay.partition, "_chunk").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    local: dict[str, Column] = {}
-    for name, q in decay.items():
-        x = F.when(F.col("_at") == 0, F.col(col)).otherwise(F.lit(1 - q) * F.col(col))
-        weighted = x * F.pow(F.lit(q), -F.col("_step"))
-        local[f"_local_{name}"] = F.pow(F.lit(q), F.col("_step")) * F.sum(weighted).over(inside)
-    df = df.withColumns(local)
-
-    chunks = Window.partitionBy(*lay.partition).orderBy("_chunk")
-    carried: dict[str, Column] = {}
-    for name, q in decay.items():
-        end = F.when(F.col("_step") == rows - 1, F.col(f"_local_{name}"))
-        depth = max(1, math.ceil(_FORGET / (-math.log(q) * rows)))
-        carry = F.lit(0.0)
-        for m in range(1, depth + 1):
-            seen = F.max(end).over(chunks.rangeBetween(-m, -m))
-            carry = carry + F.lit(q ** (rows * (m - 1))) * F.coalesce(seen, F.lit(0.0))
-        carried[name] = F.col(f"_local_{name}") + F.pow(F.lit(q), F.col("_step") + 1) * carry
-    return df.withColumns(carried).drop("_at", "_chunk", "_step", *local)
+    def layer(lay: Layout) -> list[Stage]:
+        at, step = F.col("_at"), F.col("_step")
+        inside = Window.partitionBy(*lay.partition, "_chunk").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        chunks = Window.partitionBy(*lay.partition).orderBy("_chunk")
+        sums: Stage = {}
+        ends: Stage = {}
+        carried: Stage = {}
+        for name, q in decay.items():
+            x = F.when(at == 0, F.col(col)).otherwise(F.lit(1 - q) * F.col(col))
+            sums[f"_sum_{name}"] = F.sum(x * F.pow(F.lit(q), -step)).over(inside)
+            here = F.col(f"_sum_{name}") * F.pow(F.lit(q), step)
+            ends[f"_end_{name}"] = F.when(step == rows - 1, here)
+            depth = max(1, math.ceil(_FORGET / (-math.log(q) * rows)))
+            carry = F.lit(0.0)
+            for m in range(1, depth + 1):
+                end = F.max(f"_end_{name}").over(chunks.rangeBetween(-m, -m))
+                carry = carry + F.lit(q ** (rows * (m - 1))) * F.coalesce(end, F.lit(0.0))
+            carried[name] = here + F.pow(F.lit(q), step + 1) * carry
+        return [
+            {"_at": lay.position - 1},
+            {"_chunk": F.floor(at / F.lit(rows)), "_step": at % rows},
+            sums, ends, carried,
+        ]
+
+    return layer
 
 
 def ema(df: DataFrame, span: int, col: str = "close", out: str | None = None, block: int | None = None, **series) -> DataFrame:
     """One exponential average as a new column (``ema_<span>``)."""
     name = out or f"ema_{span}"
-    return over_series(
-        df, lambda d, lay: ema_layer(d, lay, col, {name: span}, block), back=ema_reach([span]), **series
-    )
+    return series_layers(df, [ema_layer(col, {name: span}, block)], back=ema_reach([span]), **series)
 
 
-def macd(df: DataFrame, fast: int = 12, slow: int = 26, col: str = "close", out: str = "macd", **series) -> DataFrame:
-    """Difference of a fast and a slow exponential average; there is no signal line."""
+def macd_layer(fast: int, slow: int, col: str, out: str, others: dict[str, int] | None = None) -> Layer:
+    averages = ema_layer(col, {"_fast": fast, "_slow": slow, **(others or {})})
+    return lambda lay: [*averages(lay), {out: F.col("_fast") - F.col("_slow")}]
 
-    def build(d: DataFrame, lay: Layout) -> DataFrame:
-        d = ema_layer(d, lay, col, {"_fast": fast, "_slow": slow})
-        return d.withColumn(out, F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
 
-    return over_series(df, build, back=ema_reach([fast, slow]), **series)
+def macd(df: DataFrame, fast: int = 12, slow: int = 26, col: str = "close", out: str = "macd", **series) -> DataFrame:
+    """Difference of a fast and a slow exponential average; there is no signal line."""
+    return series_layers(df, [macd_layer(fast, slow, col, out)], back=ema_reach([fast, slow]), **series)
 
 
 # -- oscillators ------------------------------------------------------------------
 
-def rsi_layer(df: DataFrame, lay: Layout, n: int = 14) -> DataFrame:
-    w = lay.window
-    df = df.withColumn("_delta", F.col("close") - F.lag("close", 1).over(w))
-    gain = F.when(F.col("_delta").isNotNull(), F.greatest(F.col("_delta"), F.lit(0.0)))
-    loss = F.when(F.col("_delta").isNotNull(), -F.least(F.col("_delta"), F.lit(0.0)))
-    rs = rolling(F.avg, gain, n, w) / nonzero(rolling(F.avg, loss, n, w))
-    return df.withColumn("rsi", 100 - 100 / (1 + rs)).drop("_delta")
+def rsi_layer(n: int = 14) -> Layer:
+    def layer(lay: Layout) -> list[Stage]:
+        w = lay.window
+        delta = F.col("_delta")
+        gain = F.when(delta > 0, delta).when(delta <= 0, F.lit(0.0))
+        loss = F.when(delta < 0, -delta).when(delta >= 0, F.lit(0.0))
+        return [
+            {"_delta": F.col("close") - F.lag("close", 1).over(w)},
+            {"_gain": gain, "_loss": loss},
+            {"_gains": rolling(F.avg, F.col("_gain"), n, w), "_losses": rolling(F.avg, F.col("_loss"), n, w)},
+            {"rsi": 100 - 100 / (1 + F.col("_gains") / nonzero(F.col("_losses")))},
+        ]
+
+    return layer
 
 
 def rsi(df: DataFrame, n: int = 14, **series) -> DataFrame:
     """Relative strength from plain means of gains and losses; no loss in the frame gives NULL."""
-    return over_series(df, lambda d, lay: rsi_layer(d, lay, n), back=n, **series)
+    return series_layers(df, [rsi_layer(n)], back=n, **series)
+
 
+def cci_layer(n: int = 20) -> Layer:
+    def layer(lay: Layout) -> list[Stage]:
+        w = lay.window
+        spread = F.aggregate("_frame", F.lit(0.0), lambda acc, x: acc + F.abs(x - F.col("_tp_mean"))) / n
+        return [
+            {"_tp": (F.col("high") + F.col("low") + F.col("close")) / 3},
+            {"_tp_mean": rolling(F.avg, F.col("_tp"), n, w), "_frame": F.collect_list("_tp").over(w.rowsBetween(-(n - 1), 0))},
+            {"_spread": spread},
+            {"cci": (F.col("_tp") - F.col("_tp_mean")) / (F.lit(0.015) * nonzero(F.col("_spread")))},
+        ]
 
-def cci_layer(df: DataFrame, lay: Layout, n: int = 20) -> DataFrame:
-    w = lay.window
-    frame = w.rowsBetween(-(n - 1), 0)
-    df = df.withColumn("_tp", (F.col("high") + F.col("low") + F.col("close")) / 3)
-    df = df.withColumns({
-        "_mean": rolling(F.avg, F.col("_tp"), n, w),
-        "_frame": F.collect_list("_tp").over(frame),
-    })
-    spread = F.aggregate("_frame", F.lit(0.0), lambda acc, x: acc + F.abs(x - F.col("_mean"))) / n
-    return df.withColumn(
-        "cci", (F.col("_tp") - F.col("_mean")) / (F.lit(0.015) * nonzero(spread))
-    ).drop("_tp", "_mean", "_frame")
+    return layer
 
 
 def cci(df: DataFrame, n: int = 20, **series) -> DataFrame:
     """Commodity channel index: distance from the mean in units of 0.015 mean absolute deviations."""
-    return over_series(df, lambda d, lay: cci_layer(d, lay, n), back=n - 1, **series)
+    return series_layers(df, [cci_layer(n)], back=n - 1, **series)
 
 
-def true_range_layer(df: DataFrame, lay: Layout, n: int = 14) -> DataFrame:
+def _ranges(lay: Layout) -> Stage:
     prev = F.lag("close", 1).over(lay.window)
-    df = df.withColumn("true_range", F.greatest(
+    return {"true_range": F.greatest(
         F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)
-    ))
-    return df.withColumn(f"atr{n}", rolling(F.avg, F.col("true_range"), n, lay.window))
+    )}
+
+
+def true_range_layer(n: int = 14) -> Layer:
+    return lambda lay: [_ranges(lay), {f"atr{n}": rolling(F.avg, F.col("true_range"), n, lay.window)}]
 
 
 def true_range(df: DataFrame, n: int = 14, **series) -> DataFrame:
     """True range (high minus low on the first row) and its mean over ``n`` rows."""
-    return over_series(df, lambda d, lay: true_range_layer(d, lay, n), back=n, **series)
-
-
-def dmi_layer(df: DataFrame, lay: Layout, n: int = 14) -> DataFrame:
-    w = lay.window
-    df = true_range_layer(df, lay, n)
-    df = df.withColumns({
-        "_up": F.col("high") - F.lag("high", 1).over(w),
-        "_down": F.lag("low", 1).over(w) - F.col("low"),
-    })
-    df = df.withColumns({
-        "_plus": F.when((F.col("_up") > F.col("_down")) & (F.col("_up") > 0), F.col("_up")).otherwise(0.0),
-        "_minus": F.when((F.col("_down") > F.col("_up")) & (F.col("_down") > 0), F.col("_down")).otherwise(0.0),
-    })
-    atr = nonzero(F.col(f"atr{n}"))
-    df = df.withColumns({
-        "_plus_di": 100 * rolling(F.avg, F.col("_plus"), n, w) / atr,
-        "_minus_di": 100 * rolling(F.avg, F.col("_minus"), n, w) / atr,
-    })
-    dx = 100 * F.abs(F.col("_plus_di") - F.col("_minus_di")) / nonzero(F.col("_plus_di") + F.col("_minus_di"))
-    return df.withColumn("dmi_dx", dx).drop(
-        "_up", "_down", "_plus", "_minus", "_plus_di", "_minus_di", "true_range", f"atr{n}"
-    )
+    return series_layers(df, [true_range_layer(n)], back=n, **series)
+
+
+def dmi_layer(n: int = 14) -> Layer:
+    def layer(lay: Layout) -> list[Stage]:
+        w = lay.window
+        up, down = F.col("_up"), F.col("_down")
+        atr = F.col("_atr")
+        return [
+            {
+                "_true_range": _ranges(lay)["true_range"],
+                "_up": F.col("high") - F.lag("high", 1).over(w),
+                "_down": F.lag("low", 1).over(w) - F.col("low"),
+            },
+            {
+                "_plus": F.when((up > down) & (up > 0), up).otherwise(0.0),
+                "_minus": F.when((down > up) & (down > 0), down).otherwise(0.0),
+            },
+            {
+                "_atr": nonzero(rolling(F.avg, F.col("_true_range"), n, w)),
+                "_plus_mean": rolling(F.avg, F.col("_plus"), n, w),
+                "_minus_mean": rolling(F.avg, F.col("_minus"), n, w),
+            },
+            {"_plus_di": 100 * F.col("_plus_mean") / atr, "_minus_di": 100 * F.col("_minus_mean") / atr},
+            {"dmi_dx": 100 * F.abs(F.col("_plus_di") - F.col("_minus_di"))
+                / nonzero(F.col("_plus_di") + F.col("_minus_di"))},
+        ]
+
+    return layer
 
 
 def dmi_dx(df: DataFrame, n: int = 14, **series) -> DataFrame:
     """Directional movement index, unsmoothed."""
-    return over_series(df, lambda d, lay: dmi_layer(d, lay, n), back=n, **series)
-
-
-def bollinger_layer(df: DataFrame, lay: Layout, n: int = 20, k: float = 2.0) -> DataFrame:
-    w = lay.window
-    df = df.withColumns({
-        "bb_mid": rolling(F.avg, F.col("close"), n, w),
-        "_sd": rolling(F.stddev_pop, F.col("close"), n, w),
-    })
-    df = df.withColumns({
-        "bb_upper": F.col("bb_mid") + k * F.col("_sd"),
-        "bb_lower": F.col("bb_mid") - k * F.col("_sd"),
-    })
-    band = nonzero(F.col("bb_upper") - F.col("bb_lower"))
-    return df.withColumns({
-        "bb_width": band / nonzero(F.col("bb_mid")),
-        "bb_pct": (F.col("close") - F.col("bb_lower")) / band,
-    }).drop("_sd")
+    return series_layers(df, [dmi_layer(n)], back=n, **series)
+
+
+def bollinger_layer(n: int = 20, k: float = 2.0) -> Layer:
+    def layer(lay: Layout) -> list[Stage]:
+        w = lay.window
+        mid, sd, band = F.col("bb_mid"), F.col("_sd"), F.col("_band")
+        return [
+            {},
+            {"bb_mid": rolling(F.avg, F.col("close"), n, w), "_sd": rolling(F.stddev_pop, F.col("close"), n, w)},
+            {"bb_upper": mid + k * sd, "bb_lower": mid - k * sd},
+            {"_band": nonzero(F.col("bb_upper") - F.col("bb_lower"))},
+            {"bb_width": band / nonzero(mid), "bb_pct": (F.col("close") - F.col("bb_lower")) / band},
+        ]
+
+    return layer
 
 
 def bollinger(df: DataFrame, n: int = 20, k: float = 2.0, **series) -> DataFrame:
     """Bollinger bands from the population deviation; a band of width zero gives NULL ratios."""
-    return over_series(df, lambda d, lay: bollinger_layer(d, lay, n, k), back=n - 1, **series)
-
-
-def turbulence_layer(df: DataFrame, lay: Layout, n: int = 252) -> DataFrame:
-    w = lay.window
-    past = w.rowsBetween(-(n - 1), -1)
-    change = ieee_divide(F.col("close"), F.lag("close", 1).over(w)) - 1
-    df = df.withColumn("_change", change)
-    # An infinite return counts as missing in a rolling frame.
-    df = df.withColumn("_ret", F.when(F.abs(F.col("_change")) < INF, F.col("_change")))
-    df = df.withColumns({
-        "_mu": F.avg("_ret").over(past),
-        "_sigma": F.stddev_pop("_ret").over(past),
-        "_seen": F.count("_ret").over(w.rowsBetween(-(n - 1), 0)),
-    })
-    z = (F.col("_ret") - F.col("_mu")) / F.col("_sigma")
-    full = (F.col("_seen") == n) & (F.col("_sigma") != 0)
-    return df.withColumn("turbulence", F.when(full, z * z).otherwise(0.0)).drop(
-        "_change", "_ret", "_mu", "_sigma", "_seen"
-    )
+    return series_layers(df, [bollinger_layer(n, k)], back=n - 1, **series)
+
+
+def turbulence_layer(n: int = 252) -> Layer:
+    def layer(lay: Layout) -> list[Stage]:
+        w = lay.window
+        past = w.rowsBetween(-(n - 1), -1)
+        change, ret, sigma = F.col("_change"), F.col("_ret"), F.col("_sigma")
+        z = (ret - F.col("_mu")) / sigma
+        return [
+            {"_prev": F.lag("close", 1).over(w)},
+            {"_change": ieee_divide(F.col("close"), F.col("_prev")) - 1},
+            # An infinite return counts as missing in a rolling frame.
+            {"_ret": F.when(F.abs(change) < INF, change)},
+            {"_mu": F.avg("_ret").over(past), "_sigma": F.stddev_pop("_ret").over(past), "_seen": F.count("_ret").over(past)},
+            {"turbulence": F.when((F.col("_seen") == n - 1) & (sigma != 0) & ret.isNotNull(), z * z).otherwise(0.0)},
+        ]
+
+    return layer
 
 
 def turbulence(df: DataFrame, n: int = 252, **series) -> DataFrame:
     """Squared z-score of today's return against the ``n - 1`` returns before it; 0 until those exist."""
-    return over_series(df, lambda d, lay: turbulence_layer(d, lay, n), back=n, **series)
+    return series_layers(df, [turbulence_layer(n)], back=n, **series)
 
 
 # -- all together -------------------------------------------------------------------
 
-def indicator_layers(df: DataFrame, lay: Layout) -> DataFrame:
-    for layer in (rsi_layer, cci_layer, dmi_layer, bollinger_layer, turbulence_layer):
-        df = layer(df, lay)
-    averages = {f"ema_{span}": span for span in EMA_SPANS}
-    df = ema_layer(df, lay, "close", {"_fast": 12, "_slow": 26, **averages})
-    return df.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
-
-
 def technical_indicators(df: DataFrame, warmup: int = WARMUP_ROWS, **series) -> DataFrame:
     """All indicator columns of cleaned bars, warm-up rows and incomplete rows dropped."""
     bars = df.columns
+    frames = [rsi_layer(), cci_layer(), dmi_layer(), bollinger_layer(), turbulence_layer()]
+    averages = macd_layer(12, 26, "close", "macd", {f"ema_{span}": span for span in EMA_SPANS})
 
     def build(d: DataFrame, lay: Layout) -> DataFrame:
-        d = d.withColumn("_nth", lay.position)
-        return indicator_layers(d, lay).filter(F.col("_nth") > warmup).drop("_nth")
+        d = run_layers(d, lay, [lambda lay: [{"nth": lay.position}], *frames])
+        return run_layers(d, replace(lay, position=F.col("nth")), [averages]).filter(F.col("nth") > warmup)
 
     reach = max(ema_reach((12, 26, *EMA_SPANS)), 252)
-    built = over_series(df, build, back=reach, **series)
-    return drop_incomplete(built.select(*bars, *INDICATOR_COLUMNS))
+    return drop_incomplete(over_series(df, build, back=reach, **series).select(*bars, *INDICATOR_COLUMNS))

@@ -14,9 +14,11 @@ THRESHOLD = 0.5
 SCORE_SLICES = 256
 
 
-def _same(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
-    """Join condition on columns that may hold NULL."""
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in cols])
+def _join_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Inner join on columns that may hold NULL; the right side's copies go."""
+    renamed = right.withColumnsRenamed({c: f"_right_{c}" for c in cols})
+    condition = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in cols])
+    return left.join(renamed, condition).drop(*[f"_right_{c}" for c in cols])
 
 
 def auc(df: DataFrame, by: Sequence[str], score: str = "prob_up", actual: str = "actual") -> DataFrame:
@@ -36,8 +38,8 @@ def auc(df: DataFrame, by: Sequence[str], score: str = "prob_up", actual: str =
     )
     marks = [i / SCORE_SLICES for i in range(1, SCORE_SLICES)]
     cuts = per_score.groupBy(*by).agg(F.percentile_approx("_score", marks).alias("_cuts"))
-    sliced = per_score.join(cuts, _same(per_score, cuts, by)).select(
-        *[per_score[c] for c in by], "_score", "_pos", "_neg",
+    sliced = _join_on(per_score, cuts, by).select(
+        *by, "_score", "_pos", "_neg",
         F.size(F.filter("_cuts", lambda c: c < F.col("_score"))).alias("_slice"),
     )
     totals = sliced.groupBy(*by, "_slice").agg(F.sum("_neg").alias("_slice_neg"))
@@ -45,9 +47,7 @@ def auc(df: DataFrame, by: Sequence[str], score: str = "prob_up", actual: str =
     totals = totals.select(*by, "_slice", F.coalesce(F.sum("_slice_neg").over(earlier), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*by, "_slice").orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
     ranked = sliced.withColumn("_below", F.coalesce(F.sum("_neg").over(inside), F.lit(0)))
-    joined = ranked.join(totals, _same(ranked, totals, [*by, "_slice"])).select(
-        *[ranked[c] for c in by], "_pos", "_neg", (F.col("_below") + F.col("_before")).alias("_below")
-    )
+    joined = _join_on(ranked, totals, [*by, "_slice"]).withColumn("_below", F.col("_below") + F.col("_before"))
     wins = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0))
     pairs = F.sum("_pos").cast("double") * F.sum("_neg")
     return joined.groupBy(*by).agg((wins / F.nullif(pairs, F.lit(0.0))).alias("auc"))

@@ -45,6 +45,29 @@ class Layout:
 
 Build = Callable[[DataFrame, Layout], DataFrame]
 
+# A layer is a list of stages; a stage names new columns that may use those of earlier stages.
+Stage = dict[str, Column]
+Layer = Callable[[Layout], list[Stage]]
+
+
+def run_layers(df: DataFrame, lay: Layout, layers: Sequence[Layer]) -> DataFrame:
+    """Add the columns of several layers, stage by stage.
+
+    The k-th stages of all layers go into one step, so layers of like depth share their
+    window operators and the plan stays short. Columns whose name starts with ``_`` are
+    dropped at the end.
+    """
+    planned = [layer(lay) for layer in layers]
+    helpers: list[str] = []
+    for depth in range(max(len(stages) for stages in planned)):
+        merged: Stage = {}
+        for stages in planned:
+            if depth < len(stages):
+                merged.update(stages[depth])
+        helpers += [c for c in merged if c.startswith("_") and c not in helpers]
+        df = df.withColumns(merged)
+    return df.drop(*helpers)
+
 
 def as_keys(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
@@ -144,3 +167,8 @@ def over_series(
     built = build(spread, layout)
     own = F.floor((F.col("_position") - 1) / F.lit(rows)) == F.col("_block")
     return built.filter(own).drop("_block", "_position", "_size")
+
+
+def series_layers(df: DataFrame, layers: Sequence[Layer], back: int, ahead: int = 0, **series) -> DataFrame:
+    """``over_series`` for a list of layers."""
+    return over_series(df, lambda d, lay: run_layers(d, lay, layers), back, ahead, **series)

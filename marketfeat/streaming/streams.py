@@ -53,10 +53,12 @@ def stream_ohlc(
     )
 
 
-def read_stream(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
-    """Stream of the files at ``path``; without a schema, that of the files there now."""
-    schema = schema or spark.read.format(fmt).load(path).schema
-    return spark.readStream.format(fmt).schema(schema).load(path)
+def read_stream(
+    spark: SparkSession, folder: str, files: str = "*", fmt: str = "parquet", schema: T.StructType | None = None
+) -> DataFrame:
+    """Stream of the files in ``folder`` whose names match ``files``; without a schema, that of the files there now."""
+    schema = schema or spark.read.format(fmt).option("pathGlobFilter", files).load(folder).schema
+    return spark.readStream.format(fmt).schema(schema).option("pathGlobFilter", files).load(folder)
 
 
 def drain(sdf: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:

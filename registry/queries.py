@@ -92,7 +92,6 @@ def parse_html_table(spark, sf):
 def parse_json_items(spark, sf):
     """A feed payload per document, in the spellings the feed uses, parsed back."""
     a = roles.articles(spark, sf)
-    heading = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("["), F.to_json(F.col("title"), {}), F.lit("]")))
     quoted = lambda c: F.get(F.split(F.to_json(F.struct(c.alias("v"))), '^\\{"v":|\\}$'), 1)
     title, note = quoted(F.col("title")), quoted(F.col("title"))
     key = F.element_at(F.array(*[F.lit(k) for k in news_io.ID_KEYS]), (F.col("doc_id") % 4 + 1).cast("int"))
@@ -587,13 +586,11 @@ def intraday_indicators(spark, sf):
     """Event streams as price series: keys of any length, cut into blocks with the rows around them."""
     t = roles.trades(spark, sf)
 
-    def build(d, lay):
-        for layer in (indicators.rsi_layer, indicators.cci_layer, indicators.bollinger_layer):
-            d = layer(d, lay)
-        d = indicators.ema_layer(d, lay, "close", {"ema_9": 9, "ema_50": 50})
-        return features.forward_layer(d, lay)
-
-    out = series.over_series(t, build, back=indicators.ema_reach([50]), ahead=5, block_rows=1000, **INTRADAY)
+    layers = [
+        indicators.rsi_layer(), indicators.cci_layer(), indicators.bollinger_layer(),
+        indicators.ema_layer("close", {"ema_9": 9, "ema_50": 50}), features.forward_layer(),
+    ]
+    out = series.series_layers(t, layers, back=indicators.ema_reach([50]), ahead=5, block_rows=1000, **INTRADAY)
     return rounded(out, ["ticker", "event_id"], ["rsi", "cci", "bb_mid", "bb_width", "ema_9", "ema_50", "next_ret"], 4)
 
 
@@ -854,7 +851,7 @@ def score_splits(spark, sf):
 
 @query
 def stream_first_seen(spark, sf):
-    events = streams.read_stream(spark, f"{sf}/events.parquet")
+    events = streams.read_stream(spark, sf, "events.parquet")
     twice = events.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
     seen = streams.stream_first_seen(twice, "event_id", "ts", "1 day")
     return streams.drain(seen).select("event_id", "event_type")
@@ -862,20 +859,20 @@ def stream_first_seen(spark, sf):
 
 @query
 def stream_daily_sentiment(spark, sf):
-    events = streams.read_stream(spark, f"{sf}/events.parquet")
+    events = streams.read_stream(spark, sf, "events.parquet")
     out = streams.drain(streams.stream_daily_sentiment(events, "value", "event_type", "ts", "1 day"))
     return out.select("date", "category", r("mean_value"), "n")
 
 
 @query
 def stream_headline_gate(spark, sf):
-    docs = streams.read_stream(spark, f"{sf}/documents.parquet").withColumn("title", F.col("text"))
+    docs = streams.read_stream(spark, sf, "documents.parquet").withColumn("title", F.col("text"))
     kept = gates.headline_gate(docs, roles.HEADLINES)
     return streams.drain(kept.select("doc_id", gates.multi_label(F.col("title"), roles.HEADLINES).alias("labels")))
 
 
 @query
 def stream_ohlc(spark, sf):
-    events = streams.read_stream(spark, f"{sf}/events.parquet").withColumn("volume", F.lit(1.0))
+    events = streams.read_stream(spark, sf, "events.parquet").withColumn("volume", F.lit(1.0))
     bars = streams.drain(streams.stream_ohlc(events, "1 day", "event_type", "value", "volume", "ts", ["event_id"]))
     return bars.select(F.col("bar_start").cast("date").alias("date"), "ticker", *[r(c) for c in OHLC])
