@@ -1,4 +1,4 @@
-from marketfeat.functions.numeric import clip, ieee_divide, ieee_ln, nonzero, rolling
+from marketfeat.functions.numeric import array_round, clip, ieee_divide, ieee_ln, nonzero, rolling
 from marketfeat.functions.text import (
     decode_entities,
     normalize_title,
@@ -9,7 +9,7 @@ from marketfeat.functions.text import (
 )
 
 __all__ = [
-    "clip", "ieee_divide", "ieee_ln", "nonzero", "rolling",
+    "array_round", "clip", "ieee_divide", "ieee_ln", "nonzero", "rolling",
     "decode_entities", "normalize_title", "normalize_url", "primary_label",
     "python_strip", "symbol_clean",
 ]

@@ -35,6 +35,12 @@ def ieee_ln(col: Column) -> Column:
     return F.when(col > 0, F.ln(col)).when(col == 0, F.lit(-INF))
 
 
+def array_round(col: Column, digits: int) -> Column:
+    """Rounding as numeric array libraries do it: scale, nearest integer (ties to even), scale back."""
+    unit = float(10 ** digits)
+    return F.rint(col * unit) / unit
+
+
 def rolling(agg: Callable[[Column], Column], col: Column, n: int, window: WindowSpec) -> Column:
     """``agg`` over the last n rows; NULL unless all n values are present."""
     frame = window.rowsBetween(-(n - 1), 0)

@@ -13,7 +13,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketfeat.functions.numeric import INF, ieee_divide, nonzero, rolling
+from marketfeat.functions.numeric import INF, array_round, ieee_divide, nonzero, rolling
 from marketfeat.operators.series import Layer, Layout, Stage, over_series, run_layers, series_layers
 
 EMA_SPANS = (9, 21, 50, 200)
@@ -45,8 +45,9 @@ def drop_incomplete(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def change_layer(lay: Layout) -> list[Stage]:
     return [
         {"ldcp": F.lag("close", 1).over(lay.window)},
-        {"change": F.round(F.col("close") - F.col("ldcp"), 2)},
-        {"change_pct": F.round(ieee_divide(F.col("change"), F.col("ldcp")) * 100, 2)},
+        {"change": array_round(F.col("close") - F.col("ldcp"), 2)},
+        {"_share": ieee_divide(F.col("change"), F.col("ldcp"))},
+        {"change_pct": array_round(F.col("_share") * 100, 2)},
     ]
 
 

@@ -8,10 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketfeat.functions.numeric import array_round
 from marketfeat.operators.series import number_rows
 
 THRESHOLD = 0.5
 SCORE_SLICES = 256
+EPOCH_BLOCK = 262_144
 
 
 def _join_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -73,8 +75,8 @@ def acc_f1(
     f1 = F.try_divide(2.0 * F.col("_tp"), F.col("_up") + F.col("_hit"))
     return counted.select(
         *by, "n",
-        F.round(F.col("_right") / F.col("n"), 4).alias("acc"),
-        F.round(F.coalesce(f1, F.lit(0.0)), 4).alias("f1"),
+        array_round(F.col("_right") / F.col("n"), 4).alias("acc"),
+        array_round(F.coalesce(f1, F.lit(0.0)), 4).alias("f1"),
     )
 
 
@@ -87,7 +89,7 @@ def metrics_summary(
 ) -> DataFrame:
     """One row per group: ``n, acc, auc, f1``, rounded to 4 digits."""
     by = list(by)
-    area = auc(df, by, score, actual).withColumn("auc", F.round("auc", 4))
+    area = auc(df, by, score, actual).withColumn("auc", array_round(F.col("auc"), 4))
     return acc_f1(df, by, score, actual, threshold).join(area, by, "left").select(*by, "n", "acc", "auc", "f1")
 
 
@@ -153,7 +155,7 @@ def early_stop(history: DataFrame, patience: int, by: Sequence[str] = ("run",))
     ``best_epoch``/``best_val_auc`` are as of the stop.
     """
     by = list(by)
-    numbered = number_rows(history, by, ["epoch"]).withColumn("_block", F.floor((F.col("_position") - 1) / F.lit(4096)))
+    numbered = number_rows(history, by, ["epoch"]).withColumn("_block", F.floor((F.col("_position") - 1) / F.lit(EPOCH_BLOCK)))
     blocks = numbered.groupBy(*by, "_block").agg(F.max("val_auc").alias("_top"))
     earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(*by, "_block", F.coalesce(F.max("_top").over(earlier), F.lit(0.0)).alias("_top_before"))

@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketfeat.functions.numeric import array_round
 from marketfeat.operators.dataset import class_weight
 from marketfeat.operators.metrics import auc
 from marketfeat.session import checkpointed
@@ -123,6 +124,6 @@ def score_splits(model: DirectionModel | StackedModel, samples: DataFrame, thres
     actual = F.col("label").cast("int")
     keep = [c for c in ("ticker", "date", "close") if c in scored.columns]
     return scored.select(
-        *keep, actual.alias("actual"), F.round("prob_up", 4).alias("prob_up"), pred.alias("pred"),
+        *keep, actual.alias("actual"), array_round(F.col("prob_up"), 4).alias("prob_up"), pred.alias("pred"),
         (pred == actual).cast("int").alias("correct"), "split",
     )

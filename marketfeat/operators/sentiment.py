@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketfeat.functions.numeric import array_round
 from marketfeat.functions.rules import word_pattern
 from marketfeat.functions.text import normalize_title
 from marketfeat.operators.series import number_rows
@@ -32,7 +33,7 @@ def logits_to_sentiment(logits: Column) -> Column:
     top = F.array_max(values)
     total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
     label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), F.array_position(values, top).cast("int"))
-    score = F.round(1.0 / total, 6)
+    score = array_round(1.0 / total, 6)
     sign = F.when(label == "positive", 1.0).when(label == "negative", -1.0).otherwise(0.0)
     return F.struct(
         label.alias("sentiment_label"), score.alias("sentiment_score"), (sign * score).alias("sentiment_compound")
@@ -95,7 +96,7 @@ def daily_scores(articles: DataFrame, categories: Sequence[str] = CATEGORIES) ->
         articles.withColumn("date", F.to_date("date"))
         .filter(F.col("date").isNotNull() & F.col("category").isNotNull())
         .groupBy("date", "category")
-        .agg(F.round(F.avg("sentiment_compound"), 6).alias("_mean"))
+        .agg(array_round(F.avg("sentiment_compound"), 6).alias("_mean"))
     )
     return grouped.select("date", "category", *[
         F.when(F.col("category") == c, F.col("_mean")).otherwise(0.0).alias(f"sentiment_{c}") for c in categories

@@ -88,7 +88,7 @@ def time_slice(df: DataFrame, ts: str) -> Column:
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.date_trunc("hour", F.col(ts))
     if isinstance(kind, T.IntegralType):
-        return F.floor(F.col(ts) / F.lit(4096))
+        return F.floor(F.col(ts) / F.lit(65_536))
     raise ValueError(f"give slice_by for an order column of type {kind.simpleString()}")
 
 

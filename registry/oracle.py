@@ -14,8 +14,17 @@ def r(col: str, digits: int = 6, alias: str | None = None) -> str:
     return f"round({name}, {digits}) + 0.0 AS {alias or name}"
 
 
+EXACT = {"open", "high", "low", "close", "ldcp", "true_range", "lowest", "highest", "sentiment_relevant", "sentiment_ticker"}
+
+
 def rs(cols, digits: int = 6) -> str:
-    return ", ".join(r(c, digits) for c in cols)
+    return ", ".join(r(c, 8 if c in EXACT else digits) for c in cols)
+
+
+def even(x: str, digits: int) -> str:
+    """Scale, nearest integer with ties to even, scale back."""
+    y = f"(({x}) * {10 ** digits}.0::DOUBLE)"
+    return f"(CASE WHEN abs({y} - trunc({y})) = 0.5 THEN 2 * round({y} / 2) ELSE round({y}) END / {10 ** digits}.0::DOUBLE)"
 
 
 def quoted(text: str) -> str:
@@ -41,7 +50,7 @@ bars AS (
 CHANGED = BARS + f""",
 changed0 AS (SELECT *, lag(close) OVER w AS ldcp FROM bars {W}),
 changed AS (
-    SELECT *, round(close - ldcp, 2) AS change, round(round(close - ldcp, 2) / ldcp * 100, 2) AS change_pct FROM changed0
+    SELECT *, {even('change / ldcp * 100', 2)} AS change_pct FROM (SELECT *, {even('close - ldcp', 2)} AS change FROM changed0)
 )"""
 CLEAN = CHANGED + """,
 clean AS (SELECT * FROM changed WHERE open > 0 AND volume > 0)"""
@@ -256,10 +265,10 @@ ORACLE["null_report"] = select(CLEAN_FEATURES, " UNION ALL ".join(
 ORACLE["coverage_report"] = select(BARS, """SELECT count(*) AS n_rows, count(DISTINCT ticker) AS tickers,
     min(date) AS first_date, max(date) AS last_date FROM bars""")
 ORACLE["trading_calendar"] = select(BARS, "SELECT DISTINCT date FROM bars")
-ORACLE["broadcast_check"] = select(BARS, """SELECT date, round(min(high), 6) + 0.0 AS lowest, round(max(high), 6) + 0.0 AS highest
+ORACLE["broadcast_check"] = select(BARS, """SELECT date, round(min(high), 8) + 0.0 AS lowest, round(max(high), 8) + 0.0 AS highest
     FROM bars GROUP BY date HAVING count(DISTINCT high) > 1""")
-ORACLE["parse_html_table"] = select(BARS, """SELECT ticker, date, round(open, 2) AS open, round(high, 2) AS high,
-    round(low, 2) AS low, round(close, 2) AS close, round(volume, 0) AS volume FROM bars""")
+ORACLE["parse_html_table"] = select(BARS, """SELECT ticker, date, round(open, 8) AS open, round(high, 8) AS high,
+    round(low, 8) AS low, round(close, 8) AS close, round(volume, 0) AS volume FROM bars""")
 
 # -- news ---------------------------------------------------------------------------
 
@@ -321,8 +330,8 @@ logits AS (SELECT *, CAST({word_count(roles.POSITIVE)} AS DOUBLE) AS a, CAST({wo
 probs AS (SELECT *, greatest(a, b, c) AS top, 1.0 / (exp(a - greatest(a, b, c)) + exp(b - greatest(a, b, c)) + exp(c - greatest(a, b, c))) AS p FROM logits),
 scored_all AS (
     SELECT *, CASE WHEN a = top THEN 'positive' WHEN b = top THEN 'negative' ELSE 'neutral' END AS sentiment_label,
-           round(p, 6) AS sentiment_score,
-           CASE WHEN a = top THEN round(p, 6) WHEN b = top THEN -round(p, 6) ELSE 0.0 END AS sentiment_compound
+           {even('p', 6)} AS sentiment_score,
+           CASE WHEN a = top THEN {even('p', 6)} WHEN b = top THEN -{even('p', 6)} ELSE 0.0 END AS sentiment_compound
     FROM probs
 ),
 scored AS (SELECT * REPLACE ({CATEGORY} AS category) FROM scored_all WHERE {CATEGORY} IS NOT NULL)"""
@@ -331,7 +340,7 @@ ORACLE["score_text_model"] = ORACLE["score_text"]
 ORACLE["logits_to_sentiment"] = """WITH l AS (
     SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings),
 p AS (SELECT *, greatest(a, b, c) AS top FROM l),
-q AS (SELECT *, round(exp(top) / (exp(a) + exp(b) + exp(c)), 6) AS s FROM p)
+q AS (SELECT *, """ + even('exp(top) / (exp(a) + exp(b) + exp(c))', 6) + """ AS s FROM p)
 SELECT vec_id, CASE WHEN a = top THEN 'positive' WHEN b = top THEN 'negative' ELSE 'neutral' END AS sentiment_label,
     s + 0.0 AS sentiment_score, CASE WHEN a = top THEN s WHEN b = top THEN -s ELSE 0.0 END + 0.0 AS sentiment_compound FROM q"""
 
@@ -395,8 +404,8 @@ ORACLE["parse_json_items"] = select(ARTICLES, """SELECT id, CAST(date AS VARCHAR
 ORACLE["parse_event_props"] = "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events"
 
 CATEGORIES = ("macro", "energy", "banking", "forex", "corporate")
-DAILY = SCORES + """,
-daily AS (SELECT date, category, round(avg(sentiment_compound), 6) AS sentiment FROM scored GROUP BY date, category)"""
+DAILY = SCORES + f""",
+daily AS (SELECT date, category, {even('avg(sentiment_compound)', 6)} AS sentiment FROM scored GROUP BY date, category)"""
 NUMBERED_TITLES = f"""SELECT date, category, title, row_number() OVER (PARTITION BY date, category ORDER BY norm, title, doc_id) AS rn
     FROM (SELECT *, {NORM} AS norm FROM scored)"""
 ORACLE["daily_titles"] = select(SCORES, f"""SELECT date, category, CAST((rn - 1) // 3 AS INTEGER) AS part,
@@ -428,7 +437,7 @@ ORACLE["unassigned_tickers"] = f"""SELECT DISTINCT upper(p_brand) AS ticker FROM
     WHERE p_brand NOT IN (SELECT ticker FROM {DIMENSION})"""
 ORACLE["category_summary"] = select(BARS, f"""SELECT {TICKERS} AS category, count(*) AS n_rows, count(DISTINCT ticker) AS tickers
     FROM bars GROUP BY 1""")
-ORACLE["write_partitioned"] = select(BARS, f"SELECT ticker, date, {r('close')}, {TICKERS} AS category FROM bars")
+ORACLE["write_partitioned"] = select(BARS, f"SELECT ticker, date, {r('close', 8)}, {TICKERS} AS category FROM bars")
 MERGED = CLEAN + "," + LAGGED + f""",
 priced AS (SELECT *, {TICKERS} AS category FROM clean),
 served AS (SELECT * FROM priced WHERE category IN (SELECT category FROM daily)),
@@ -440,7 +449,7 @@ filled AS (
 ),
 merged AS (SELECT s.*, f.sentiment FROM served s JOIN filled f USING (category, date))"""
 ORACLE["price_sentiment_join"] = select(MERGED, f"SELECT ticker, date, category, {rs(['close', 'sentiment'])} FROM merged")
-ORACLE["category_view"] = select(MERGED, f"""SELECT ticker, date, {r('close')}, {r('sentiment', 6, 'sentiment_macro')}
+ORACLE["category_view"] = select(MERGED, f"""SELECT ticker, date, {r('close', 8)}, {r('sentiment', 6, 'sentiment_macro')}
     FROM merged WHERE category = 'macro'""")
 ORACLE["merge_summary"] = select(MERGED, """SELECT category, count(*) AS n_rows, count(*) FILTER (sentiment <> 0) AS nonzero,
     round(100.0::DOUBLE * count(*) FILTER (sentiment <> 0) / count(*), 1) AS nonzero_pct FROM merged GROUP BY category""")
@@ -472,7 +481,7 @@ flags AS (
 
 
 def decay_of(source: str) -> str:
-    decay = "exp(-ln(2.0::DOUBLE) / 3 * (k.date - {a}.date))"
+    decay = "exp(-ln(2.0::DOUBLE) / 3.7::DOUBLE * (k.date - {a}.date))"
     return f""",
 decayed AS (
     SELECT k.ticker, k.date, coalesce(c.sentiment_relevant * {decay.format(a='c')}, 0.0) AS sentiment_relevant,
@@ -506,12 +515,12 @@ NAMES = {
     "high_ratio": '"52w_high_ratio"', "low_ratio": '"52w_low_ratio"',
 }
 COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in FEATURES)
-ORACLE["feature_matrix"] = select(MATRIX + NEWS.strip() + flags_of("bars"), f"""SELECT f3.ticker, f3.date, round(f3.close, 6) + 0.0 AS close,
+ORACLE["feature_matrix"] = select(MATRIX + NEWS.strip() + flags_of("bars"), f"""SELECT f3.ticker, f3.date, round(f3.close, 8) + 0.0 AS close,
     {', '.join(f'round(CAST({c} AS DOUBLE), 4) + 0.0 AS {NAMES.get(c, c)}' for c in FEATURES)},
-    {', '.join(f'round(CAST({c} AS DOUBLE), 4) + 0.0 AS {c}' for c in ('sentiment_relevant', 'sentiment_ticker', 'news_count'))}, target
+    {', '.join(f'round(CAST({c} AS DOUBLE), 8) + 0.0 AS {c}' for c in ('sentiment_relevant', 'sentiment_ticker', 'news_count'))}, target
     FROM f3 JOIN flags USING (ticker, date) WHERE {COMPLETE}""")
 ORACLE["feature_matrix_decay"] = select(MATRIX + NEWS.strip() + decay_of("bars"), f"""SELECT f3.ticker, f3.date,
-    {', '.join(f'round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}' for c in ('sentiment_relevant', 'sentiment_ticker', 'news_count'))}, target
+    {', '.join(f'round(CAST({c} AS DOUBLE), 8) + 0.0 AS {c}' for c in ('sentiment_relevant', 'sentiment_ticker', 'news_count'))}, target
     FROM f3 JOIN decayed USING (ticker, date) WHERE {COMPLETE}""")
 
 # -- pages, work lists, announcements -----------------------------------------------
@@ -531,8 +540,8 @@ ORACLE["date_worklist"] = """SELECT symbol, CAST(d AS DATE) AS date FROM (SELECT
 ORACLE["type_worklist"] = """SELECT symbol, type FROM (SELECT DISTINCT p_brand AS symbol FROM part), (VALUES ('C'), ('D')) t(type)
     UNION ALL SELECT '', 'E'"""
 ORACLE["coverage_gaps"] = select(BARS, """SELECT symbol, date FROM (
-    SELECT symbol, CAST(d AS DATE) AS date FROM (SELECT DISTINCT ticker AS symbol FROM bars),
-        (SELECT unnest(generate_series((SELECT min(date) FROM bars), (SELECT max(date) FROM bars), INTERVAL 1 DAY)) AS d)) w
+    SELECT symbol, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date
+    FROM (SELECT ticker AS symbol, min(date) AS lo, max(date) AS hi FROM bars GROUP BY ticker)) w
     WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.ticker = w.symbol AND b.date = w.date)""")
 ORACLE["symbol_clean"] = r"""SELECT c_custkey, regexp_replace(upper(trim('  ' || lower(c_name) ||
     ['.ka ', '.PK', '.KA.KA', ''][c_custkey % 4 + 1])), '[.](KA|PK)$', '') AS symbol FROM customer"""
@@ -550,13 +559,12 @@ JUNK = (
 )
 ORACLE["announcement_clean"] = select(ANNOUNCED, f"""SELECT conv_id, turn, title FROM (SELECT *, trim(title) AS x FROM ann)
     WHERE NOT {JUNK} AND NOT {BARE} AND length(x) >= 8""")
-CELLS = """CASE WHEN {ok} THEN [{cells}] ELSE [] END"""
 ORACLE["parse_announcement_rows"] = select(ANNOUNCED + f""",
 cells AS (SELECT *, 'Company ' || symbol || ' Limited' AS c1, trim(title) AS c2 FROM ann WHERE year(day) BETWEEN 2020 AND 2021),
-long AS (SELECT conv_id, turn, day, 1 AS at, c1 AS x FROM cells UNION ALL SELECT conv_id, turn, day, 2, c2 FROM cells),
+long AS (SELECT conv_id, turn, day, 1 AS place, c1 AS x FROM cells UNION ALL SELECT conv_id, turn, day, 2, c2 FROM cells),
 named AS (SELECT * FROM long WHERE length(x) >= 6 AND NOT {JUNK} AND NOT {BARE})""",
     """SELECT conv_id, turn, strftime(day, '%b %d, %Y') AS date, x AS title FROM (
-    SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(x) DESC, at) AS rn FROM named) WHERE rn = 1""")
+    SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(x) DESC, place) AS rn FROM named) WHERE rn = 1""")
 ORACLE["dedup_announcements"] = select(ANNOUNCED + """,
 short AS (SELECT * REPLACE (split_part(title, ' ', 1) AS title) FROM ann)""",
     f"""SELECT strftime(day, '%b %d, %Y') AS date, symbol, title, type, conv_id, turn
@@ -581,13 +589,14 @@ pred AS (SELECT lang AS ticker, CASE WHEN doc_id % 3 = 0 THEN 'val' ELSE 'test'
 PAIRS = """(SELECT p.ticker, p.split, sum(CASE WHEN p.prob_up > n.prob_up THEN 1.0 WHEN p.prob_up = n.prob_up THEN 0.5 ELSE 0.0 END)::DOUBLE
     / count(*) AS auc FROM pred p JOIN pred n ON p.ticker = n.ticker AND p.split = n.split
     WHERE p.actual = 1 AND n.actual = 0 GROUP BY ALL)"""
-ACC = """(SELECT ticker, split, count(*) AS n, round(count(*) FILTER ((prob_up >= 0.5) = (actual = 1)) / count(*)::DOUBLE, 4) AS acc,
-    round(coalesce(2.0::DOUBLE * count(*) FILTER (prob_up >= 0.5 AND actual = 1)
-        / nullif(count(*) FILTER (prob_up >= 0.5) + count(*) FILTER (actual = 1), 0), 0), 4) AS f1
+F1 = """coalesce(2.0::DOUBLE * count(*) FILTER (prob_up >= 0.5 AND actual = 1)
+        / nullif(count(*) FILTER (prob_up >= 0.5) + count(*) FILTER (actual = 1), 0), 0)"""
+ACC = f"""(SELECT ticker, split, count(*) AS n, {even('count(*) FILTER ((prob_up >= 0.5) = (actual = 1)) / count(*)::DOUBLE', 4)} AS acc,
+    {even(F1, 4)} AS f1
     FROM pred GROUP BY ALL)"""
 ORACLE["auc"] = select(PREDICTED, f"SELECT a.ticker, a.split, {r('auc')} FROM {ACC} a LEFT JOIN {PAIRS} USING (ticker, split)")
 ORACLE["acc_f1"] = select(PREDICTED, f"SELECT * FROM {ACC}")
-ORACLE["metrics_summary"] = select(PREDICTED, f"""SELECT a.ticker, a.split, n, acc, round(auc, 4) AS auc, f1
+ORACLE["metrics_summary"] = select(PREDICTED, f"""SELECT a.ticker, a.split, n, acc, {even('auc', 4)} AS auc, f1
     FROM {ACC} a LEFT JOIN {PAIRS} USING (ticker, split)""")
 ORACLE["mae_rmse"] = select(PREDICTED, """SELECT ticker, round(avg(abs(prob_up - actual)), 6) + 0.0 AS mae,
     round(sqrt(avg((prob_up - actual) * (prob_up - actual))), 6) + 0.0 AS rmse FROM pred GROUP BY ticker""")

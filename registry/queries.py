@@ -33,8 +33,12 @@ def r(name: str, digits: int = 6, alias: str | None = None) -> Column:
     return (F.round(F.col(f"`{name}`"), digits) + F.lit(0.0)).alias(alias or name)
 
 
+# Prices are cents over a quantity up to 50 and may end in a 5 at the 7th digit; means of two scores too.
+EXACT = {"open", "high", "low", "close", "ldcp", "true_range", "lowest", "highest", "sentiment_relevant", "sentiment_ticker"}
+
+
 def rounded(df: DataFrame, keys: list[str], cols: list[str], digits: int = 6) -> DataFrame:
-    return df.select(*keys, *[r(c, digits) for c in cols])
+    return df.select(*keys, *[r(c, 8 if c in EXACT else digits) for c in cols])
 
 
 TD = ["ticker", "date"]
@@ -75,7 +79,7 @@ def parse_html_table(spark, sf):
     cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
     row = F.concat(
         F.lit("<tr>"), cell(F.date_format("date", "MMM d, yyyy")),
-        *[cell(F.format_number(c, 2)) for c in ("open", "high", "low", "close")],
+        *[cell(F.format_number(c, 8)) for c in ("open", "high", "low", "close")],
         cell(F.format_number("volume", 0)), F.lit("</tr>\n"),
     )
     pages = b.select("ticker", F.trunc("date", "MM").alias("month"), row.alias("row")).groupBy("ticker", "month").agg(
@@ -146,10 +150,8 @@ def type_worklist(spark, sf):
 @query
 def coverage_gaps(spark, sf):
     b = roles.bars(spark, sf)
-    ends = b.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    symbols = b.select(F.col("ticker").alias("symbol")).distinct()
-    first = symbols.select("symbol", F.lit(1).alias("_one")).join(ends.withColumn("_one", F.lit(1)), "_one")
-    work = first.select("symbol", F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias("date"))
+    spans = b.groupBy(F.col("ticker").alias("symbol")).agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
+    work = worklists.date_worklist(spans, F.col("lo"), F.col("hi")).select("symbol", "date")
     have = b.select(F.col("ticker").alias("symbol"), "date")
     return worklists.coverage_gaps(work, have, ["symbol", "date"])
 
@@ -165,7 +167,7 @@ def write_partitioned(spark, sf):
     dim = joins.ticker_dimension(roles.TICKER_CATEGORIES)
     bar_io.write_partitioned(joins.ticker_category(roles.bars(spark, sf), {k.upper(): v for k, v in dim.items()}), path)
     back = spark.read.parquet(path)
-    return back.select("ticker", "date", r("close"), F.col("category").cast("string").alias("category"))
+    return back.select("ticker", "date", r("close", 8), F.col("category").cast("string").alias("category"))
 
 
 @query
@@ -234,7 +236,7 @@ def announcement_clean(spark, sf):
 
 @query
 def project_reorder(spark, sf):
-    return roles.bars(spark, sf).select("date", "ticker", *[r(c) for c in OHLC])
+    return roles.bars(spark, sf).select("date", "ticker", *[r(c, 8) for c in OHLC])
 
 
 @query
@@ -299,19 +301,19 @@ def category_view(spark, sf):
 
 @query
 def broadcast_check(spark, sf):
-    return joins.broadcast_check(roles.bars(spark, sf), "high", ["date"]).select("date", r("lowest"), r("highest"))
+    return joins.broadcast_check(roles.bars(spark, sf), "high", ["date"]).select("date", r("lowest", 8), r("highest", 8))
 
 
 @query
 def news_features_join(spark, sf):
     flags = joins.join_news_flags(roles.clean(spark, sf), roles.scored_articles(spark, sf), _dim(), roles.MENTIONS)
-    return flags.select(*TD, r("sentiment_relevant"), r("sentiment_ticker"), "news_count")
+    return flags.select(*TD, r("sentiment_relevant", 8), r("sentiment_ticker", 8), "news_count")
 
 
 @query
 def news_decay_join(spark, sf):
-    decay = joins.join_news_decay(roles.clean(spark, sf), roles.scored_articles(spark, sf), _dim(), roles.MENTIONS)
-    return decay.select(*TD, r("sentiment_relevant"), r("sentiment_ticker"), "news_count")
+    decay = joins.join_news_decay(roles.clean(spark, sf), roles.scored_articles(spark, sf), _dim(), roles.MENTIONS, half_life=3.7)
+    return decay.select(*TD, r("sentiment_relevant", 8), r("sentiment_ticker", 8), "news_count")
 
 
 @query
@@ -673,15 +675,15 @@ def _matrix(spark: SparkSession, sf: str, ticker: str = "p_brand") -> DataFrame:
 @query
 def feature_matrix(spark, sf):
     m = _matrix(spark, sf)
-    return m.select(*TD, r("close"), *[r(c, 4) for c in features.FEATURE_COLUMNS], "target")
+    return m.select(*TD, r("close", 8), *[r(c, 8 if c in EXACT else 4) for c in features.FEATURE_COLUMNS], "target")
 
 
 @query
 def feature_matrix_decay(spark, sf):
     raw = roles.bars(spark, sf)
-    news = joins.join_news_decay(raw, roles.scored_articles(spark, sf), _dim(), roles.MENTIONS)
+    news = joins.join_news_decay(raw, roles.scored_articles(spark, sf), _dim(), roles.MENTIONS, half_life=3.7)
     m = pipeline.features_from_bars(raw, news)
-    return m.select(*TD, *[r(c) for c in features.NEWS_COLUMNS], "target")
+    return m.select(*TD, *[r(c, 8) for c in features.NEWS_COLUMNS], "target")
 
 
 # -- aggregations, sorts, unions ----------------------------------------------------
@@ -875,4 +877,4 @@ def stream_headline_gate(spark, sf):
 def stream_ohlc(spark, sf):
     events = streams.read_stream(spark, sf, "events.parquet").withColumn("volume", F.lit(1.0))
     bars = streams.drain(streams.stream_ohlc(events, "1 day", "event_type", "value", "volume", "ts", ["event_id"]))
-    return bars.select(F.col("bar_start").cast("date").alias("date"), "ticker", *[r(c) for c in OHLC])
+    return bars.select(F.col("bar_start").cast("date").alias("date"), "ticker", *[r(c, 8) for c in OHLC])
