@@ -71,6 +71,8 @@ def drop_warmup(df: DataFrame, n: int = WARMUP_ROWS, **series) -> DataFrame:
 
 def ema_reach(spans) -> int:
     """Rows after which the start of the longest average no longer shows in a double."""
+    if min(spans) <= 1:
+        raise ValueError("a span must be above 1")
     return max(math.ceil(_FORGET / -math.log(1 - 2 / (span + 1))) for span in spans)
 
 
@@ -84,6 +86,8 @@ def ema_layer(col: str, outputs: dict[str, int], block: int | None = None) -> La
     ``col`` must not be null.
     """
     decay = {name: 1 - 2 / (span + 1) for name, span in outputs.items()}
+    if min(decay.values()) <= 0:
+        raise ValueError("a span must be above 1")
     widest = max(-math.log(q) for q in decay.values())
     rows = block or max(1, min(1024, int(_SPREAD / widest)))
 

@@ -193,7 +193,7 @@ def parse_announcement_rows(
     place = F.array_position(F.transform("_dates", lambda d: d.isNotNull()), True)
     rows = rows.withColumn("_place", place.cast("int")).filter(F.col("_place") > 0)
     rows = rows.withColumns({
-        "_date": F.element_at("_dates", F.col("_place")),
+        "_date": F.get("_dates", F.col("_place") - 1),
         "_titles": F.transform(F.filter("_cells", lambda c, i: i != F.col("_place") - 1), without_view_link),
     })
     named = F.filter(
