@@ -26,6 +26,8 @@ def session(cpus: str) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         # Window work is heavy per byte: let small shuffles keep their partitions.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        # One feature plan compiles more classes than the default cache of 100 holds.
+        .config("spark.sql.codegen.cache.maxEntries", "1000")
         .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )

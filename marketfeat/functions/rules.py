@@ -16,8 +16,16 @@ from pyspark.sql import functions as F
 
 
 def word_pattern(phrases: Iterable[str]) -> str:
-    """Any phrase as whole words, whatever the case; letters of all scripts count as word characters."""
-    return r"(?iuU)\b(?:" + "|".join(phrases) + r")\b"
+    """Any phrase as whole words, whatever the case; letters of all scripts count as word characters.
+
+    When every phrase begins with a letter or digit, a look-ahead on the first characters
+    comes first: it is much cheaper than the word boundary and fails almost everywhere.
+    """
+    phrases = tuple(phrases)
+    first = sorted({p[0].lower() for p in phrases})
+    plain = all(c.isascii() and c.isalnum() for c in first) and not any(re.match(r".[*?|{]", p) or "|" in p for p in phrases)
+    ahead = f"(?=[{''.join(first)}])" if plain else ""
+    return rf"(?iuU){ahead}\b(?:" + "|".join(phrases) + r")\b"
 
 
 def any_pattern(patterns: Iterable[str]) -> str:

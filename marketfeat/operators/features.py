@@ -215,12 +215,10 @@ def feature_layers(df: DataFrame, lay: Layout) -> DataFrame:
     return run_layers(run_layers(df, lay, WINDOW_LAYERS), lay, [volatility_layer])
 
 
-def feature_matrix(indicators: DataFrame, news: DataFrame | None = None, threshold: float = THRESHOLD, **series) -> DataFrame:
-    """The 31 features and the target of bars that carry indicators and ``ldcp``.
+def price_features(indicators: DataFrame, threshold: float = THRESHOLD, **series) -> DataFrame:
+    """Bars that carry indicators and ``ldcp``, with every feature but the news ones, and the target.
 
-    ``news`` has one row per (ticker, date) with the three news columns; without it
-    (or without a row) they are 0. It joins last: no other column depends on it, and
-    rows inside the noise band are gone by then. Output rows are complete.
+    Rows inside the noise band and incomplete rows are gone.
     """
     built = over_series(indicators, feature_layers, back=RANGE_ROWS, ahead=HORIZON, **series)
     built = built.filter(outside_noise(threshold))
@@ -228,19 +226,28 @@ def feature_matrix(indicators: DataFrame, news: DataFrame | None = None, thresho
         distance_columns(), shape_columns(), bounded_columns(), circuit_columns(), calendar_columns(),
         {"target": label(threshold)},
     ])
-    built = drop_incomplete_features(built)
+    own = [c for c in FEATURE_COLUMNS if c not in NEWS_COLUMNS]
+    complete = built.na.drop(subset=[f"`{c}`" for c in own] + ["target"])
+    return complete.select("date", "ticker", "close", *[F.col(f"`{c}`").cast("double").alias(c) for c in own], "target")
+
+
+def with_news(features: DataFrame, news: DataFrame | None = None) -> DataFrame:
+    """The feature matrix in its column order.
+
+    The news columns are those ``features`` has already, or those of ``news`` (one row per
+    ticker and date), or 0. They join last: no other column depends on them.
+    """
     if news is not None:
-        built = built.join(news.select("ticker", "date", *NEWS_COLUMNS), ["ticker", "date"], "left")
-        built = built.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in NEWS_COLUMNS})
-    else:
-        built = built.withColumns({c: F.lit(0.0) for c in NEWS_COLUMNS})
-    return built.select(
-        "date", "ticker", "close",
-        *[F.col(f"`{c}`").cast("double").alias(c) for c in FEATURE_COLUMNS],
-        "target",
+        features = features.join(news.select("ticker", "date", *NEWS_COLUMNS), ["ticker", "date"], "left")
+    present = set(features.columns)
+    filled = {
+        c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in present else F.lit(0.0) for c in NEWS_COLUMNS
+    }
+    return features.withColumns(filled).select(
+        "date", "ticker", "close", *[F.col(f"`{c}`") for c in FEATURE_COLUMNS], "target"
     )
 
 
-def drop_incomplete_features(df: DataFrame) -> DataFrame:
-    own = [f"`{c}`" for c in FEATURE_COLUMNS if c not in NEWS_COLUMNS]
-    return df.na.drop(subset=own + ["target"])
+def feature_matrix(indicators: DataFrame, news: DataFrame | None = None, threshold: float = THRESHOLD, **series) -> DataFrame:
+    """The 31 features and the target of bars that carry indicators and ``ldcp``; all rows complete."""
+    return with_news(price_features(indicators, threshold, **series), news)

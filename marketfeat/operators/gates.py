@@ -54,10 +54,8 @@ def headline_gate(
 
 def multi_label(text: Column, rules: HeadlineRules) -> Column:
     """All matching categories in rule order, joined by ``|``; the default label if there is none."""
-    labels = F.array_compact(F.array(*[
-        F.when(text.rlike(word_pattern(phrases)), F.lit(label)) for label, phrases in rules.categories.items()
-    ]))
-    return F.when(F.size(labels) > 0, F.array_join(labels, "|")).otherwise(F.lit(rules.default))
+    found = [F.when(text.rlike(word_pattern(phrases)), F.lit(label)) for label, phrases in rules.categories.items()]
+    return F.regexp_replace(F.concat_ws("|", *found), r"\A\z", rules.default)
 
 
 def relevant(title: Column, rules: RelevanceRules) -> Column:

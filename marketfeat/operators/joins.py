@@ -10,11 +10,13 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketfeat.functions.rules import word_pattern
 from marketfeat.operators.gates import lookup
 from marketfeat.operators.sentiment import sentiment_lag
+from marketfeat.session import checkpointed
 
 UNASSIGNED = "unassigned"
 
@@ -86,54 +88,87 @@ def require_consistent(merged: DataFrame, col: str = "sentiment", by: Sequence[s
 
 # -- news features per (ticker, date) -----------------------------------------------
 
-def category_news(articles: DataFrame) -> DataFrame:
-    """Per (category, date): mean compound and number of articles."""
-    return articles.groupBy("category", F.to_date("date").alias("date")).agg(
-        F.avg("sentiment_compound").alias("sentiment_relevant"), F.count(F.lit(1)).alias("news_count")
-    )
+def named_tickers(title: Column, mentions: Mapping[str, str]) -> Column:
+    """Array of the distinct tickers a title names.
+
+    ``mentions`` maps a word to the ticker it names. A title names a ticker when one of its
+    words (runs of letters and digits) is such a word, whatever the case.
+    """
+    known = {w.lower(): t for w, t in mentions.items()}
+    hits = F.array_distinct(F.regexp_extract_all(F.lower(title), F.lit(word_pattern(known)), F.lit(0)))
+    return F.array_distinct(F.transform(hits, lambda w: lookup(w, known)))
 
 
-def ticker_news(articles: DataFrame, mentions: Mapping[str, str] | DataFrame) -> DataFrame:
-    """Per (ticker, date): mean compound of the titles that name the ticker.
+def news_by_key(articles: DataFrame, mentions: Mapping[str, str] | DataFrame) -> DataFrame:
+    """Daily news of categories and of tickers, ``(kind, key, date, value, news_count)``, in one pass over the titles.
 
-    ``mentions`` says which word names which ticker: a dictionary from word to ticker, or
-    a DataFrame ``(word, ticker)`` for a large one (articles then need a unique ``id``).
-    A title names a ticker when one of its words (runs of letters and digits) is such a
-    word, whatever the case; an article counts once per ticker.
+    ``value`` is the mean compound of the articles of a category (kind ``c``) or of those
+    that name a ticker (kind ``t``); an article counts once per ticker. ``mentions`` may be
+    a DataFrame ``(word, ticker)`` if it is large; articles then need a unique ``id``.
     """
-    words = F.array_distinct(F.split(F.lower("title"), r"(?U)[^\w]+"))
     day = F.to_date("date").alias("date")
+    category = F.struct(F.lit("c").alias("kind"), F.col("category").alias("key"))
     if isinstance(mentions, DataFrame):
+        words = F.array_distinct(F.split(F.lower("title"), r"(?U)[^\w]+"))
         named = mentions.select("ticker", F.lower("word").alias("word")).distinct()
         exploded = articles.select("id", day, "sentiment_compound", F.explode(words).alias("word"))
         pairs = exploded.join(named, "word").select("ticker", "id", "date", "sentiment_compound").distinct()
+        tickers = pairs.select(F.lit("t").alias("kind"), F.col("ticker").alias("key"), "date", "sentiment_compound")
+        rows = articles.select(category.alias("_k"), day, "sentiment_compound").select("_k.*", "date", "sentiment_compound")
+        rows = rows.unionByName(tickers)
     else:
-        known = {w.lower(): t for w, t in mentions.items()}
-        hits = F.array_intersect(words, F.array(*[F.lit(w) for w in known]))
-        tickers = F.array_distinct(F.transform(hits, lambda w: lookup(w, known)))
-        pairs = articles.select(day, "sentiment_compound", F.explode(tickers).alias("ticker"))
-    return pairs.groupBy("ticker", "date").agg(F.avg("sentiment_compound").alias("sentiment_ticker"))
+        tickers = F.transform(
+            named_tickers(F.col("title"), mentions), lambda t: F.struct(F.lit("t").alias("kind"), t.alias("key"))
+        )
+        keys = F.concat(F.array(category), F.coalesce(tickers, F.array().cast("array<struct<kind:string,key:string>>")))
+        rows = articles.select(F.explode(keys).alias("_k"), day, "sentiment_compound").select(
+            "_k.*", "date", "sentiment_compound")
+    return rows.groupBy("kind", "key", "date").agg(
+        F.avg("sentiment_compound").alias("value"), F.count(F.lit(1)).alias("news_count")
+    )
 
 
-def join_news_flags(prices: DataFrame, articles: DataFrame, dim, mentions) -> DataFrame:
-    """Same-day news features per price row, 0 without news.
+def news_tables(articles: DataFrame, mentions: Mapping[str, str] | DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(category, date, sentiment_relevant, news_count)`` and ``(ticker, date, sentiment_ticker)``.
 
-    ``sentiment_relevant`` is the mean compound of the articles in the ticker's category,
-    ``sentiment_ticker`` that of the articles naming the ticker, ``news_count`` the number
-    of articles in the category.
+    The daily table is written to durable storage first: it is small, and titles are then
+    read and matched once however many joins follow.
     """
-    keyed = ticker_category(prices.select("ticker", "date"), dim)
-    joined = keyed.join(category_news(articles), ["category", "date"], "left").join(
-        ticker_news(articles, mentions), ["ticker", "date"], "left"
+    daily = checkpointed(news_by_key(articles, mentions))
+    by_category = daily.filter("kind = 'c'").select(
+        F.col("key").alias("category"), "date", F.col("value").alias("sentiment_relevant"), "news_count"
+    )
+    by_ticker = daily.filter("kind = 't'").select(
+        F.col("key").alias("ticker"), "date", F.col("value").alias("sentiment_ticker")
     )
+    return by_category, by_ticker
+
+
+def _attach(prices: DataFrame, dim, by_category: DataFrame, by_ticker: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """The three news columns on price rows, 0 where there is no value."""
+    joined = ticker_category(prices, dim).join(by_category, ["category", "date"], "left")
+    joined = joined.join(by_ticker, ["ticker", "date"], "left")
+    if counts is not None:
+        joined = joined.join(counts, ["category", "date"], "left")
     return joined.select(
-        "ticker", "date",
+        *[F.col(f"`{c}`") for c in prices.columns],
         F.coalesce("sentiment_relevant", F.lit(0.0)).alias("sentiment_relevant"),
         F.coalesce("sentiment_ticker", F.lit(0.0)).alias("sentiment_ticker"),
         F.coalesce("news_count", F.lit(0)).alias("news_count"),
     )
 
 
+def join_news_flags(prices: DataFrame, articles: DataFrame, dim, mentions) -> DataFrame:
+    """Same-day news features on price rows, 0 without news.
+
+    ``sentiment_relevant`` is the mean compound of the articles in the ticker's category,
+    ``sentiment_ticker`` that of the articles naming the ticker, ``news_count`` the number
+    of articles in the category.
+    """
+    by_category, by_ticker = news_tables(articles, mentions)
+    return _attach(prices, dim, by_category, by_ticker)
+
+
 def carried_with_decay(news: DataFrame, dates: DataFrame, by: str, col: str, half_life: float) -> DataFrame:
     """As-of value per (by, date): the last value at or before the date, halved every ``half_life`` days.
 
@@ -149,23 +184,16 @@ def carried_with_decay(news: DataFrame, dates: DataFrame, by: str, col: str, hal
     return both.select(by, "date", F.coalesce(decayed, F.lit(0.0)).alias(col))
 
 
-def join_news_decay(
-    prices: DataFrame, articles: DataFrame, dim, mentions, half_life: float = 3.0
-) -> DataFrame:
+def join_news_decay(prices: DataFrame, articles: DataFrame, dim, mentions, half_life: float = 3.0) -> DataFrame:
     """As ``join_news_flags``, but both sentiments carry forward with exponential decay.
 
     News on days without prices counts too. ``news_count`` stays the count of the day.
     """
-    keyed = ticker_category(prices.select("ticker", "date"), dim)
-    news = category_news(articles)
-    by_category = carried_with_decay(news, keyed, "category", "sentiment_relevant", half_life)
-    by_ticker = carried_with_decay(ticker_news(articles, mentions), keyed, "ticker", "sentiment_ticker", half_life)
-    joined = (
-        keyed.join(by_category, ["category", "date"], "left")
-        .join(by_ticker, ["ticker", "date"], "left")
-        .join(news.select("category", "date", "news_count"), ["category", "date"], "left")
-    )
-    return joined.select(
-        "ticker", "date", "sentiment_relevant", "sentiment_ticker",
-        F.coalesce("news_count", F.lit(0)).alias("news_count"),
+    by_category, by_ticker = news_tables(articles, mentions)
+    days = ticker_category(prices.select("ticker", "date"), dim)
+    return _attach(
+        prices, dim,
+        carried_with_decay(by_category, days, "category", "sentiment_relevant", half_life),
+        carried_with_decay(by_ticker, days, "ticker", "sentiment_ticker", half_life),
+        by_category.select("category", "date", "news_count"),
     )

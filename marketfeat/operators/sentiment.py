@@ -23,28 +23,33 @@ CATEGORIES = ("macro", "energy", "banking", "forex", "corporate")
 TITLES_PER_CELL = 50_000
 
 
-def logits_to_sentiment(logits: Column) -> Column:
-    """Struct ``(label, score, compound)`` from an array of three logits.
+def logits_to_sentiment(a: Column, b: Column, c: Column) -> Column:
+    """Struct ``(sentiment_label, sentiment_score, sentiment_compound)`` from three logits.
 
     Softmax, largest probability (the first on ties), rounded to 6 digits; compound is
-    the score with the sign of its label.
+    the score with the sign of its label. The arguments are used several times, so they
+    should be plain columns.
     """
-    values = F.transform(logits, lambda x: x.cast("double"))
-    top = F.array_max(values)
-    total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-    label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), F.array_position(values, top).cast("int"))
-    score = array_round(1.0 / total, 6)
-    sign = F.when(label == "positive", 1.0).when(label == "negative", -1.0).otherwise(0.0)
+    top = F.greatest(a, b, c)
+    score = array_round(1.0 / (F.exp(a - top) + F.exp(b - top) + F.exp(c - top)), 6)
+    label = F.when(a == top, LABELS[0]).when(b == top, LABELS[1]).when(c == top, LABELS[2])
+    sign = F.when(a == top, SIGNS[LABELS[0]]).when(b == top, SIGNS[LABELS[1]]).when(c == top, SIGNS[LABELS[2]])
     return F.struct(
         label.alias("sentiment_label"), score.alias("sentiment_score"), (sign * score).alias("sentiment_compound")
     )
 
 
 def with_sentiment(df: DataFrame, logits: str | Column = "logits") -> DataFrame:
-    """Adds the three sentiment columns and drops the logits."""
+    """Adds the three sentiment columns and drops the logits.
+
+    Each step is a projection of its own, so a costly logits expression runs once per row.
+    """
     col = F.col(logits) if isinstance(logits, str) else logits
-    scored = df.withColumn("_s", logits_to_sentiment(col)).select("*", "_s.*").drop("_s")
-    return scored.drop(logits) if isinstance(logits, str) else scored
+    kept = [c for c in df.columns if c != logits] if isinstance(logits, str) else df.columns
+    names = ("_positive", "_negative", "_neutral")
+    three = df.withColumn("_logits", col).withColumns({n: F.get("_logits", i).cast("double") for i, n in enumerate(names)})
+    scored = three.withColumn("_s", logits_to_sentiment(*[F.col(n) for n in names]))
+    return scored.select(*[F.col(f"`{c}`") for c in kept], "_s.*")
 
 
 def lexicon_logits(text: Column, positive: Sequence[str], negative: Sequence[str]) -> Column:

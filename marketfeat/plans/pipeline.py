@@ -38,11 +38,27 @@ def features_from_bars(
 ) -> DataFrame:
     """Raw bars to the labelled feature matrix, as one plan.
 
-    In the plain layout both halves run over one exchange and one sort of the bars.
+    In the plain layout both halves run over one exchange of the bars.
     """
     return features.feature_matrix(indicator_bars(raw, params.warmup, **series), news, params.threshold, **series)
 
 
+def features_with_news(
+    raw: DataFrame, articles: DataFrame, dim, mentions, params: Parameters = Parameters(), decay: bool = False, **series
+) -> DataFrame:
+    """Raw bars and scored articles to the feature matrix, with same-day or decaying news values.
+
+    News joins the finished rows, which are fewer than the bars. The decaying form needs
+    their dates as well, so it writes them to durable storage instead of computing them twice.
+    """
+    rows = features.price_features(indicator_bars(raw, params.warmup, **series), params.threshold, **series)
+    if decay:
+        joined = joins.join_news_decay(checkpointed(rows), articles, dim, mentions, params.half_life)
+    else:
+        joined = joins.join_news_flags(rows, articles, dim, mentions)
+    return features.with_news(joined)
+
+
 def scaled_splits(matrix: DataFrame, cols: Sequence[str] = features.FEATURE_COLUMNS, params: Parameters = Parameters(), **series):
     """Feature matrix to scaled rows with ``split``, and the scaler state."""
     split = dataset.split_by_order(matrix, params.train_ratio, params.val_ratio, **series)

@@ -666,10 +666,11 @@ def label_smoothing(spark, sf):
     return l.select("doc_id", F.round(dataset.label_smoothing(F.col("quality"), 0.15), 6).alias("smoothed"))
 
 
-def _matrix(spark: SparkSession, sf: str, ticker: str = "p_brand") -> DataFrame:
-    raw = roles.bars(spark, sf, ticker)
-    news = joins.join_news_flags(raw, roles.scored_articles(spark, sf), _dim(), roles.MENTIONS)
-    return pipeline.features_from_bars(raw, news)
+def _matrix(spark: SparkSession, sf: str, decay: bool = False) -> DataFrame:
+    return pipeline.features_with_news(
+        roles.bars(spark, sf), roles.scored_articles(spark, sf), _dim(), roles.MENTIONS,
+        pipeline.Parameters(half_life=3.7), decay,
+    )
 
 
 @query
@@ -680,10 +681,7 @@ def feature_matrix(spark, sf):
 
 @query
 def feature_matrix_decay(spark, sf):
-    raw = roles.bars(spark, sf)
-    news = joins.join_news_decay(raw, roles.scored_articles(spark, sf), _dim(), roles.MENTIONS, half_life=3.7)
-    m = pipeline.features_from_bars(raw, news)
-    return m.select(*TD, *[r(c, 8) for c in features.NEWS_COLUMNS], "target")
+    return _matrix(spark, sf, decay=True).select(*TD, *[r(c, 8) for c in features.NEWS_COLUMNS], "target")
 
 
 # -- aggregations, sorts, unions ----------------------------------------------------
