@@ -110,8 +110,7 @@ DESCRIPTION_LENGTH = 300
 
 
 def _text_at(item: Column, path: str) -> Column:
-    value = F.try_variant_get(item, path, "string")
-    return F.when(value != "", value)
+    return F.nullif(F.try_variant_get(item, path, "string"), F.lit(""))
 
 
 def _first_of(item: Column, keys: Sequence[str]) -> Column:

@@ -38,7 +38,7 @@ OHLC = ("open", "high", "low", "close", "volume")
 BARS = """
 lines AS (
     SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS date, l_extendedprice / nullif(l_quantity, 0) AS price,
-           row(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS ord,
+           row(l_orderkey * 10 + l_linenumber, l_extendedprice, l_quantity) AS ord,
            CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE 0.0 END AS traded
     FROM lineitem JOIN part ON l_partkey = p_partkey
 ),

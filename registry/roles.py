@@ -21,13 +21,17 @@ def bars(spark: SparkSession, sf: str, ticker: str = "p_brand") -> DataFrame:
     Returned lines do not count as volume, so some days have none.
     """
     lines = table(spark, sf, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice",
         "l_returnflag", "l_shipdate",
     )
     parts = table(spark, sf, "part").select("p_partkey", F.col(ticker).alias("ticker"))
     trades = lines.join(parts, lines.l_partkey == parts.p_partkey)
     price = F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0.0))
-    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    # Order of trades as one number (order line, then cents, then pieces): a fixed-width key keeps
+    # the aggregation in the hash table, a struct would sort every map task's rows.
+    line = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("decimal(20,0)") * F.lit(10 ** 12).cast("decimal(13,0)")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long") * 100 + F.round("l_quantity").cast("long")
+    order = line + cents.cast("decimal(12,0)")
     traded = F.when(F.col("l_returnflag") != "R", F.col("l_quantity")).otherwise(0.0)
     return trades.groupBy("ticker", F.col("l_shipdate").cast("date").alias("date")).agg(
         F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
