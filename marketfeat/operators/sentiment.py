@@ -113,17 +113,15 @@ def daily_titles(
 ) -> DataFrame:
     """Titles per (date, category) joined by `` | ``, in cells of at most ``per_cell`` titles.
 
-    ``part`` numbers the cells from 0; an ordinary day has one. Titles come in the order
-    of their normalized text. A day with very many titles is numbered slice by slice
-    (slices are the first letters), so its titles never meet in one task.
+    ``part`` numbers the cells from 0; an ordinary day has one. Titles come in the order of
+    the first 128 characters of their normalized text, then of the columns ``order`` (say,
+    the id). A day with very many titles is numbered across tasks.
     """
-    rows = articles.filter(F.col("title").isNotNull()).select(
-        F.to_date("date").alias("date"), "category", "title", normalize_title(F.col("title")).alias("_norm"),
-        *(order or []),
-    )
-    numbered = number_rows(
-        rows, ["date", "category"], ["_norm", "title", *(order or [])], slice_by=F.substring("_norm", 1, 6)
-    )
+    titled = articles.filter(F.col("title").isNotNull())
+    lead = F.substring(normalize_title(F.col("title")), 1, 128).alias("_lead")
+    ties = [F.col(c) for c in order] if order else [F.xxhash64("title").alias("_hash")]
+    rows = titled.select(F.to_date("date").alias("date"), "category", "title", lead, *ties)
+    numbered = number_rows(rows, ["date", "category"], ["_lead", *(order or ["_hash"])])
     cell = F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("_position", "title"))), lambda r: r["title"]
     ), " | ")

@@ -15,9 +15,10 @@ blocked
     it and the ``ahead`` rows after it. Windows then run per (key, block), so the
     work of one key spreads over as many tasks as it has blocks.
 
-Positions come from counting rows per (key, time slice), a running sum over the
-slices, and a row number inside each slice. No step sorts a whole series in one
-task, and the result depends on the data alone, so a retried task repeats it.
+Positions come from a range partitioning on (key, order): it samples the data, so it
+splits a key, an hour or a group of equal times wherever they are many. Rows are sorted
+inside their partition and written to durable storage with their place; counts per
+(key, partition) then turn places into positions. No task holds a whole series.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
+from marketfeat.session import checkpointed
+
 BLOCK_ROWS = 131_072
 
 
@@ -80,48 +83,37 @@ def _drop_null_order(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df
 
 
-def time_slice(df: DataFrame, ts: str) -> Column:
-    """A non-decreasing function of the order column that cuts a long series into small slices."""
-    kind = df.schema[ts].dataType
-    if isinstance(kind, T.DateType):
-        return F.trunc(F.col(ts), "month")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_trunc("hour", F.col(ts))
-    if isinstance(kind, T.IntegralType):
-        return F.floor(F.col(ts) / F.lit(65_536))
-    raise ValueError(f"give slice_by for an order column of type {kind.simpleString()}")
-
-
 def number_rows(
     df: DataFrame,
     key: str | Sequence[str],
     order: Sequence[str],
-    slice_by: Column | None = None,
     position: str = "_position",
     size: str = "_size",
 ) -> DataFrame:
-    """Exact 1-based position and row count per key, without one task per key.
+    """Exact 1-based position and row count per key, whatever share of the rows a key has.
 
-    ``slice_by`` must not decrease along ``order``; rows of one slice are numbered together.
+    Rows without a key or without the first order column are left out. The order columns
+    should be small (Spark samples them) and tell rows apart. Writes the sorted rows to
+    durable storage, so positions stay the same when a later task is repeated.
     """
     keys = as_keys(key)
     order = list(order)
     df = _drop_null_order(df, keys + order[:1])
-    sliced = df.withColumn("_slice", time_slice(df, order[0]) if slice_by is None else slice_by)
-    counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_slice_rows"))
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    # The id counts rows inside a partition in its low 33 bits; the partition is above them.
+    placed = checkpointed(ranged.withColumn("_place", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_place", 33))
+    runs = placed.groupBy(*keys, "_part").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    # One row per key and partition: a key has at most as many as there are partitions.
     whole = Window.partitionBy(*keys)
-    before = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *keys, "_slice",
-        F.coalesce(F.sum("_slice_rows").over(before), F.lit(0)).alias("_offset"),
-        F.sum("_slice_rows").over(whole).alias(size),
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = runs.select(
+        *keys, "_part",
+        (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
+        F.sum("_rows").over(whole).alias(size),
     )
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    local = sliced.withColumn("_local", F.row_number().over(inside))
-    return (
-        local.join(offsets, [*keys, "_slice"])
-        .withColumn(position, (F.col("_offset") + F.col("_local")).cast("long"))
-        .select(*df.columns, position, size)
+    return placed.join(shifts, [*keys, "_part"]).select(
+        *[F.col(f"`{c}`") for c in df.columns], (F.col("_place") + F.col("_shift")).alias(position), size
     )
 
 

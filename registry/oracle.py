@@ -406,7 +406,7 @@ ORACLE["parse_event_props"] = "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS
 CATEGORIES = ("macro", "energy", "banking", "forex", "corporate")
 DAILY = SCORES + f""",
 daily AS (SELECT date, category, {even('avg(sentiment_compound)', 6)} AS sentiment FROM scored GROUP BY date, category)"""
-NUMBERED_TITLES = f"""SELECT date, category, title, row_number() OVER (PARTITION BY date, category ORDER BY norm, title, doc_id) AS rn
+NUMBERED_TITLES = f"""SELECT date, category, title, row_number() OVER (PARTITION BY date, category ORDER BY substr(norm, 1, 128), doc_id) AS rn
     FROM (SELECT *, {NORM} AS norm FROM scored)"""
 ORACLE["daily_titles"] = select(SCORES, f"""SELECT date, category, CAST((rn - 1) // 3 AS INTEGER) AS part,
     string_agg(title, ' | ' ORDER BY rn) AS title FROM ({NUMBERED_TITLES}) GROUP BY ALL""")

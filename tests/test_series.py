@@ -35,17 +35,26 @@ def test_positions_match_a_window(spark, bars):
         assert {r["_size"] for r in rows} == {len(rows)}
 
 
-def test_positions_of_a_hot_key_do_not_meet_in_one_task(spark):
-    # 60 000 rows of one key: no window partition may see more than one hour of them.
+@pytest.mark.parametrize("spread", ["hours", "one_instant"])
+def test_positions_of_a_hot_key_do_not_meet_in_one_task(spark, spread):
+    # One key holds nearly all rows, in one case at one instant: still no task may hold most of them.
     start = dt.datetime(2024, 1, 1)
-    df = spark.range(60_000).select(
-        F.lit("HOT").alias("ticker"), (F.lit(start) + F.make_dt_interval(secs=F.col("id") * 7)).alias("ts"), "id"
+    step = F.col("id") * 7 if spread == "hours" else F.lit(0)
+    df = spark.range(80_000).select(
+        F.when(F.col("id") < 100, "A").otherwise("HOT").alias("ticker"),
+        (F.lit(start) + F.make_dt_interval(secs=step)).alias("ts"), "id", F.repeat(F.lit("x"), 200).alias("body"),
     )
-    got = series.number_rows(df, "ticker", ["ts", "id"])
-    assert got.filter(F.col("_position") != F.col("id") + 1).count() == 0
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    windows = [line for line in plan.splitlines() if "row_number()" in line and "Window [" in line]
-    assert windows and all("_slice" in line.split("windowspecdefinition")[1] for line in windows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = series.number_rows(df, "ticker", ["ts", "id"])
+        first = F.when(F.col("ticker") == "A", 0).otherwise(100)
+        assert got.filter(F.col("_position") != F.col("id") - first + 1).count() == 0
+        assert {(r[0], r[1]) for r in got.select("ticker", "_size").distinct().collect()} == {("A", 100), ("HOT", 79_900)}
+        tables = [p for p in got.inputFiles()]
+        sizes = sorted(spark.read.parquet(p).count() for p in tables)
+        assert len(sizes) == 4 and sizes[-1] < 2 * 80_000 / 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_rows_without_key_or_order_are_left_out(spark):
