@@ -8,15 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own_root: str | None = None
+
+
 def durable_root(spark: SparkSession) -> str:
     """The shared folder of the cluster, from ``spark.checkpoint.dir``.
 
     Only a session that names none (a local test run) gets a folder of its own.
     """
+    global _own_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="marketfeat-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        _own_root = _own_root or tempfile.mkdtemp(prefix="marketfeat-")
+        root = _own_root
     return root.rstrip("/")
 
 

@@ -406,20 +406,18 @@ def score_text(spark, sf):
     return a.select("id", "sentiment_label", r("sentiment_score"), r("sentiment_compound"))
 
 
-def _word_count_model():
-    """Model factory of the pluggable scorer: the same word counts, in Python."""
-    import re
-
-    def pattern(words):
-        return re.compile(r"\b(?:" + "|".join(words) + r")\b", re.IGNORECASE)
+@query
+def score_text_model(spark, sf):
+    """The pluggable scorer, with the same word counts in Python as its model."""
+    positive, negative = list(roles.POSITIVE), list(roles.NEGATIVE)
 
-    up, down = pattern(("that", "the", "le", "der")), pattern(("this", "from", "la", "thanedble"))
-    return lambda texts: [[len(up.findall(t)), len(down.findall(t)), 0.5] for t in texts]
+    def factory():
+        import re
 
+        up, down = (re.compile(r"\b(?:" + "|".join(words) + r")\b", re.IGNORECASE) for words in (positive, negative))
+        return lambda texts: [[len(up.findall(t)), len(down.findall(t)), 0.5] for t in texts]
 
-@query
-def score_text_model(spark, sf):
-    a = sentiment.score_text(roles.articles(spark, sf).select("id", "title"), "title", model_factory=_word_count_model)
+    a = sentiment.score_text(roles.articles(spark, sf).select("id", "title"), "title", model_factory=factory)
     return a.select("id", "sentiment_label", r("sentiment_score"), r("sentiment_compound"))
 
 
