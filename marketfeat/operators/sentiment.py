@@ -115,20 +115,28 @@ def daily_titles(
 
     ``part`` numbers the cells from 0; an ordinary day has one. Titles come in the order of
     the first 128 characters of their normalized text, then of the columns ``order`` (say,
-    the id). A day with very many titles is numbered across tasks.
+    the id). If the largest (date, category), which is counted first, fits one cell, each
+    group is joined directly; otherwise titles are numbered across tasks and cut into cells.
     """
-    titled = articles.filter(F.col("title").isNotNull())
+    titled = articles.filter(
+        F.col("title").isNotNull() & F.to_date("date").isNotNull() & F.col("category").isNotNull()
+    )
     lead = F.substring(normalize_title(F.col("title")), 1, 128).alias("_lead")
     ties = [F.col(c) for c in order] if order else [F.xxhash64("title").alias("_hash")]
     rows = titled.select(F.to_date("date").alias("date"), "category", "title", lead, *ties)
-    numbered = number_rows(rows, ["date", "category"], ["_lead", *(order or ["_hash"])])
-    cell = F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("_position", "title"))), lambda r: r["title"]
-    ), " | ")
-    return (
-        numbered.withColumn("part", F.floor((F.col("_position") - 1) / F.lit(per_cell)).cast("int"))
-        .groupBy("date", "category", "part").agg(cell.alias("title"))
-    )
+    ranks = ["_lead", *(order or ["_hash"])]
+
+    def cell(*first: str) -> Column:
+        sorted_rows = F.array_sort(F.collect_list(F.struct(*first, "title")))
+        return F.array_join(F.transform(sorted_rows, lambda r: r["title"]), " | ").alias("title")
+
+    largest = titled.groupBy(F.to_date("date"), "category").count().agg(F.max("count")).first()[0] or 0
+    if largest <= per_cell:
+        whole = rows.groupBy("date", "category").agg(cell(*ranks))
+        return whole.select("date", "category", F.lit(0).alias("part"), "title")
+    numbered = number_rows(rows, ["date", "category"], ranks)
+    part = F.floor((F.col("_position") - 1) / F.lit(per_cell)).cast("int").alias("part")
+    return numbered.groupBy("date", "category", part).agg(cell("_position"))
 
 
 def daily_sentiment(
