@@ -212,12 +212,12 @@ def test_worklists(spark):
 def test_merged_news(spark):
     from marketfeat.functions.rules import RelevanceRules
 
-    a = spark.createDataFrame([("2024-01-02", "equities|macro", "PSX up"), ("bad", "macro", "No date"), ("2024-01-02", "sport", "x")],
+    a = spark.createDataFrame([("2024-01-02", "equities|macro", "Index up"), ("bad", "macro", "No date"), ("2024-01-02", "sport", "x")],
                               "date string, category string, title string")
-    b = spark.createDataFrame([("2024-01-01", "economy", None, "psx UP!"), ("2024-01-03", "economy", "forex", "Asia falls"),
+    b = spark.createDataFrame([("2024-01-01", "economy", None, "index UP!"), ("2024-01-03", "economy", "forex", "Asia falls"),
                                ("2024-01-03", "economy", "banking", "Deposits rise")],
                               "date string, category string, subcategory string, title string")
     got = pipeline.merged_news({"dawn": a, "mettis": b}, fixed_values.CATEGORY_MAP, fixed_values.SOURCE_PRIORITY,
                                RelevanceRules(foreign=("^asia",)), fixed_values.CATEGORY_COLUMNS)
-    assert {tuple(r) for r in got.collect()} == {(day(1), "mettis", "macro", "psx UP!"), (day(3), "mettis", "banking", "Deposits rise")}
+    assert {tuple(r) for r in got.collect()} == {(day(1), "mettis", "macro", "index UP!"), (day(3), "mettis", "banking", "Deposits rise")}
     assert F is not None
