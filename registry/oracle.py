@@ -14,7 +14,7 @@ def r(col: str, digits: int = 6, alias: str | None = None) -> str:
     return f"round({name}, {digits}) + 0.0 AS {alias or name}"
 
 
-EXACT = {"open", "high", "low", "close", "ldcp", "true_range", "lowest", "highest", "sentiment_relevant", "sentiment_ticker"}
+EXACT = {"open", "high", "low", "close", "ldcp", "true_range", "lowest", "highest"}
 
 
 def rs(cols, digits: int = 6) -> str:
@@ -494,7 +494,7 @@ decayed AS (
 )"""
 
 
-NEWS_OUT = f"ticker, date, {rs(['sentiment_relevant', 'sentiment_ticker'])}, news_count"
+NEWS_OUT = f"ticker, date, {r('sentiment_relevant', 10)}, {r('sentiment_ticker', 10)}, news_count"
 ORACLE["news_features_join"] = select(CLEAN + "," + NEWS + flags_of("clean"), f"SELECT {NEWS_OUT} FROM flags")
 ORACLE["news_decay_join"] = select(CLEAN + "," + NEWS + decay_of("clean"), f"SELECT {NEWS_OUT} FROM decayed")
 
@@ -517,10 +517,10 @@ NAMES = {
 COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in FEATURES)
 ORACLE["feature_matrix"] = select(MATRIX + NEWS.strip() + flags_of("bars"), f"""SELECT f3.ticker, f3.date, round(f3.close, 8) + 0.0 AS close,
     {', '.join(f'round(CAST({c} AS DOUBLE), 4) + 0.0 AS {NAMES.get(c, c)}' for c in FEATURES)},
-    {', '.join(f'round(CAST({c} AS DOUBLE), 8) + 0.0 AS {c}' for c in ('sentiment_relevant', 'sentiment_ticker', 'news_count'))}, target
+    {', '.join(f'round(CAST({c} AS DOUBLE), 10) + 0.0 AS {c}' for c in ('sentiment_relevant', 'sentiment_ticker', 'news_count'))}, target
     FROM f3 JOIN flags USING (ticker, date) WHERE {COMPLETE}""")
 ORACLE["feature_matrix_decay"] = select(MATRIX + NEWS.strip() + decay_of("bars"), f"""SELECT f3.ticker, f3.date,
-    {', '.join(f'round(CAST({c} AS DOUBLE), 8) + 0.0 AS {c}' for c in ('sentiment_relevant', 'sentiment_ticker', 'news_count'))}, target
+    {', '.join(f'round(CAST({c} AS DOUBLE), 10) + 0.0 AS {c}' for c in ('sentiment_relevant', 'sentiment_ticker', 'news_count'))}, target
     FROM f3 JOIN decayed USING (ticker, date) WHERE {COMPLETE}""")
 
 # -- pages, work lists, announcements -----------------------------------------------

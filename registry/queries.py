@@ -33,8 +33,8 @@ def r(name: str, digits: int = 6, alias: str | None = None) -> Column:
     return (F.round(F.col(f"`{name}`"), digits) + F.lit(0.0)).alias(alias or name)
 
 
-# Prices are cents over a quantity up to 50 and may end in a 5 at the 7th digit; means of two scores too.
-EXACT = {"open", "high", "low", "close", "ldcp", "true_range", "lowest", "highest", "sentiment_relevant", "sentiment_ticker"}
+# Prices are cents over a quantity up to 50 and may end in a 5 at the 7th digit.
+EXACT = {"open", "high", "low", "close", "ldcp", "true_range", "lowest", "highest"}
 
 
 def rounded(df: DataFrame, keys: list[str], cols: list[str], digits: int = 6) -> DataFrame:
@@ -307,13 +307,13 @@ def broadcast_check(spark, sf):
 @query
 def news_features_join(spark, sf):
     flags = joins.join_news_flags(roles.clean(spark, sf), roles.scored_articles(spark, sf), _dim(), roles.MENTIONS)
-    return flags.select(*TD, r("sentiment_relevant", 8), r("sentiment_ticker", 8), "news_count")
+    return flags.select(*TD, r("sentiment_relevant", 10), r("sentiment_ticker", 10), "news_count")
 
 
 @query
 def news_decay_join(spark, sf):
     decay = joins.join_news_decay(roles.clean(spark, sf), roles.scored_articles(spark, sf), _dim(), roles.MENTIONS, half_life=3.7)
-    return decay.select(*TD, r("sentiment_relevant", 8), r("sentiment_ticker", 8), "news_count")
+    return decay.select(*TD, r("sentiment_relevant", 10), r("sentiment_ticker", 10), "news_count")
 
 
 @query
@@ -674,12 +674,12 @@ def _matrix(spark: SparkSession, sf: str, decay: bool = False) -> DataFrame:
 @query
 def feature_matrix(spark, sf):
     m = _matrix(spark, sf)
-    return m.select(*TD, r("close", 8), *[r(c, 8 if c in EXACT else 4) for c in features.FEATURE_COLUMNS], "target")
+    return m.select(*TD, r("close", 8), *[r(c, 10 if c in features.NEWS_COLUMNS else 4) for c in features.FEATURE_COLUMNS], "target")
 
 
 @query
 def feature_matrix_decay(spark, sf):
-    return _matrix(spark, sf, decay=True).select(*TD, *[r(c, 8) for c in features.NEWS_COLUMNS], "target")
+    return _matrix(spark, sf, decay=True).select(*TD, *[r(c, 10) for c in features.NEWS_COLUMNS], "target")
 
 
 # -- aggregations, sorts, unions ----------------------------------------------------
