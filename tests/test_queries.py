@@ -40,7 +40,8 @@ def table(columns, rows):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"classifier_train", "stacked_ensemble", "score_splits"}
+    own = {q for q in set(QUERIES) - set(SQL) if QUERIES[q].__module__.startswith("registry")}
+    assert own == {"classifier_train", "stacked_ensemble", "score_splits"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
