@@ -7,7 +7,7 @@ the words that it depends on. A window holds those symbols whose dependence lies
 whatever stands around them.
 
 Each window is filed under its widest symbol (ties by name), a run of neighbouring windows with one symbol in one record, and
-one Spark exchange brings the records of a symbol together. There a window's own 64-bit hash verifies the repeat, and all but the first
+one Spark exchange brings the records of a symbol together. There the window's own hash, 56 bits beside the symbol's 64, verifies the repeat, and all but the first
 (smallest doc_id, then start) go. Windows that hold no symbol are filed under their hash. A task first drops what repeats
 within it, so a symbol that a third of all documents share arrives once a chunk; a symbol's records are read in order, in batches.
 """
@@ -28,6 +28,8 @@ from marketfeat.llm.common import table
 ROUNDS, SPAN, WINDOW = 3, 6, 20
 #: Words named at once; a document is never cut. Window hashes compared at once.
 CHUNK, COMPARED = 300_000, 1_000_000
+#: Bytes of a window's hash that a record carries, beside the 64 bits of its symbol.
+KEPT = 7
 _LAST = (1 << 63) - 1
 _FAR = np.int64(1 << 40)
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -157,9 +159,9 @@ def _named(docs: DataFrame, window: int) -> DataFrame:
         cut[1:] = (at[1:] != at[:-1] + 1) | (name[1:] != name[:-1]) | (firsts[1:] != firsts[:-1])
         heads = np.flatnonzero(cut)
         ends = np.append(heads[1:], len(at))
-        data = hashes.tobytes()
+        data = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes()
         # A repeat carries its length only; any name will do, so it is spread by its hash.
-        values = [data[8 * a:8 * b] if f else None for a, b, f in zip(heads.tolist(), ends.tolist(), firsts[heads].tolist())]
+        values = [data[KEPT * a:KEPT * b] if f else None for a, b, f in zip(heads.tolist(), ends.tolist(), firsts[heads].tolist())]
         names = np.where(firsts, name, hashes)[heads].view(np.int64)
         length = np.where(firsts[heads], 0, ends - heads)
         return pa.RecordBatch.from_arrays([
@@ -245,10 +247,12 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             rows = np.flatnonzero(~local)
             if len(rows):
                 values = [v for v in batch.column(4).to_pylist() if v is not None]
-                n = np.array([len(v) // 8 for v in values])
+                n = np.array([len(v) // KEPT for v in values])
+                full = np.zeros((int(n.sum()), 8), np.uint8)
+                full[:, :KEPT] = np.frombuffer(b"".join(values), np.uint8).reshape(-1, KEPT)
                 inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 parts.append((np.repeat(name[rows], n), np.repeat(ids[rows], n), np.repeat(tags[rows], n),
-                              np.repeat(start[rows], n) + inner, np.frombuffer(b"".join(values), np.uint64)))
+                              np.repeat(start[rows], n) + inner, full.view("<u8").ravel()))
                 held += int(n.sum())
             if held > COMPARED:
                 yield flush()
