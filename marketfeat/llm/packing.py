@@ -8,12 +8,14 @@ pieces of each length (in slices, for lengths that many pieces have), and joins
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,9 @@ from marketfeat.session import checkpointed
 
 CAPACITY, END = 1024, 2
 #: Words whose ids a task remembers, in two generations.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
+#: Characters encoded at once.
+CHARS = 1_000_000
 _APART = re.compile(r"(?<=\S) (?=\S)")
 _WHITE = re.compile(r"\s\s")
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -36,33 +40,32 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        cuts = _APART.split(text) if _WHITE.search(text) else text.split(" ")
-        cuts = [cuts[0], *[" " + c for c in cuts[1:]]]
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text; what is new in all of them is encoded at once."""
+        cut = []
+        for text in texts:
+            parts = _APART.split(text) if _WHITE.search(text) else text.split(" ")
+            cut.append([parts[0], *[" " + c for c in parts[1:]]])
         young, old = self.young, self.old
-        try:
-            return b"".join([young[c] for c in cuts])
-        except KeyError:
-            pass
-        new = [c for c in set(cuts) if c not in young]
         missing = []
-        for c in new:
+        for c in {c for parts in cut for c in parts if c not in young}:
             if c in old:
                 young[c] = old[c]
             else:
                 missing.append(c)
-        for c, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
+        for c, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
             young[c] = np.asarray(e.ids, "<u4").tobytes()
-        found = b"".join([young[c] for c in cuts])
+        for parts in cut:
+            yield b"".join([young[c] for c in parts])
         if len(young) > REMEMBERED:
             self.old, self.young = {c: v for c, v in young.items() if len(c) < 64}, {}
-        return found
 
 
 _encoders: dict[str, Encoder] = {}
@@ -75,6 +78,18 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _grouped(texts: pa.Array) -> Iterator[list[str]]:
+    part: list[str] = []
+    size = 0
+    for text in texts:
+        part.append(text.as_py() or "")
+        size += len(part[-1])
+        if size > CHARS:
+            yield part
+            part, size = [], 0
+    yield part
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
     """Pieces of each row of ``docs`` (doc_id, text): its ids and END, cut from the end into ``capacity`` tokens.
 
@@ -87,8 +102,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: bool
         end = np.asarray([END], "<u4").tobytes()
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = encode(text.as_py() or "") + end
+            for doc_id, data in zip(batch.column(0).to_pylist(), chain.from_iterable(map(encode, _grouped(batch.column(1))))):
+                data += end
                 n = len(data) // 4
                 cut = n - (-(-n // capacity) - 1) * capacity
                 for piece, (a, b) in enumerate(zip([0, *range(cut, n, capacity)], [*range(cut, n, capacity), n])):
