@@ -50,7 +50,7 @@ def templates(docs: DataFrame, lead: int = LEAD, min_lines: int = MIN_LINES) ->
 
     The template is a hash of its constant tokens and their positions.
     """
-    lines = parsed(docs, lead)
+    lines = checkpointed(parsed(docs, lead))
     leaves = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_lines).select("leaf")
     shared = checkpointed(lines.join(leaves, "leaf"))
     words = shared.select("doc_id", "_h", "pos", "leaf", F.posexplode(F.split("masked", " ")).alias("at", "token"))
