@@ -53,17 +53,25 @@ def scaler_fit(df: DataFrame, cols: Sequence[str], key: str = "ticker", ts: str
 
 
 def scaler_apply(df: DataFrame, state: DataFrame, cols: Sequence[str], key: str = "ticker") -> DataFrame:
-    """``(x - mean) / scale`` on the listed columns of every split; other columns stay as they are."""
+    """``(x - mean) / scale`` on the listed columns of every split; other columns stay as they are.
+
+    Rows of a key without state stay, with NULL in the listed columns; ``keys_without_state`` names them.
+    """
     wide = state.groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "scale")))).alias("_state")
     )
-    joined = df.join(wide, key)
+    joined = df.join(wide, key, "left")
     scaled = {
         c: ((F.col(f"`{c}`") - F.col("_state")[c]["mean"]) / F.col("_state")[c]["scale"]).alias(c) for c in cols
     }
     return joined.select(*[scaled.get(c, F.col(f"`{c}`")) for c in df.columns])
 
 
+def keys_without_state(df: DataFrame, state: DataFrame, key: str = "ticker") -> DataFrame:
+    """Keys of ``df`` that have no scaler state, as those without train rows, and their rows."""
+    return df.join(state.select(key).distinct(), key, "left_anti").groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def train_end_date(df: DataFrame, key: str = "ticker", ts: str = "date") -> DataFrame:
     """Last train date per key."""
     return df.filter(F.col("split") == "train").groupBy(key).agg(F.max(ts).alias("train_end_date"))

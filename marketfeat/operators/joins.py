@@ -51,15 +51,20 @@ def ffill_by_date(df: DataFrame, calendar: DataFrame, col: str, by: str = "categ
     return days.withColumn(col, F.coalesce(F.last(col, ignorenulls=True).over(so_far), F.lit(fill)))
 
 
-def join_sentiment(prices: DataFrame, daily: DataFrame, lag: int = 1, fill: float = 0.0) -> DataFrame:
+def join_sentiment(
+    prices: DataFrame, daily: DataFrame, lag: int = 1, fill: float = 0.0, categories: Sequence[str] | None = None
+) -> DataFrame:
     """Prices (with ``category``) and the lagged sentiment of their category on the same date.
 
     ``daily`` is ``(date, category, sentiment)``. Only values that fall on a price date take
     part; gaps carry the last value forward over the price dates of the category, and dates
-    before the first value get ``fill``. Tickers without a category that has news stay out.
+    before the first value get ``fill``, and so does a category without any news. Tickers without a category stay out, and
+    with ``categories`` those of any other.
     """
     lagged = sentiment_lag(daily, lag)
-    served = prices.join(daily.select("category").distinct(), "category", "left_semi")
+    served = prices.filter(F.col("category").isNotNull())
+    if categories is not None:
+        served = served.filter(F.col("category").isin(*categories))
     filled = ffill_by_date(lagged, served, "sentiment", fill=fill)
     return served.join(filled, ["category", "date"], "left")
 

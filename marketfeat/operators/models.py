@@ -113,7 +113,10 @@ def fit_stack(samples: DataFrame, base: DirectionModel, sizes: dict | None = Non
         numTrees=size["rf_trees"], maxDepth=size["rf_depth"], featureSubsetStrategy="0.6", seed=seed,
     ).fit(train)
     stack = StackedModel(base, gbt, forest, None)
-    stack.meta = LogisticRegression(maxIter=1000, regParam=0.0).fit(checkpointed(stack._meta_features(val)))
+    features = checkpointed(stack._meta_features(val))
+    # Penalty 1 on the sum of the losses; Spark's loss is their mean.
+    penalty = 1.0 / max(1, features.count())
+    stack.meta = LogisticRegression(maxIter=1000, regParam=penalty, standardization=False).fit(features)
     return stack
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,11 +15,13 @@ _own_root: str | None = None
 def durable_root(spark: SparkSession) -> str:
     """The shared folder of the cluster, from ``spark.checkpoint.dir``.
 
-    Only a session that names none (a local test run) gets a folder of its own.
+    Only a local session that names none gets a folder of its own; on a cluster each executor would write to its own disk.
     """
     global _own_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         _own_root = _own_root or tempfile.mkdtemp(prefix="marketfeat-")
         root = _own_root
     return root.rstrip("/")

@@ -440,7 +440,7 @@ ORACLE["category_summary"] = select(BARS, f"""SELECT {TICKERS} AS category, coun
 ORACLE["write_partitioned"] = select(BARS, f"SELECT ticker, date, {r('close', 8)}, {TICKERS} AS category FROM bars")
 MERGED = CLEAN + "," + LAGGED + f""",
 priced AS (SELECT *, {TICKERS} AS category FROM clean),
-served AS (SELECT * FROM priced WHERE category IN (SELECT category FROM daily)),
+served AS (SELECT * FROM priced WHERE category IS NOT NULL),
 days AS (SELECT DISTINCT category, date FROM served),
 filled AS (
     SELECT d.category, d.date, coalesce(last_value(l.sentiment IGNORE NULLS) OVER (

@@ -168,3 +168,25 @@ def test_whole_pipeline(spark):
     assert predictions.count() == sum(r["n"] for r in summary.collect()) > 0
     assert {r["split"] for r in summary.collect()} == {"train", "val", "test"}
     assert features.FEATURE_COLUMNS[0] in matrix.columns
+
+
+def test_keys_without_train_rows_stay(spark):
+    from marketfeat.operators import dataset
+
+    df = spark.createDataFrame([("A", 1.0, "train"), ("A", 3.0, "train"), ("B", 5.0, "test")], "ticker string, x double, split string")
+    state = spark.createDataFrame([("A", "x", 2.0, 1.0)], "ticker string, feature string, mean double, scale double")
+    got = sorted(map(tuple, dataset.scaler_apply(df, state, ["x"]).collect()))
+    assert got == [("A", -1.0, "train"), ("A", 1.0, "train"), ("B", None, "test")]
+    assert [tuple(r) for r in dataset.keys_without_state(df, state).collect()] == [("B", 1)]
+
+
+def test_category_without_news_stays(spark):
+    import datetime as dt
+
+    from marketfeat.operators import joins
+
+    day = dt.date(2020, 1, 1)
+    prices = spark.createDataFrame([("A", day, "banking"), ("B", day, "energy"), ("C", day, None)], "ticker string, date date, category string")
+    daily = spark.createDataFrame([(day, "banking", 0.5)], "date date, category string, sentiment double")
+    got = {r["ticker"]: r["sentiment"] for r in joins.join_sentiment(prices, daily).collect()}
+    assert got == {"A": 0.0, "B": 0.0}
