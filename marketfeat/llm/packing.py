@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -24,7 +25,7 @@ from marketfeat.session import checkpointed
 
 CAPACITY, END = 1024, 2
 #: Words whose ids a task remembers, in two generations.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Characters encoded at once.
 CHARS = 1_000_000
 _APART = re.compile(r"(?<=\S) (?=\S)")
@@ -49,21 +50,23 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text; what is new in all of them is encoded at once."""
-        cut = []
-        for text in texts:
-            parts = _APART.split(text) if _WHITE.search(text) else text.split(" ")
-            cut.append([parts[0], *[" " + c for c in parts[1:]]])
+        # A cut is known by its text without the space before it; the first of a text has none.
+        cut = [_APART.split(text) if _WHITE.search(text) else text.split(" ") for text in texts]
+        firsts = [parts[0] for parts in cut]
         young, old = self.young, self.old
+        new = set().union(*[parts[1:] for parts in cut]).difference(young)
         missing = []
-        for c in {c for parts in cut for c in parts if c not in young}:
+        for c in new:
             if c in old:
                 young[c] = old[c]
             else:
                 missing.append(c)
-        for c, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            young[c] = np.asarray(e.ids, "<u4").tobytes()
-        for parts in cut:
-            yield b"".join([young[c] for c in parts])
+        made = self.tokenizer.encode_batch_fast([*firsts, *[" " + c for c in missing]], add_special_tokens=False)
+        ids = [array("I", e.ids).tobytes() for e in made]
+        young.update(zip(missing, ids[len(firsts):]))
+        get = young.__getitem__
+        for first, parts in zip(ids, cut):
+            yield first + b"".join(map(get, parts[1:]))
         if len(young) > REMEMBERED:
             self.old, self.young = {c: v for c, v in young.items() if len(c) < 64}, {}
 
