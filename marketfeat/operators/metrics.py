@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketfeat.functions.numeric import array_round
-from marketfeat.operators.series import number_rows
+from marketfeat.operators.series import number_rows, placed_rows
 
 THRESHOLD = 0.5
-SCORE_SLICES = 256
 EPOCH_BLOCK = 262_144
 
 
@@ -26,9 +25,9 @@ def _join_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFram
 def auc(df: DataFrame, by: Sequence[str], score: str = "prob_up", actual: str = "actual") -> DataFrame:
     """Exact area under the ROC curve with ties; NULL for a group with one class.
 
-    Rows shrink to one per distinct score first. The negatives below a score are then
-    counted in two steps: over slices of the score range, cut at quantiles so that
-    slices are of like size, and inside a slice. No task holds all scores of a group,
+    Rows shrink to one per distinct score first, range-partitioned by group and score, so
+    slices grow in number with the partitions. The negatives below a score are then counted
+    inside its slice and over the slices before. No task holds all scores of a group,
     and where the cuts fall cannot change the result.
     """
     by = list(by)
@@ -38,21 +37,19 @@ def auc(df: DataFrame, by: Sequence[str], score: str = "prob_up", actual: str =
         .groupBy(*by, "_score")
         .agg(F.count_if(F.col(actual) == 1).alias("_pos"), F.count_if(F.col(actual) != 1).alias("_neg"))
     )
-    marks = [i / SCORE_SLICES for i in range(1, SCORE_SLICES)]
-    cuts = per_score.groupBy(*by).agg(F.percentile_approx("_score", marks).alias("_cuts"))
-    sliced = _join_on(per_score, cuts, by).select(
-        *by, "_score", "_pos", "_neg",
-        F.size(F.filter("_cuts", lambda c: c < F.col("_score"))).alias("_slice"),
+    sliced = placed_rows(per_score, by, ["_score"]).drop("_place")
+    # With c negatives below in its own slice and b in the slices before, a score's share is pos * (b + c + neg / 2).
+    inside = Window.partitionBy(*by, "_part").orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("_neg").over(inside), F.lit(0))
+    slices = sliced.withColumn("_won", F.col("_pos") * (below + F.col("_neg") / 2.0)).groupBy(*by, "_part").agg(
+        F.sum("_won").alias("_won"), F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg")
     )
-    totals = sliced.groupBy(*by, "_slice").agg(F.sum("_neg").alias("_slice_neg"))
-    earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, "_slice", F.coalesce(F.sum("_slice_neg").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*by, "_slice").orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = sliced.withColumn("_below", F.coalesce(F.sum("_neg").over(inside), F.lit(0)))
-    joined = _join_on(ranked, totals, [*by, "_slice"]).withColumn("_below", F.col("_below") + F.col("_before"))
-    wins = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0))
+    # One row per group and slice: a group has at most as many as there are range partitions.
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_neg").over(earlier), F.lit(0))
+    wins = F.sum(F.col("_won") + F.col("_pos") * F.col("_before"))
     pairs = F.sum("_pos").cast("double") * F.sum("_neg")
-    return joined.groupBy(*by).agg((wins / F.nullif(pairs, F.lit(0.0))).alias("auc"))
+    return slices.withColumn("_before", before).groupBy(*by).agg((wins / F.nullif(pairs, F.lit(0.0))).alias("auc"))
 
 
 def acc_f1(

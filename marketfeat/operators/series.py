@@ -83,6 +83,14 @@ def _drop_null_order(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df
 
 
+def placed_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows sorted over all partitions, with ``_part`` (range partition) and ``_place`` (rising in it, without gaps), stored."""
+    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    # The id counts rows inside a partition in its low 33 bits; the partition is above them.
+    placed = checkpointed(ranged.withColumn("_place", F.monotonically_increasing_id()))
+    return placed.withColumn("_part", F.shiftright("_place", 33))
+
+
 def number_rows(
     df: DataFrame,
     key: str | Sequence[str],
@@ -99,10 +107,7 @@ def number_rows(
     keys = as_keys(key)
     order = list(order)
     df = _drop_null_order(df, keys + order[:1])
-    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    # The id counts rows inside a partition in its low 33 bits; the partition is above them.
-    placed = checkpointed(ranged.withColumn("_place", F.monotonically_increasing_id()))
-    placed = placed.withColumn("_part", F.shiftright("_place", 33))
+    placed = placed_rows(df, keys, order)
     runs = placed.groupBy(*keys, "_part").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     # One row per key and partition: a key has at most as many as there are partitions.
     whole = Window.partitionBy(*keys)
