@@ -19,9 +19,6 @@ LABELS = ("positive", "negative", "neutral")
 SIGNS = {"positive": 1.0, "negative": -1.0, "neutral": 0.0}
 CATEGORIES = ("macro", "energy", "banking", "forex", "corporate")
 
-# Titles of one (date, category) that share one text cell.
-TITLES_PER_CELL = 50_000
-
 
 def logits_to_sentiment(a: Column, b: Column, c: Column) -> Column:
     """Struct ``(sentiment_label, sentiment_score, sentiment_compound)`` from three logits.
@@ -96,7 +93,10 @@ def score_text(
 # -- daily aggregates ---------------------------------------------------------------
 
 def daily_scores(articles: DataFrame, categories: Sequence[str] = CATEGORIES) -> DataFrame:
-    """Per (date, category): mean compound rounded to 6 digits, in the column of its own category, 0 elsewhere."""
+    """The wide daily table, one row per (date, category): mean compound rounded to 6 digits in the column of its own category, 0 elsewhere.
+
+    Its titles are a table of their own, ``daily_titles``.
+    """
     grouped = (
         articles.withColumn("date", F.to_date("date"))
         .filter(F.col("date").isNotNull() & F.col("category").isNotNull())
@@ -108,54 +108,35 @@ def daily_scores(articles: DataFrame, categories: Sequence[str] = CATEGORIES) ->
     ])
 
 
-def daily_titles(
-    articles: DataFrame, order: Sequence[str] | None = None, per_cell: int = TITLES_PER_CELL
-) -> DataFrame:
-    """Titles per (date, category) joined by `` | ``, in cells of at most ``per_cell`` titles.
+def daily_titles(articles: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
+    """Every title as a row ``(date, category, rank, title)``, ranked from 1 inside its (date, category).
 
-    ``part`` numbers the cells from 0; an ordinary day has one. Titles come in the order of
-    the first 128 characters of their normalized text, then of the columns ``order`` (say,
-    the id). If the largest (date, category), which is counted first, fits one cell, each
-    group is joined directly; otherwise titles are numbered across tasks and cut into cells.
+    The order is that of the whole normalized title, then of the columns ``order`` (say, the id; without
+    one, a hash of the title). Rows without title, date or category are left out. Titles are numbered
+    over range partitions, so a day of any size spreads over tasks and the result has one shape.
     """
     titled = articles.filter(
         F.col("title").isNotNull() & F.to_date("date").isNotNull() & F.col("category").isNotNull()
     )
-    lead = F.substring(normalize_title(F.col("title")), 1, 128).alias("_lead")
-    ties = [F.col(c) for c in order] if order else [F.xxhash64("title").alias("_hash")]
-    rows = titled.select(F.to_date("date").alias("date"), "category", "title", lead, *ties)
-    ranks = ["_lead", *(order or ["_hash"])]
-
-    def cell(*first: str) -> Column:
-        sorted_rows = F.array_sort(F.collect_list(F.struct(*first, "title")))
-        return F.array_join(F.transform(sorted_rows, lambda r: r["title"]), " | ").alias("title")
-
-    largest = titled.groupBy(F.to_date("date"), "category").count().agg(F.max("count")).first()[0] or 0
-    if largest <= per_cell:
-        whole = rows.groupBy("date", "category").agg(cell(*ranks))
-        return whole.select("date", "category", F.lit(0).alias("part"), "title")
-    numbered = number_rows(rows, ["date", "category"], ranks)
-    part = F.floor((F.col("_position") - 1) / F.lit(per_cell)).cast("int").alias("part")
-    return numbered.groupBy("date", "category", part).agg(cell("_position"))
-
-
-def daily_sentiment(
-    articles: DataFrame,
-    categories: Sequence[str] = CATEGORIES,
-    order: Sequence[str] | None = None,
-    per_cell: int = TITLES_PER_CELL,
-) -> DataFrame:
-    """The wide daily table: date, category, title, one sentiment column per category.
+    ties = {f"_tie{i}": F.col(c) for i, c in enumerate(order)} if order else {"_tie0": F.xxhash64("title")}
+    rows = titled.select(
+        F.to_date("date").alias("date"), "category", "title", normalize_title(F.col("title")).alias("_lead"),
+        *[c.alias(n) for n, c in ties.items()],
+    )
+    numbered = number_rows(rows, ["date", "category"], ["_lead", *ties])
+    return numbered.select("date", "category", F.col("_position").alias("rank"), "title")
+
+
+def title_cells(titles: DataFrame, per_cell: int) -> DataFrame:
+    """``(date, category, part, title)``: the rows of ``daily_titles`` joined by `` | ``, ``per_cell`` to a text, in order.
 
-    A (date, category) with more than ``per_cell`` titles spans several rows, told apart
-    by ``part``; the scores repeat. Joins to prices use ``daily_scores``, which has no titles.
+    A step before a sink that wants one text per day. A task holds one cell at a time, so ``per_cell`` times the
+    longest title should fit its memory. ``part`` numbers the cells of a day from 0, at every size.
     """
-    scores = daily_scores(articles, categories)
-    titles = daily_titles(articles, order, per_cell)
-    joined = scores.join(titles, ["date", "category"], "left")
-    return joined.select(
-        "date", "category", F.coalesce("title", F.lit("")).alias("title"),
-        *[f"sentiment_{c}" for c in categories], F.coalesce("part", F.lit(0)).alias("part"),
+    part = F.floor((F.col("rank") - 1) / F.lit(per_cell)).cast("int").alias("part")
+    rows = F.array_sort(F.collect_list(F.struct("rank", "title")))
+    return titles.groupBy("date", "category", part).agg(
+        F.array_join(F.transform(rows, lambda x: x["title"]), " | ").alias("title")
     )
 
 

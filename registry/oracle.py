@@ -344,7 +344,7 @@ q AS (SELECT *, """ + even('exp(top) / (exp(a) + exp(b) + exp(c))', 6) + """ AS
 SELECT vec_id, CASE WHEN a = top THEN 'positive' WHEN b = top THEN 'negative' ELSE 'neutral' END AS sentiment_label,
     s + 0.0 AS sentiment_score, CASE WHEN a = top THEN s WHEN b = top THEN -s ELSE 0.0 END + 0.0 AS sentiment_compound FROM q"""
 
-ORACLE["read_articles"] = select(ARTICLES, "SELECT id, source, date, title FROM articles WHERE source IN ('src1', 'src2')")
+ORACLE["read_articles"] = select(ARTICLES, "SELECT id, source, date, title FROM articles WHERE source IS NOT NULL")
 ORACLE["headline_gate"] = select(ARTICLES, f"SELECT id, title FROM articles WHERE {GATE}")
 ORACLE["headline_gate_desc"] = select(ARTICLES, f"SELECT id, category FROM articles WHERE {GATE_DESC}")
 R = roles.RELEVANCE
@@ -389,7 +389,7 @@ ORACLE["dedup_cross_source"] = select(ARTICLES, "SELECT id, date, source FROM ("
     f"(SELECT *, {NORM} AS norm FROM articles)", "norm", f"date, {PRIORITY}, source, doc_id") + ")")
 ORACLE["merged_news"] = select(ARTICLES + f""",
 m0 AS (SELECT *, {NORM} AS norm FROM (SELECT * REPLACE ({CATEGORY} AS category) FROM articles
-       WHERE source IN ('src1', 'src2', 'src3') AND {CATEGORY} IS NOT NULL)),
+       WHERE source IS NOT NULL AND {CATEGORY} IS NOT NULL)),
 m1 AS ({first_rows('m0', 'norm', f'date, {PRIORITY}, source, title')})""",
     f"SELECT date, source, category, title FROM (SELECT *, lower(title) AS t FROM m1) WHERE {RELEVANT} = 1")
 ORACLE["text_scalars"] = select(ARTICLES, """SELECT id, url_key AS url_key,
@@ -406,14 +406,13 @@ ORACLE["parse_event_props"] = "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS
 CATEGORIES = ("macro", "energy", "banking", "forex", "corporate")
 DAILY = SCORES + f""",
 daily AS (SELECT date, category, {even('avg(sentiment_compound)', 6)} AS sentiment FROM scored GROUP BY date, category)"""
-NUMBERED_TITLES = f"""SELECT date, category, title, row_number() OVER (PARTITION BY date, category ORDER BY substr(norm, 1, 128), doc_id) AS rn
+NUMBERED_TITLES = f"""SELECT date, category, title, row_number() OVER (PARTITION BY date, category ORDER BY norm, doc_id) AS rn
     FROM (SELECT *, {NORM} AS norm FROM scored)"""
-ORACLE["daily_titles"] = select(SCORES, f"""SELECT date, category, CAST((rn - 1) // 3 AS INTEGER) AS part,
+ORACLE["daily_titles"] = select(SCORES, f"SELECT date, category, rn AS rank, title FROM ({NUMBERED_TITLES})")
+ORACLE["daily_title_cells"] = select(SCORES, f"""SELECT date, category, CAST((rn - 1) // 3 AS INTEGER) AS part,
     string_agg(title, ' | ' ORDER BY rn) AS title FROM ({NUMBERED_TITLES}) GROUP BY ALL""")
-ORACLE["daily_sentiment_pivot"] = select(DAILY, f"""SELECT date, category, title, {', '.join(
-    f"CASE WHEN category = '{c}' THEN sentiment ELSE 0.0 END + 0.0 AS sentiment_{c}" for c in CATEGORIES)}, 0 AS part
-    FROM daily JOIN (SELECT date, category, string_agg(title, ' | ' ORDER BY rn) AS title FROM ({NUMBERED_TITLES}) GROUP BY ALL)
-    USING (date, category)""")
+ORACLE["daily_sentiment_pivot"] = select(DAILY, f"""SELECT date, category, {', '.join(
+    f"CASE WHEN category = '{c}' THEN sentiment ELSE 0.0 END + 0.0 AS sentiment_{c}" for c in CATEGORIES)} FROM daily""")
 LAGGED = DAILY + """,
 lagged AS (SELECT * FROM (
     SELECT date, category, lag(sentiment) OVER (PARTITION BY category ORDER BY date) AS sentiment FROM daily)

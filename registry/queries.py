@@ -54,13 +54,18 @@ def read_bars(spark, sf):
     return rounded(bar_io.read_bars(spark, path), TD, OHLC)
 
 
+def stored_sources(spark, sf, root: str) -> list[str]:
+    """Articles stored by source; the names of the sources, one row each."""
+    a = roles.articles(spark, sf).filter("source IS NOT NULL")
+    a.write.partitionBy("source").parquet(root)
+    return sorted(x[0] for x in roles.table(spark, sf, "documents").select("source").distinct().collect() if x[0] is not None)
+
+
 @query
 def read_articles(spark, sf):
     root = durable_path(spark, "articles")
-    a = roles.articles(spark, sf)
-    for part in ("src1", "src2"):
-        a.filter(F.col("source") == part).drop("source").write.parquet(f"{root}/{part}")
-    found = news_io.read_articles(spark, {"src1": f"{root}/src1", "src2": f"{root}/src2", "none": f"{root}/none"})
+    names = stored_sources(spark, sf, root)
+    found = news_io.read_articles(spark, {**{s: f"{root}/source={s}" for s in names}, "none": f"{root}/none"})
     return found.select("id", "source", "date", "title")
 
 
@@ -423,14 +428,19 @@ def score_text_model(spark, sf):
 
 @query
 def daily_sentiment_pivot(spark, sf):
-    d = sentiment.daily_sentiment(roles.scored_articles(spark, sf), order=["doc_id"])
-    return d.select("date", "category", "title", *[r(f"sentiment_{c}") for c in sentiment.CATEGORIES], "part")
+    d = sentiment.daily_scores(roles.scored_articles(spark, sf))
+    return d.select("date", "category", *[r(f"sentiment_{c}") for c in sentiment.CATEGORIES])
 
 
 @query
 def daily_titles(spark, sf):
+    return sentiment.daily_titles(roles.scored_articles(spark, sf), order=["doc_id"])
+
+
+@query
+def daily_title_cells(spark, sf):
     """Cells of three titles, so that most days span several."""
-    return sentiment.daily_titles(roles.scored_articles(spark, sf), order=["doc_id"], per_cell=3)
+    return sentiment.title_cells(sentiment.daily_titles(roles.scored_articles(spark, sf), order=["doc_id"]), per_cell=3)
 
 
 @query
@@ -441,14 +451,13 @@ def sentiment_lag(spark, sf):
 
 @query
 def merged_news(spark, sf):
-    """Two sources to one clean table: category map, union, cross-source dedup, relevance."""
-    a = roles.articles(spark, sf)
-    sources = {s: a.filter(F.col("source") == s).drop("source") for s in ("src1", "src2", "src3")}
+    """All sources to one clean table: category map, union, cross-source dedup, relevance."""
+    root = durable_path(spark, "sources")
+    names = stored_sources(spark, sf, root)
+    sources = {s: spark.read.parquet(f"{root}/source={s}") for s in names}
     return pipeline.merged_news(sources, roles.CATEGORY_TABLE, roles.PRIORITY, roles.RELEVANCE)
 
 
-# -- window functions ---------------------------------------------------------------
-
 @query
 def ldcp_change(spark, sf):
     return rounded(indicators.ldcp_change(roles.bars(spark, sf)), TD, ["ldcp", "close", "change", "change_pct"], 4)

@@ -47,19 +47,31 @@ DDL = "date date, category string, title string, sentiment_compound double"
 
 
 def test_daily_sentiment(spark):
-    d = sentiment.daily_sentiment(spark.createDataFrame(ARTICLES, DDL))
-    rows = {(r["date"], r["category"]): r for r in d.collect()}
-    assert rows[(day(1), "macro")]["title"] == "A title | b title"
+    articles = spark.createDataFrame(ARTICLES, DDL)
+    rows = {(r["date"], r["category"]): r for r in sentiment.daily_scores(articles).collect()}
     assert rows[(day(1), "macro")]["sentiment_macro"] == 0.375 and rows[(day(1), "macro")]["sentiment_energy"] == 0.0
-    assert rows[(day(1), "energy")]["title"] == "" and rows[(day(1), "energy")]["sentiment_energy"] == -0.5
+    assert rows[(day(1), "energy")]["sentiment_energy"] == -0.5
     assert len(rows) == 5
-
-
-def test_a_day_with_many_titles_spans_cells(spark):
-    rows = [(day(1), "macro", f"title {i:04d}", 0.5) for i in range(1000)]
-    d = sentiment.daily_sentiment(spark.createDataFrame(rows, DDL), per_cell=300).orderBy("part").collect()
-    assert [r["part"] for r in d] == [0, 1, 2, 3]
-    assert " | ".join(r["title"] for r in d).split(" | ") == [r[2] for r in rows]
+    titles = sentiment.daily_titles(articles)
+    first = [(r["rank"], r["title"]) for r in titles.filter("category = 'macro'").orderBy("date", "rank").collect()]
+    assert first == [(1, "A title"), (2, "b title"), (1, "c"), (1, "d")]
+    cells = {(r["date"], r["category"]): r["title"] for r in sentiment.title_cells(titles, 10).collect()}
+    assert cells[(day(1), "macro")] == "A title | b title" and (day(1), "energy") not in cells
+
+
+def test_daily_titles_have_one_shape_and_the_whole_order_at_every_size(spark):
+    few = sentiment.daily_titles(spark.createDataFrame([(day(1), "macro", f"t{i}", 0.5) for i in range(10)], DDL))
+    ids = spark.range(200_000).select(
+        F.lit(day(1)).alias("date"), F.lit("macro").alias("category"), F.lit(0.5).alias("sentiment_compound"),
+        F.concat(F.lit("x" * 130), F.lpad((F.col("id") * 7919 % 200_000).cast("string"), 6, "0")).alias("title"),
+    )
+    many = sentiment.daily_titles(ids)
+    assert few.dtypes == many.dtypes and few.count() == 10
+    wrong = many.filter(F.col("rank") - 1 != F.substring("title", 131, 6).cast("long")).count()
+    assert many.count() == 200_000 and wrong == 0
+    assert sentiment.daily_scores(ids).count() == 1
+    cells = sentiment.title_cells(few, 4).orderBy("part").collect()
+    assert [r["title"] for r in cells] == ["t0 | t1 | t2 | t3", "t4 | t5 | t6 | t7", "t8 | t9"]
 
 
 def test_price_join_lags_fills_and_ignores_days_without_prices(spark):
