@@ -81,11 +81,12 @@ def extract_links(
     pinned articles are left out. The URL comes out without query and trailing slash.
     ``keep`` names page columns to carry along.
     """
-    anchor = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*"([^"]*)"[^>]*>(.*?)</a>"""
-    links = F.arrays_zip(
-        F.regexp_extract_all("html", F.lit(anchor), 1).alias("href"),
-        F.regexp_extract_all("html", F.lit(anchor), 2).alias("text"),
-    )
+    # A target stands in double quotes, single quotes or bare; the groups that a link doesn't use are empty.
+    anchor = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a>"""
+    found = [F.regexp_extract_all("html", F.lit(anchor), i) for i in range(1, 5)]
+    joined = lambda a, b: F.concat(a, b)
+    href = F.zip_with(F.zip_with(found[0], found[1], joined), found[2], joined)
+    links = F.arrays_zip(href.alias("href"), found[3].alias("text"))
     rows = pages.select(*keep, F.col("url").alias("_page"), F.explode(links).alias("_link")).select(
         *keep,
         absolute_url(python_strip(F.col("_link.href")), F.col("_page")).alias("_href"),

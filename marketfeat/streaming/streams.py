@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,3 +75,19 @@ def drain(sdf: DataFrame, path: str | None = None, checkpoint: str | None = None
     )
     query.awaitTermination()
     return spark.read.schema(sdf.schema).parquet(target)
+
+
+def finish(
+    drained: DataFrame, rows: DataFrame, build: Callable[[DataFrame], DataFrame], start: str, ts: str = "ts"
+) -> DataFrame:
+    """The drained table of a bounded run, and the windows that its watermark left open.
+
+    ``build`` is the windowed operator, ``rows`` its whole input as a batch, ``start`` its column with the start of a
+    window. Windows leave a stream in the order of their ends, so those after the last drained one are open; only
+    their rows are read again. The stream's own table and state stay as they are, so a later ``drain`` continues.
+    """
+    last = drained.agg(F.max(start)).first()[0]
+    rows = event_time(rows, ts)
+    if last is None:
+        return drained.unionByName(build(rows))
+    return drained.unionByName(build(rows.filter(F.col(ts) > F.lit(last))).filter(F.col(start) > F.lit(last)))

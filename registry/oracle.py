@@ -649,9 +649,9 @@ ORACLE["intraday_indicators"] = select(INTRADAY, """SELECT ticker, event_id,
           WHEN close = 0 AND later > 0 THEN 'infinity'::DOUBLE END, 4) + 0.0 AS next_ret FROM i2""")
 ORACLE["stream_first_seen"] = "SELECT event_id, event_type FROM events"
 ORACLE["stream_daily_sentiment"] = """SELECT CAST(ts AS DATE) AS date, event_type AS category, round(avg(value), 6) + 0.0 AS mean_value, count(*) AS n
-    FROM events WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL"""
+    FROM events GROUP BY ALL"""
 ORACLE["stream_headline_gate"] = f"""SELECT doc_id, {labels('title')} AS labels FROM (SELECT doc_id, text AS title FROM documents) WHERE {GATE}"""
 ORACLE["stream_ohlc"] = """SELECT CAST(ts AS DATE) AS date, event_type AS ticker, round(arg_min(value, row(ts, event_id)), 6) + 0.0 AS open,
     round(max(value), 6) + 0.0 AS high, round(min(value), 6) + 0.0 AS low,
     round(arg_max(value, row(ts, event_id)), 6) + 0.0 AS close, round(sum(1.0::DOUBLE), 6) + 0.0 AS volume
-    FROM events WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL"""
+    FROM events GROUP BY ALL"""

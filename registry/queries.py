@@ -866,8 +866,9 @@ def stream_first_seen(spark, sf):
 
 @query
 def stream_daily_sentiment(spark, sf):
-    events = streams.read_stream(spark, sf, "events.parquet")
-    out = streams.drain(streams.stream_daily_sentiment(events, "value", "event_type", "ts", "1 day"))
+    build = lambda df: streams.stream_daily_sentiment(df, "value", "event_type", "ts", "1 day")
+    drained = streams.drain(build(streams.read_stream(spark, sf, "events.parquet")))
+    out = streams.finish(drained, roles.table(spark, sf, "events"), build, "date")
     return out.select("date", "category", r("mean_value"), "n")
 
 
@@ -880,6 +881,8 @@ def stream_headline_gate(spark, sf):
 
 @query
 def stream_ohlc(spark, sf):
-    events = streams.read_stream(spark, sf, "events.parquet").withColumn("volume", F.lit(1.0))
-    bars = streams.drain(streams.stream_ohlc(events, "1 day", "event_type", "value", "volume", "ts", ["event_id"]))
+    build = lambda df: streams.stream_ohlc(
+        df.withColumn("volume", F.lit(1.0)), "1 day", "event_type", "value", "volume", "ts", ["event_id"])
+    drained = streams.drain(build(streams.read_stream(spark, sf, "events.parquet")))
+    bars = streams.finish(drained, roles.table(spark, sf, "events"), build, "bar_start")
     return bars.select(F.col("bar_start").cast("date").alias("date"), "ticker", *[r(c, 8) for c in OHLC])

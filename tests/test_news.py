@@ -46,6 +46,17 @@ ARTICLES = [
 DDL = "date date, category string, title string, sentiment_compound double"
 
 
+def test_links_in_any_quotes(spark):
+    html = """<a class=x href='/n/1'>single quoted one</a><a href=/n/2>a bare target too</a>
+        <A HREF="/n/3" id='b'>double quoted one</A><a href="">no target at all</a>"""
+    pages = spark.createDataFrame([("https://a.example/", html)], "url string, html string")
+    got = {(r["url"], r["title"]) for r in news_io.extract_links(pages, r"/n/(\d+)").collect()}
+    assert got == {
+        ("https://a.example/n/1", "single quoted one"), ("https://a.example/n/2", "a bare target too"),
+        ("https://a.example/n/3", "double quoted one"),
+    }
+
+
 def test_daily_sentiment(spark):
     articles = spark.createDataFrame(ARTICLES, DDL)
     rows = {(r["date"], r["category"]): r for r in sentiment.daily_scores(articles).collect()}

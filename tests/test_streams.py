@@ -41,6 +41,21 @@ def test_daily_sentiment_equals_batch_and_drops_late_rows(spark, tmp_path):
     assert all(later[k] == v for k, v in first.items()) and len(later) == 14
 
 
+def test_a_bounded_run_finishes_with_the_open_windows(spark, tmp_path):
+    folder, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    build = lambda df: streams.stream_daily_sentiment(df, "value", "category", "ts", "1 day")
+    key = lambda r: (r["date"], r["category"], r["mean_value"], r["n"])
+    put(spark, folder, rows_of([0]))
+    for days in (1, 6):
+        if days > 1:
+            put(spark, folder, rows_of(range(1, days)))
+        drained = streams.drain(build(streams.read_stream(spark, folder)), out, check)
+        rows = spark.read.parquet(folder)
+        whole = sorted(map(key, build(rows).collect()))
+        assert drained.count() == max(0, 2 * (days - 2))
+        assert sorted(map(key, streams.finish(drained, rows, build, "date").collect())) == whole
+
+
 def test_ohlc(spark, tmp_path):
     folder = str(tmp_path / "in")
     put(spark, folder, rows_of(range(4)))
