@@ -95,6 +95,24 @@ def test_vectors(spark):
     assert all(got[500 + i]["component_id"] == got[0]["component_id"] for i in range(5))
 
 
+def test_vectors_of_large_buckets(spark, monkeypatch):
+    """Blocks of any size count the same links as pairs do, each once."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((3, 12))
+    rows = [(i, [float(x) for x in base[i % 3] + 0.05 * rng.standard_normal(12)], i % 7 // 6) for i in range(150)]
+    rows += [(200 + i, rows[i][1], rows[i][2]) for i in range(0, 20, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+
+    def result(hot, block):
+        monkeypatch.setattr(embeddings, "HOT", hot)
+        monkeypatch.setattr(embeddings, "BLOCK", block)
+        return sorted(map(tuple, embeddings.near_duplicates(df).collect()))
+
+    pairs = result(10_000, 8)
+    assert sum(r[1] for r in pairs) > 1000
+    assert result(10, 2048) == pairs and result(6, 9) == pairs
+
+
 def test_pipeline(spark, testdata):
     import corpus_pipeline
 
