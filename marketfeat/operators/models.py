@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (
+    GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel,
+    RandomForestClassifier,
+)
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketfeat.functions.numeric import array_round
@@ -53,6 +56,25 @@ class DirectionModel:
     def probabilities(self, samples: DataFrame) -> DataFrame:
         return _up(self.model, with_features(samples, self.seq_len), "prob_up")
 
+    def save(self, path: str, spark: SparkSession, overwrite: bool = False) -> None:
+        """Write the model below ``path``, a folder that driver and executors share. An existing one raises unless ``overwrite``."""
+        _write(self.model, f"{path}/model", overwrite)
+        facts = spark.createDataFrame([(self.seq_len, self.reg_param, self.val_auc)], _FACTS)
+        facts.coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{path}/facts")
+
+    @classmethod
+    def load(cls, path: str, spark: SparkSession) -> DirectionModel:
+        """The model that ``save`` wrote below ``path``."""
+        facts = spark.read.schema(_FACTS).parquet(f"{path}/facts").first()
+        return cls(LogisticRegressionModel.load(f"{path}/model"), facts["seq_len"], facts["reg_param"], facts["val_auc"])
+
+
+_FACTS = "seq_len int, reg_param double, val_auc double"
+
+
+def _write(model, path: str, overwrite: bool) -> None:
+    (model.write().overwrite() if overwrite else model.write()).save(path)
+
 
 def fit_classifier(
     samples: DataFrame,
@@ -99,6 +121,20 @@ class StackedModel:
     def probabilities(self, samples: DataFrame) -> DataFrame:
         return _up(self.meta, self._meta_features(with_features(samples, self.base.seq_len)), "prob_up")
 
+    def save(self, path: str, spark: SparkSession, overwrite: bool = False) -> None:
+        """Write all four models below ``path``, as ``DirectionModel.save`` does."""
+        self.base.save(f"{path}/base", spark, overwrite)
+        for name, model in (("gbt", self.gbt), ("forest", self.forest), ("meta", self.meta)):
+            _write(model, f"{path}/{name}", overwrite)
+
+    @classmethod
+    def load(cls, path: str, spark: SparkSession) -> StackedModel:
+        """The models that ``save`` wrote below ``path``."""
+        return cls(
+            DirectionModel.load(f"{path}/base", spark), GBTClassificationModel.load(f"{path}/gbt"),
+            RandomForestClassificationModel.load(f"{path}/forest"), LogisticRegressionModel.load(f"{path}/meta"),
+        )
+
 
 def fit_stack(samples: DataFrame, base: DirectionModel, sizes: dict | None = None, seed: int = 42) -> StackedModel:
     """Base learners on ``train``, the joining model on ``val`` probabilities so that it sees no train leakage."""

@@ -142,7 +142,7 @@ def samples(spark):
     return df.withColumn("date", F.date_add(F.lit("2020-01-01").cast("date"), F.col("i"))).drop("i").cache()
 
 
-def test_classifier_and_stack_learn(spark, samples):
+def test_classifier_and_stack_learn(spark, samples, tmp_path):
     base = models.fit_classifier(samples, 4, grid=(0.0, 0.1))
     assert base.val_auc > 0.9
     stack = models.fit_stack(samples, base, {"gbt_trees": 5, "gbt_depth": 3, "gbt_rate": 0.3, "rf_trees": 5, "rf_depth": 4})
@@ -151,6 +151,13 @@ def test_classifier_and_stack_learn(spark, samples):
         assert scored.columns == ["ticker", "date", "actual", "prob_up", "pred", "correct", "split"] and scored.count() == 720
         test = metrics.metrics_summary(scored).filter("split = 'test'").collect()
         assert len(test) == 3 and min(r["auc"] for r in test) > 0.85
+        path = str(tmp_path / type(model).__name__)
+        model.save(path, spark)
+        again = type(model).load(path, spark)
+        assert sorted(models.score_splits(again, samples).collect()) == sorted(scored.collect())
+        with pytest.raises(Exception, match="(?i)already exists"):
+            model.save(path, spark)
+        model.save(path, spark, overwrite=True)
 
 
 def test_pooling(spark, samples):
