@@ -98,6 +98,37 @@ def test_one_of_each(spark, texts):
     assert sorted(i for i in ids if i is not None) == sorted(set(found.values()))
 
 
+def test_distinct_documents_against_jaccard(spark, texts):
+    rng = random.Random(8)
+    rows = [r for r in texts if r[0] is not None]
+    for i in range(24):  # families of near copies, more or less edited
+        base = [f"v{rng.randrange(3000)}" for _ in range(rng.choice([40, 120, 400]))]
+        for _ in range(6):
+            edited = list(base)
+            for _ in range(rng.randrange(0, len(base) // 60 + 2)):
+                edited[rng.randrange(len(edited))] = f"e{rng.randrange(3000)}"
+            rows.append((1000 + len(rows), " ".join(edited)))
+
+    def shingled(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, group = [shingled(t) for _, t in rows], list(range(len(rows)))
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    near = [(i, j) for i, j in links if sets[i] != sets[j]]
+    for i, j in links * 4:
+        group[i] = group[j] = min(group[i], group[j])
+    assert all(group[i] == group[j] for i, j in links) and len(near) > 100
+    least = {}
+    for g, (i, _) in zip(group, rows):
+        least[g] = min(least.get(g, i), i)
+    kept = simhash.distinct_documents(corpus(spark, rows))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(least.values())
+    # Most of these pairs are farther apart than the 3 bits of op6.
+    fps = [simhash.fingerprint(t, 5) & (1 << 64) - 1 for _, t in rows]
+    assert sum((fps[i] ^ fps[j]).bit_count() <= 3 for i, j in near) < len(near) / 2
+
+
 def test_packing(spark, texts):
     from tokenizers import Tokenizer
 
