@@ -2,9 +2,9 @@
 
 A line's place in the tree is its number of tokens and its first LEAD tokens, where a token with a digit is a field. Inside a
 leaf, a token stays in the template if MIN_LINES lines have it at that position; every other position is a field
-``<*>``. A template whose constant share is at least CONSTANT, found in MIN_CONTEXTS different surroundings (line before and
-after), recurs: its first line (smallest doc_id, then position) stays and the others go. Surroundings are counted, not documents, so
-copies of one document don't make its lines recur; those are left to document deduplication. DataFrame functions only.
+``<*>``. A template whose constant share is at least CONSTANT, found in MIN_DOCUMENTS different documents, recurs: its first line (smallest
+doc_id, then position) stays and the others go. Documents are different if their whole texts are, so exact copies of one document don't make
+its lines recur; those are left to document deduplication. Neighbouring and blank lines don't matter. DataFrame functions only.
 
 Cost: leaves are counted first, so only lines of leaves with MIN_LINES lines are taken apart. Counts are summed before each exchange; no
 window or list holds the lines of a leaf.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from marketfeat.llm.common import table
 from marketfeat.session import checkpointed
 
-LEAD, MIN_LINES, MIN_CONTEXTS, CONSTANT = 3, 5, 5, 0.6
+LEAD, MIN_LINES, MIN_DOCUMENTS, CONSTANT = 3, 5, 5, 0.6
 
 
 def _text() -> Column:
@@ -31,14 +31,10 @@ def _document() -> list[Column]:
 
 
 def parsed(docs: DataFrame, lead: int = LEAD) -> DataFrame:
-    """``doc_id``, ``_h``, ``pos``, ``masked``, ``leaf``, ``around`` of each line that isn't blank."""
-    lines = F.split(_text(), "\n")
-    nothing = F.array(F.lit(None).cast("string"))
-    beside = F.arrays_zip(lines.alias("line"), F.concat(nothing, lines).alias("before"), F.slice(lines, 2, 1 << 30).alias("after"))
-    rows = docs.filter(F.col("doc_id").isNotNull()).select(*_document(), F.posexplode(beside).alias("pos", "l"))
-    masked = F.trim(F.regexp_replace(F.regexp_replace("l.line", r"\s+", " "), r"\S*\d\S*", "<*>"))
-    rows = rows.select("doc_id", "_h", "pos", masked.alias("masked"), F.xxhash64("l.before", "l.after").alias("around"))
-    rows = rows.filter("masked != ''")
+    """``doc_id``, ``_h``, ``pos``, ``masked``, ``leaf`` of each line that isn't blank."""
+    rows = docs.filter(F.col("doc_id").isNotNull()).select(*_document(), F.posexplode(F.split(_text(), "\n")).alias("pos", "line"))
+    masked = F.trim(F.regexp_replace(F.regexp_replace("line", r"\s+", " "), r"\S*\d\S*", "<*>"))
+    rows = rows.select("doc_id", "_h", "pos", masked.alias("masked")).filter("masked != ''")
     tokens = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
     return rows.withColumn("tokens", tokens).withColumn(
         "leaf", F.xxhash64("tokens", F.substring_index("masked", " ", lead))
@@ -46,7 +42,7 @@ def parsed(docs: DataFrame, lead: int = LEAD) -> DataFrame:
 
 
 def templates(docs: DataFrame, lead: int = LEAD, min_lines: int = MIN_LINES) -> DataFrame:
-    """``doc_id``, ``_h``, ``pos``, ``around``, ``leaf``, ``template``, ``share`` of each line in a leaf of ``min_lines`` lines.
+    """``doc_id``, ``_h``, ``pos``, ``leaf``, ``template``, ``share`` of each line in a leaf of ``min_lines`` lines.
 
     The template is a hash of its constant tokens and their positions.
     """
@@ -60,19 +56,19 @@ def templates(docs: DataFrame, lead: int = LEAD, min_lines: int = MIN_LINES) ->
         F.bit_xor(F.xxhash64("at", "token")).alias("template"), F.count_distinct("at").alias("constants")
     )
     return shared.join(found, ["doc_id", "_h", "pos"]).select(
-        "doc_id", "_h", "pos", "around", "leaf", "template", (F.col("constants") / F.col("tokens")).alias("share")
+        "doc_id", "_h", "pos", "leaf", "template", (F.col("constants") / F.col("tokens")).alias("share")
     )
 
 
 def recurring(
-    docs: DataFrame, lead: int = LEAD, min_lines: int = MIN_LINES, min_contexts: int = MIN_CONTEXTS, constant: float = CONSTANT
+    docs: DataFrame, lead: int = LEAD, min_lines: int = MIN_LINES, min_documents: int = MIN_DOCUMENTS, constant: float = CONSTANT
 ) -> DataFrame:
     """``doc_id``, ``_h``, ``drop`` (positions): the lines that go. A document's list is no longer than the document."""
     lines = checkpointed(templates(docs, lead, min_lines).filter(F.col("share") >= constant))
     key = ["leaf", "template"]
-    often = lines.groupBy(*key, "around").agg(F.min(F.struct("doc_id", "_h", "pos")).alias("first")).groupBy(*key).agg(
+    often = lines.groupBy(*key, "_h").agg(F.min(F.struct("doc_id", "_h", "pos")).alias("first")).groupBy(*key).agg(
         F.count(F.lit(1)).alias("n"), F.min("first").alias("first")
-    ).filter(F.col("n") >= min_contexts)
+    ).filter(F.col("n") >= min_documents)
     again = lines.join(often, key).filter(F.struct("doc_id", "_h", "pos") != F.col("first"))
     return again.groupBy("doc_id", "_h").agg(F.collect_set("pos").alias("drop"))
 

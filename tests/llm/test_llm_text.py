@@ -276,6 +276,18 @@ def test_lines(spark):
     assert got[58]["text"] == copy and got[80]["text"] is None and got[81]["text"] == "" and got[None]["n_dropped"] == 0
 
 
+def test_lines_count_documents(spark):
+    block = "License of this work\nall rights are reserved\nno warranty is given\nsee the whole notice"
+    rows = [(i, f"opening{chr(97 + i)} words\n{block}\nclosing{chr(97 + i)} words") for i in range(8)]
+    rows += [(20 + i, f"start{chr(97 + i)} here\n\nsubscribe to our letter\n\nend{chr(97 + i)} there") for i in range(8)]
+    again = "one line over and over\n" * 10 + "last"
+    rows += [(40, again), *[(50 + i, "a whole text here\ncopied as it is") for i in range(9)]]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(corpus(spark, rows)).collect()}
+    assert got[0] == rows[0][1] and got[20] == rows[8][1] and got[40] == again and got[58] == rows[-1][1]
+    assert all(got[i] == f"opening{chr(97 + i)} words\nclosing{chr(97 + i)} words" for i in range(1, 8))
+    assert all(got[20 + i] == f"start{chr(97 + i)} here\n\n\nend{chr(97 + i)} there" for i in range(1, 8))
+
+
 def test_empty_tables(spark):
     none = corpus(spark, [(1, "x")]).filter("false")
     assert simhash.near_duplicates(none).count() == 0 and substrings.dedup_substrings(none).count() == 0
