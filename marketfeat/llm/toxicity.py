@@ -49,8 +49,6 @@ WORDS = re.compile(r"[^\W\d_]+")
 EDGES = ".,;:!?\"'()[]"
 #: Tokens whose words a task remembers.
 REMEMBERED = 300_000
-#: Longest stretch decoded as one lattice; a longer one is cut.
-STRETCH = 64
 _EDGE = " "
 
 
@@ -72,32 +70,61 @@ class CharModel:
         return -math.log(p)
 
 
+#: What a path has written: the part before, its last character and its length; paths share their beginnings.
+Path = tuple["Path", str, int] | None
+
+
+def _written(path: Path, end: Path = None) -> str:
+    out = []
+    while path is not end:
+        path, ch, _ = path
+        out.append(ch)
+    return "".join(reversed(out))
+
+
+def _before(p: Path, q: Path) -> bool:
+    """Whether ``p`` is the smaller text; only what comes after their common beginning is read."""
+    a, b = p, q
+    while a is not b:
+        if a is not None and (b is None or a[2] >= b[2]):
+            a = a[0]
+        else:
+            b = b[0]
+    return _written(p, a) < _written(q, a)
+
+
 def restore(stretch: str, model: CharModel) -> str:
-    """The best path through the lattice of one stretch."""
+    """The best path through the lattice of one stretch, of any length: few states a character, memory linear."""
     spaced = re.fullmatch(_SPACED, stretch) is not None
     text = stretch.lower()
-    states: dict[tuple[str, str, str], tuple[float, str]] = {(_EDGE, _EDGE, ""): (0.0, "")}
+    states: dict[tuple[str, str, str], tuple[float, Path]] = {(_EDGE, _EDGE, ""): (0.0, None)}
     for ch in text:
-        after: dict[tuple[str, str, str], tuple[float, str]] = {}
-
-        def reach(state, cost, out):
-            if state not in after or (cost, out) < after[state]:
+        after: dict[tuple[str, str, str], tuple[float, Path]] = {}
+
+        def reach(state, cost, before, wrote=""):
+            old = after.get(state)
+            if old is not None and cost > old[0]:
+                return
+            out = (before, wrote, before[2] + 1 if before else 1) if wrote else before
+            if old is None or cost < old[0] or _before(out, old[1]):
                 after[state] = (cost, out)
 
         for (a, b, raw), (cost, out) in states.items():
             if spaced and not ch.isalnum() and ch not in LOOKS:
                 reach((a, b, raw), cost + DROP, out)
                 if ch == " ":
-                    reach((b, _EDGE, ""), cost + 2 * KEEP + model.cost(a, b, _EDGE), out + " ")
+                    reach((b, _EDGE, ""), cost + 2 * KEEP + model.cost(a, b, _EDGE), out, " ")
                 continue
             if raw == ch:
                 reach((a, b, raw), cost + DROP, out)
             for to in ch + LOOKS.get(ch, ""):
                 extra = 0.0 if to.isalpha() and to == ch else KEEP if to == ch else SWAP
                 lm = model.cost(a, b, to) if to.isalpha() else 3.0
-                reach((b, to, ch), cost + extra + lm, out + to)
+                reach((b, to, ch), cost + extra + lm, out, to)
         states = after
-    return min((cost + model.cost(a, b, _EDGE), out) for (a, b, _), (cost, out) in states.items())[1]
+    ends = [(cost + model.cost(a, b, _EDGE), out) for (a, b, _), (cost, out) in states.items()]
+    best = min(cost for cost, _ in ends)
+    return min(_written(out) for cost, out in ends if cost == best)
 
 
 _memories: dict[str, dict] = {}
@@ -117,8 +144,7 @@ class Restorer:
         self.seen = _memories.setdefault(name, {}) if name else {}
 
     def _path(self, found: re.Match) -> str:
-        s = found.group()
-        return "".join(restore(s[i:i + STRETCH], self.model) for i in range(0, len(s), STRETCH))
+        return restore(found.group(), self.model)
 
     def token(self, token: str):
         plain = token.strip(EDGES)

@@ -262,6 +262,21 @@ def test_toxicity(spark):
     assert max(r["score"] for r in toxicity.score(docs, none).collect()) < 0.7
 
 
+def test_long_spaced_stretches_are_read_whole():
+    words = "you are really such a moron and nobody here wants that any more".split()
+    one, two, three = {}, {}, {}
+    text = " " + " ".join(words * 50) + " "
+    for i in range(len(text) - 2):
+        for grams, n in ((one, 1), (two, 2), (three, 3)):
+            grams[text[i:i + n]] = grams.get(text[i:i + n], 0) + 1
+    restorer = toxicity.Restorer(toxicity.CharModel(three, two, one, sum(one.values())))
+    spaced = " ".join("".join(words))
+    assert len(spaced) > 64 and restorer.text(spaced).replace(" ", "") == "".join(words)
+    assert max(map(len, restorer.text(spaced).split())) > 1 and " m o r o n " not in restorer.text(spaced)
+    long = "m0r0n" * 40
+    assert restorer.text(long) == toxicity.restore(long, restorer.model) == "moron" * 40
+
+
 def test_lines(spark):
     body = [f"alpha{chr(97 + i)} beta{chr(97 + i)} gamma" for i in range(12)]
     rows = [(i, f"{b} one\nPage {i} of the big site\n\n{b} two", "en", "s", 9, "x", 1, 2) for i, b in enumerate(body)]
