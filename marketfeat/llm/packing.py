@@ -1,8 +1,9 @@
 """Best-fit packing by bin completion.
 
 Sequences hold CAPACITY tokens, so a piece has one of CAPACITY lengths. The plan is made on the counts of lengths, a table of at most CAPACITY rows
-whatever the number of documents: around the largest length left, undominated fillings are enumerated depth first,
-bounded by the waste of the best found; the best fills as many sequences as the counts allow. Spark counts the lengths, ranks the
+whatever the number of documents. Best fit, or the fullest filling around each largest length, is the incumbent. Where it needs more sequences than
+the lower bound, a branch-and-bound looks for a plan with fewer: around the largest length left it tries every undominated filling, goes back to
+other ones, and gives a branch up once its waste is more than a better plan can have; it ends at the bound, by a proof, or after STEPS. Spark counts the lengths, ranks the
 pieces of each length (in slices, for lengths that many pieces have), and joins ranks to the places of the plan.
 """
 
@@ -24,6 +25,8 @@ from marketfeat.llm.common import ranked, table
 from marketfeat.session import checkpointed
 
 CAPACITY, END = 1024, 2
+#: Work that the branch-and-bound over sequences may take, in fillings tried and lengths looked at.
+STEPS = 2_000_000
 #: Words whose ids a task remembers, in two generations.
 REMEMBERED = 300_000
 #: Characters encoded at once.
@@ -134,9 +137,8 @@ def _batch(rows: list[list], ids: bool) -> pa.RecordBatch:
 def completions(left: list[tuple[int, int]], room: int, most: int = 4000) -> list[int]:
     """The fullest filling of ``room`` by ``left``, (length, count) with lengths falling: ties prefer larger lengths.
 
-    Depth first, larger lengths first, so the first filling is the best fit greedily found and later ones must waste less. A length is
-    tried only if the room it leaves can't be filled better by a larger one tried already at this place (dominance); a branch ends
-    when what is left in all can't reach the best. ``most`` bounds the search, not the result.
+    Depth first, larger lengths first, so the first filling is the best fit greedily found and later ones must waste less. A branch ends
+    when what is left in all can't reach the best. ``most`` bounds the search: this filling only makes an incumbent.
     """
     lengths, counts = [a for a, _ in left], [n for _, n in left]
     tail = [0] * (len(left) + 1)
@@ -181,7 +183,96 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[in
             left[a] -= k * times
             if not left[a]:
                 del left[a]
-    return min(found, fits, key=lambda p: sum(n for _, n in p))
+    best = min(found, fits, key=_size)
+    steps = [STEPS]
+    while _size(best) > bound:
+        better = _fewer(counts, capacity, _size(best) - 1, steps)
+        if better is None:
+            break
+        best = better
+    return best
+
+
+def _size(fillings: list[tuple[list[int], int]]) -> int:
+    return sum(n for _, n in fillings)
+
+
+def _fillings(left: dict[int, int], room: int, waste: int, steps: list[int]) -> Iterator[list[int]]:
+    """Undominated fillings of ``room`` by ``left`` that leave at most ``waste`` free, larger lengths first.
+
+    A filling is dominated if a length left out could take the place of nothing, of a smaller length, or of two lengths of no
+    larger sum in it: what it puts back can be used wherever that length would have been.
+    """
+    lengths = sorted(left, reverse=True)
+    tail = [0] * (len(lengths) + 1)
+    for i in range(len(lengths) - 1, -1, -1):
+        tail[i] = tail[i + 1] + lengths[i] * left[lengths[i]]
+    stack: list[tuple[int, int, list[int]]] = [(0, room, [])]
+    while stack and steps[0] > 0:
+        i, free, chosen = stack.pop()
+        steps[0] -= 1
+        while i < len(lengths) and lengths[i] > free:
+            i += 1
+        if i < len(lengths):
+            if free - tail[i] <= waste:
+                stack.append((i + 1, free, chosen))
+                for take in range(1, min(left[lengths[i]], free // lengths[i]) + 1):
+                    stack.append((i + 1, free - take * lengths[i], chosen + [lengths[i]] * take))
+        elif free <= waste:
+            out = [a for a in lengths if a <= room and chosen.count(a) < left[a]]
+            steps[0] -= len(out)
+            parts = {b: 1 for b in chosen} | {b + c: 2 for k, b in enumerate(chosen) for c in chosen[k + 1:]}
+            if not any(a <= free or any(b < a <= b + free for b in chosen) or any(
+                b <= a <= b + free and n == 2 for b, n in parts.items()
+            ) for a in out):
+                yield chosen
+
+
+def _fewer(counts: dict[int, int], capacity: int, most: int, steps: list[int]) -> list[tuple[list[int], int]] | None:
+    """A plan of at most ``most`` sequences, or None if there is none or ``steps`` run out (then ``steps[0]`` is 0 or less).
+
+    A filling is tried as often as the counts allow, then once; a state (what is left, how much was wasted) is tried once.
+    """
+    left, plan_, tried = dict(counts), [], set()
+
+    def choices(waste: int) -> Iterator[tuple[list[int], int, int]]:
+        steps[0] -= len(left)
+        largest = max(left)
+        rest = {a: n - (a == largest) for a, n in left.items() if n > (a == largest)}
+        for filling in _fillings(rest, capacity - largest, waste, steps):
+            filling = [largest, *filling]
+            free = capacity - sum(filling)
+            times = min(left[a] // filling.count(a) for a in filling)
+            if free:
+                times = min(times, waste // free)
+            for n in dict.fromkeys((times, 1)):
+                yield filling, n, waste - n * free
+
+    waste = most * capacity - sum(a * n for a, n in counts.items())
+    if waste < 0:
+        return None
+    frames = [choices(waste)]
+    while frames and steps[0] > 0:
+        step = next(frames[-1], None)
+        if step is None:
+            frames.pop()
+            if plan_:
+                filling, n = plan_.pop()
+                for a in filling:
+                    left[a] = left.get(a, 0) + n
+            continue
+        filling, n, waste = step
+        for a in filling:
+            left[a] -= n
+            if not left[a]:
+                del left[a]
+        plan_.append((filling, n))
+        if not left:
+            return plan_
+        state = hash((waste, frozenset(left.items())))
+        frames.append(iter(()) if state in tried else choices(waste))
+        tried.add(state)
+    return None
 
 
 def _best_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:

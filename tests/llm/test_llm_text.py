@@ -168,6 +168,25 @@ def test_plan_uses_every_length(seed):
     assert used == counts
 
 
+def test_plan_goes_back_to_other_fillings():
+    pieces = [614, 430, 420, 420, 399, 369, 225, 184]
+    assert sum(n for _, n in packing.plan({a: pieces.count(a) for a in pieces}, 1024)) == 3
+
+    def fewest(todo, rooms):  # brute force, each piece into every open sequence
+        if not todo:
+            return len(rooms)
+        a, best = todo[0], 99
+        for i, r in enumerate(rooms):
+            if r >= a and r not in rooms[:i]:
+                best = min(best, fewest(todo[1:], rooms[:i] + [r - a] + rooms[i + 1:]))
+        return min(best, fewest(todo[1:], rooms + [100 - a])) if len(rooms) < 8 else best
+
+    rng = random.Random(4)
+    for _ in range(150):
+        todo = sorted((rng.randrange(12, 70) for _ in range(8)), reverse=True)
+        assert sum(n for _, n in packing.plan({a: todo.count(a) for a in todo}, 100)) == fewest(todo, [])
+
+
 def test_chunks(spark, texts):
     rows = [(i, t) for i, t in texts if i not in (7, 9)]
     got = {r["doc_id"]: r for r in chunks.edited_pairs(corpus(spark, rows)).collect()}
