@@ -58,11 +58,15 @@ def join_sentiment(
 
     ``daily`` is ``(date, category, sentiment)``. Only values that fall on a price date take
     part; gaps carry the last value forward over the price dates of the category, and dates
-    before the first value get ``fill``, and so does a category without any news. Tickers without a category stay out, and
-    with ``categories`` those of any other.
+    before the first value get ``fill``, and so does a category without any news. Tickers without a category
+    (null or ``UNASSIGNED``) stay out, and with ``categories`` those of any other. Raises if ``daily`` has more than one
+    row per (category, date), which would multiply price rows.
     """
+    repeated = daily.groupBy("category", "date").count().filter("count > 1").count()
+    if repeated:
+        raise ValueError(f"{repeated} (category, date) groups have more than one sentiment row")
     lagged = sentiment_lag(daily, lag)
-    served = prices.filter(F.col("category").isNotNull())
+    served = prices.filter(F.col("category").isNotNull() & (F.col("category") != UNASSIGNED))
     if categories is not None:
         served = served.filter(F.col("category").isin(*categories))
     filled = ffill_by_date(lagged, served, "sentiment", fill=fill)

@@ -124,12 +124,11 @@ def merged_news(
     return gates.relevance_cascade(unique, rules).select("date", "source", "category", "title")
 
 
-def merge_prices(prices: DataFrame, articles: DataFrame, dim, stored: bool = False) -> DataFrame:
+def merge_prices(prices: DataFrame, articles: DataFrame, dim) -> DataFrame:
     """Indicator bars and the lagged daily sentiment of their category, for all categories in one plan.
 
-    The join needs the price dates before the price rows, so prices that are not a
-    ``stored`` table yet are written to durable storage first and computed once.
+    The daily table is written first: it is small, and both the check for repeated rows and the join read it. The calendar
+    of price dates comes from the raw keys of ``prices``, so the wide rows are neither written nor computed twice.
     """
-    daily = sentiment.category_sentiment(sentiment.daily_scores(articles))
-    priced = joins.ticker_category(prices, dim)
-    return joins.join_sentiment(priced if stored else checkpointed(priced), daily)
+    daily = checkpointed(sentiment.category_sentiment(sentiment.daily_scores(articles)))
+    return joins.join_sentiment(joins.ticker_category(prices, dim), daily)

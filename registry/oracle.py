@@ -428,7 +428,7 @@ ORACLE["sentiment_reports"] = select(SCORES, """SELECT 'label' AS report, sentim
 TICKERS = "CASE ticker " + " ".join(
     f"WHEN '{t}' THEN '{c}'" for c, ts in roles.TICKER_CATEGORIES.items() for t in ts
 ) + " ELSE 'unassigned' END"
-DIMENSION = "(SELECT p_brand AS ticker, min(p_type) AS category FROM part WHERE p_size >= 50 GROUP BY p_brand)"
+DIMENSION = "(SELECT p_brand AS ticker, min(p_type) AS category FROM part GROUP BY p_brand HAVING 2 * sum(p_size) >= 51 * count(*))"
 ORACLE["ticker_category"] = select(BARS, f"SELECT ticker, date, {TICKERS} AS category FROM bars")
 ORACLE["ticker_category_table"] = select(BARS, f"""SELECT bars.ticker, date, coalesce(category, 'unassigned') AS category
     FROM bars LEFT JOIN {DIMENSION} d ON d.ticker = bars.ticker""")
@@ -439,7 +439,7 @@ ORACLE["category_summary"] = select(BARS, f"""SELECT {TICKERS} AS category, coun
 ORACLE["write_partitioned"] = select(BARS, f"SELECT ticker, date, {r('close', 8)}, {TICKERS} AS category FROM bars")
 MERGED = CLEAN + "," + LAGGED + f""",
 priced AS (SELECT *, {TICKERS} AS category FROM clean),
-served AS (SELECT * FROM priced WHERE category IS NOT NULL),
+served AS (SELECT * FROM priced WHERE category <> 'unassigned'),
 days AS (SELECT DISTINCT category, date FROM served),
 filled AS (
     SELECT d.category, d.date, coalesce(last_value(l.sentiment IGNORE NULLS) OVER (

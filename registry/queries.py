@@ -265,9 +265,10 @@ def map_category_subcategory(spark, sf):
 
 
 def _dimension(spark: SparkSession, sf: str) -> DataFrame:
-    """Ticker dimension as a table: brands with a part of size 50 or more, by their first type."""
-    parts = roles.table(spark, sf, "part").filter("p_size >= 50")
-    return parts.groupBy(F.col("p_brand").alias("ticker")).agg(F.min("p_type").alias("category"))
+    """Ticker dimension as a table: brands whose parts have a mean size of 25.5 or more, by their first type."""
+    brands = roles.table(spark, sf, "part").groupBy(F.col("p_brand").alias("ticker"))
+    sizes = brands.agg(F.min("p_type").alias("category"), F.sum("p_size").alias("size"), F.count(F.lit(1)).alias("parts"))
+    return sizes.filter("2 * size >= 51 * parts").select("ticker", "category")
 
 
 @query
