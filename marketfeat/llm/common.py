@@ -2,11 +2,33 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import TypeVar
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketfeat.session import checkpointed
 
+#: Bytes that what a Python worker remembers may take.
+MEMORY = 48 << 20
+T = TypeVar("T")
+_held: dict[tuple, object] = {}
+
+
+def held(*key, make: Callable[[], T]) -> T:
+    """The one object that a Python worker keeps from task to task, by its key.
+
+    Workers are reused by all operators and stages: asking for another object drops the one held before, so what one
+    stage remembers never stays beside that of the next.
+    """
+    if key not in _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+        _held[key] = make()
+    return _held[key]
+
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 

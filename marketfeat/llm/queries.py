@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marketfeat.llm.bpe import op11_byte_bpe
 from marketfeat.llm.chat import OP1_SQL, op1_typed_chat
 from marketfeat.llm.chunks import op3_gear_chunks
 from marketfeat.llm.embeddings import op9_p_stable
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_typed_chat, op2_deobfuscated_toxicity, op3_gear_chunks, op4_marginal_unigrams, op5_entropy_mixing,
         op6_simhash_multi_index, op7_bin_completion, op8_recompression, op9_p_stable, op10_log_templates,
+        op11_byte_bpe,
     )
 }
 
