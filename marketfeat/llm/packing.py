@@ -9,91 +9,31 @@ pieces of each length (in slices, for lengths that many pieces have), and joins
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketfeat.llm.common import ranked, table
+from marketfeat.llm import encoding
+from marketfeat.llm.common import held, ranked, table
 from marketfeat.session import checkpointed
 
 CAPACITY, END = 1024, 2
 #: Work that the branch-and-bound over sequences may take, in fillings tried and lengths looked at.
 STEPS = 2_000_000
-#: Words whose ids a task remembers, in two generations.
-REMEMBERED = 300_000
-#: Characters encoded at once.
-CHARS = 1_000_000
-_APART = re.compile(r"(?<=\S) (?=\S)")
-_WHITE = re.compile(r"\s\s")
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class Encoder:
-    """Ids of whole texts, as little-endian unsigned 32-bit bytes.
-
-    The vocabulary's rule never joins letters across a single space between two non-white characters, so a text is cut there and the
-    ids of a cut are remembered. Other white space stays inside the cuts.
-    """
-
-    def __init__(self, path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task has one core
+def _encoder(path: str) -> encoding.Encoder:
+    def make() -> encoding.Encoder:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text; what is new in all of them is encoded at once."""
-        # A cut is known by its text without the space before it; the first of a text has none.
-        cut = [_APART.split(text) if _WHITE.search(text) else text.split(" ") for text in texts]
-        firsts = [parts[0] for parts in cut]
-        young, old = self.young, self.old
-        new = set().union(*[parts[1:] for parts in cut]).difference(young)
-        missing = []
-        for c in new:
-            if c in old:
-                young[c] = old[c]
-            else:
-                missing.append(c)
-        made = self.tokenizer.encode_batch_fast([*firsts, *[" " + c for c in missing]], add_special_tokens=False)
-        ids = [array("I", e.ids).tobytes() for e in made]
-        young.update(zip(missing, ids[len(firsts):]))
-        get = young.__getitem__
-        for first, parts in zip(ids, cut):
-            yield first + b"".join(map(get, parts[1:]))
-        if len(young) > REMEMBERED:
-            self.old, self.young = {c: v for c, v in young.items() if len(c) < 64}, {}
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One encoder a Python worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
-def _grouped(texts: pa.Array) -> Iterator[list[str]]:
-    part: list[str] = []
-    size = 0
-    for text in texts:
-        part.append(text.as_py() or "")
-        size += len(part[-1])
-        if size > CHARS:
-            yield part
-            part, size = [], 0
-    yield part
+        return encoding.Encoder(Tokenizer.from_file(path))
+
+    return held("packing", path, make=make)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
@@ -104,34 +44,36 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: bool
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
-        end = np.asarray([END], "<u4").tobytes()
+        encode = _encoder(tokenizer).encode
         for batch in batches:
-            rows: list[list] = [[], [], [], [], [], []]
-            for doc_id, data in zip(batch.column(0).to_pylist(), chain.from_iterable(map(encode, _grouped(batch.column(1))))):
-                data += end
-                n = len(data) // 4
-                cut = n - (-(-n // capacity) - 1) * capacity
-                for piece, (a, b) in enumerate(zip([0, *range(cut, n, capacity)], [*range(cut, n, capacity), n])):
-                    part = data[4 * a:4 * b]
-                    for column, value in zip(rows, (doc_id, piece, a, b - a, zlib.crc32(part))):
-                        column.append(value)
-                    if ids:
-                        rows[5].append(np.frombuffer(part, "<i4"))
-                if ids and len(rows[5]) > 4096 or len(rows[0]) > 1 << 16:
-                    yield _batch(rows, ids)
-                    rows = [[], [], [], [], [], []]
-            yield _batch(rows, ids)
+            at = 0
+            for texts in encoding.groups(batch.column(1)):
+                found, begins = encode(texts)
+                yield _cut(batch.column(0).slice(at, len(texts)), np.insert(found, begins[1:], END).astype("<u4"), begins, capacity, ids)
+                at += len(texts)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, _PIECES + ", ids array<int>" * ids
     )
 
 
-def _batch(rows: list[list], ids: bool) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())][: 5 + ids]
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + ids]
-    return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds)], names)
+def _cut(doc_ids: pa.Array, found: np.ndarray, begins: np.ndarray, capacity: int, ids: bool) -> pa.RecordBatch:
+    """Pieces of texts whose ids, with END, are ``found``; ``begins`` are their starts without the ENDs."""
+    begins = begins + np.arange(len(begins))
+    sizes = np.diff(begins)
+    many = -(-sizes // capacity)
+    doc = np.repeat(np.arange(len(sizes)), many)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+    first = sizes - (many - 1) * capacity
+    start = np.where(piece == 0, 0, first[doc] + (piece - 1) * capacity)
+    length = np.where(piece == 0, first[doc], capacity)
+    places = np.append(0, np.cumsum(length))
+    data = memoryview(found.tobytes())
+    crc = [zlib.crc32(data[a:b]) for a, b in zip((4 * places[:-1]).tolist(), (4 * places[1:]).tolist())]
+    out = [doc_ids.take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+    if ids:
+        out.append(pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(found.astype(np.int32))))
+    return pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + ids])
 
 
 def completions(left: list[tuple[int, int]], room: int, most: int = 4000) -> list[int]:
