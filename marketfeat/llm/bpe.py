@@ -75,12 +75,16 @@ class Bytes:
         return inside & self.known[np.where(inside, ids, 0)]
 
 
-def _coder(ranks_path: str, pattern: str) -> tuple[encoding.Encoder, Bytes]:
+def _coder(path: str, rule: str) -> tuple[encoding.Encoder, Bytes]:
     def make() -> tuple[encoding.Encoder, Bytes]:
-        ranks = read_ranks(ranks_path)
-        return encoding.Encoder(tokenizer_of(ranks, pattern)), Bytes(ranks)
+        ranks = read_ranks(path)
+        return encoding.Encoder(tokenizer_of(ranks, rule)), Bytes(ranks)
 
-    return held("bpe", ranks_path, pattern, make=make)
+    return held("bpe", path, rule, make=make)
+
+
+def _bytes(path: str) -> Bytes:
+    return held("bytes", path, make=lambda: Bytes(read_ranks(path)))
 
 
 def pattern() -> str:
@@ -141,7 +145,7 @@ def _lists(begins: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(values.astype(np.int32)))
 
 
-def decode(rows: DataFrame, path: str, rule: str, text: bool = False, parts: bool = False) -> DataFrame:
+def decode(rows: DataFrame, path: str, text: bool = False, parts: bool = False) -> DataFrame:
     """``rows`` (``ids``, array of integers or packed binary) with ``ids`` replaced by ``n_tokens`` and ``bytes``, other columns beside them.
 
     ``text`` adds the bytes read as UTF-8, with U+FFFD for what is no character; ``parts`` adds array<string>: the text that each id completes. A null id, or
@@ -156,7 +160,7 @@ def decode(rows: DataFrame, path: str, rule: str, text: bool = False, parts: boo
     source = rows.select(*[F.col(f"`{c}`") for c in others], ids.alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_ = _coder(path, rule)[1]
+        table_ = _bytes(path)
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             for at, part in _parts(column):
@@ -211,5 +215,5 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, rule = ranks_path(), pattern()
     encoded = encode(table(spark, sf_dir, "documents"), path, rule, packed=True)
     # The decoder gets nothing but the ids, and a copy of them to be hashed.
-    back = decode(encoded.withColumn("kept", F.col("ids")), path, rule)
+    back = decode(encoded.withColumn("kept", F.col("ids")), path)
     return back.select("doc_id", "n_tokens", F.sha2("kept", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))

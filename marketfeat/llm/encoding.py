@@ -23,6 +23,8 @@ from marketfeat.llm.common import MEMORY
 GROUP = 4 << 20
 #: Bytes of a cut that is remembered at most, and about what remembering one takes.
 KEPT, COST = 64, 250
+#: Cuts that are encoded as lines of one text.
+JOINED = 500
 _LETTER, _DIGIT, _SIGN, _OTHER, _WHITE, _SPACE = 1, 2, 3, 4, 5, 6
 _KIND = np.zeros(256, np.uint8)
 for _low, _high, _kind in ((0x21, 0x7F, _SIGN), (0x30, 0x3A, _DIGIT), (0x41, 0x5B, _LETTER), (0x61, 0x7B, _LETTER),
@@ -52,13 +54,11 @@ def groups(texts: pa.Array, size: int = GROUP) -> Iterator[pa.Array]:
         at = end
 
 
-def cut_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where cuts begin, with the end of the last; ``offsets`` are the starts of the texts with the end."""
-    if not len(data):
-        return np.zeros(1, np.int64)
+def kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of each byte; 0 for what no border is taken beside."""
     kind = _KIND[data]
     lead = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
-    if len(lead):  # white characters beyond ASCII (fixed values): no border is taken beside them
+    if len(lead):  # white characters beyond ASCII (fixed values)
         b0, b1, b2 = data[lead], data[np.minimum(lead + 1, len(data) - 1)], data[np.minimum(lead + 2, len(data) - 1)]
         two = (b0 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0))
         three = ((b0 == 0xE1) & (b1 == 0x9A) & (b2 == 0x80)) | ((b0 == 0xE3) & (b1 == 0x80) & (b2 == 0x80)) | (
@@ -67,6 +67,14 @@ def cut_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         for found, width in ((two, 2), (three, 3)):
             for k in range(width):
                 kind[lead[found] + k] = 0
+    return kind
+
+
+def cut_points(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where cuts begin, with the end of the last; ``offsets`` are the starts of the texts with the end."""
+    if not len(data):
+        return np.zeros(1, np.int64)
+    kind = kinds(data)
     solid, white = (kind > 0) & (kind < _WHITE), kind >= _WHITE
     edge = np.zeros(len(data) + 1, bool)
     edge[1:-1] = solid[:-1] & white[1:]
@@ -99,6 +107,12 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the task has one core
         self.tokenizer, self.memory = tokenizer, memory
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        #: Bytes of each token; each stands as one character.
+        self.sizes = np.zeros(tokenizer.get_vocab_size() + 1, np.int64)
+        self.sizes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        for i, t in tokenizer.get_added_tokens_decoder().items():
+            self.sizes[i] = len(t.content.encode())
         self.slots: dict[str, int] = {}
         self.flat = np.zeros(0, np.uint32)
         self.lengths, self.hits, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
@@ -115,6 +129,45 @@ class Encoder:
         self.hits, self.used = np.zeros(len(kept), np.int64), int(cost[kept].sum())
         self.slots = {cuts[i]: k for k, i in enumerate(kept.tolist())}
 
+    def _ids(self, texts: list[str]) -> np.ndarray:
+        made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(made), np.uint32, sum(map(len, made)))
+
+    def _encoded(self, different: pa.StringArray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the ``new`` ones of some different cuts, one after another, and how many each has.
+
+        A cut without white space, but for a first space, keeps its borders between line breaks: such cuts are encoded many at once, and
+        the bytes of the tokens tell whose they are.
+        """
+        data, offsets = text_bytes(different)
+        solid = kinds(data)
+        solid = (solid > 0) & (solid < _WHITE)
+        begin, end = offsets[new], offsets[new + 1]
+        others = np.concatenate(([0], np.cumsum(~solid)))
+        others = others[end] - others[begin] - ((end - begin > 1) & (data[begin] == 0x20))
+        cuts = different.take(pa.array(new)).to_pylist()
+        joined, alone = np.flatnonzero(others == 0), np.flatnonzero(others)
+        lines = ["\n".join([cuts[i] for i in joined[k:k + JOINED].tolist()]) + "\n" for k in range(0, len(joined), JOINED)]
+        lengths = np.zeros(len(new), np.int64)
+        parts = []
+        if lines:
+            ids = self._ids(lines)
+            ends = np.cumsum(self.sizes[ids])
+            breaks = np.cumsum((end - begin)[joined] + 1)
+            last = np.searchsorted(ends, breaks)  # the line break behind each cut
+            if len(ids) == 0 or ends[-1] != breaks[-1] or (ends[last] != breaks).any() or (self.sizes[ids[last]] != 1).any():
+                raise ValueError("the tokenizer joins cuts over a line break")
+            lengths[joined] = np.diff(np.concatenate(([-1], last))) - 1
+            parts.append(np.delete(ids, last))
+        if len(alone):
+            made = [e.ids for e in self.tokenizer.encode_batch_fast([cuts[i] for i in alone.tolist()], add_special_tokens=False)]
+            lengths[alone] = np.fromiter(map(len, made), np.int64, len(made))
+            parts.append(np.fromiter(chain.from_iterable(made), np.uint32, int(lengths[alone].sum())))
+        order = np.concatenate([joined, alone])
+        starts = np.zeros(len(new), np.int64)
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        return gathered(np.concatenate(parts), starts, lengths), lengths
+
     def _slots(self, different: pa.StringArray) -> np.ndarray:
         """Where the memory has each of some different cuts; new ones are encoded, those of over KEPT bytes are not found again."""
         if self.used > self.memory:
@@ -123,13 +176,12 @@ class Encoder:
         slots = np.fromiter(map(self.slots.get, cuts, repeat(-1)), np.int64, len(cuts))
         new = np.flatnonzero(slots < 0)
         if len(new):
-            made = [e.ids for e in self.tokenizer.encode_batch_fast([cuts[i] for i in new.tolist()], add_special_tokens=False)]
-            lengths = np.fromiter(map(len, made), np.int64, len(made))
+            ids, lengths = self._encoded(different, new)
             slots[new] = np.arange(len(new)) + len(self.lengths)
             sizes = np.diff(text_bytes(different)[1])[new]
             short = sizes <= KEPT
             self.slots.update(zip([cuts[i] for i in new[short].tolist()], slots[new[short]].tolist()))
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(made), np.uint32, int(lengths.sum()))])
+            self.flat = np.concatenate([self.flat, ids])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.hits = np.concatenate([self.hits, np.full(len(new), -1, np.int64)])
             self.used += int(COST * short.sum() + 4 * lengths.sum())

@@ -34,6 +34,8 @@ LONGEST, LEAST, TOP = 4, 30, 2000
 SHARE = (80, 100)
 #: Bits of the bit table: at least, at most, and for each fingerprint.
 FEWEST, MOST, EACH = 1 << 20, 1 << 28, 16
+#: Bytes of text read at once.
+GROUP = 1 << 20
 #: Slices of a language that are ranked apart before their best are ranked together.
 SLICES = 256
 _BASE = 0x9E3779B97F4A7C15
@@ -66,7 +68,7 @@ class Words:
         words = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(places), pa.py_buffer(data[word]))
         coded = words.dictionary_encode()
         self.different, self.number = coded.dictionary, coded.indices.to_numpy()
-        piece = np.cumsum(kind == 2)[self.starts] if len(data) else self.starts
+        piece = np.cumsum(kind == 2, dtype=np.int32)[self.starts] if len(data) else self.starts
         n = len(sizes)
         new = np.ones(n, bool)
         new[1:] = (piece[1:] != piece[:-1]) | (self.text[1:] != self.text[:-1])
@@ -134,7 +136,7 @@ def _frequent(docs: DataFrame, sizes: tuple[int, ...], bits: int, least: int, pa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for texts in encoding.groups(batch.column(1)):
+            for texts in encoding.groups(batch.column(1), GROUP):
                 words = Words(texts)
                 found, near = [], None
                 for k, fps in words.fingerprints(_lang_hashes(batch.column(0).slice(at, len(texts))), bits):
@@ -155,12 +157,12 @@ def _frequent(docs: DataFrame, sizes: tuple[int, ...], bits: int, least: int, pa
 
 
 def _counted(docs: DataFrame, stayed: Bits, bits: int) -> DataFrame:
-    """``lang``, ``k``, ``phrase``, ``f``, ``first`` (doc_id, word) of what hits ``stayed``, exact; k = 0 with all words of a language."""
+    """``lang``, ``k``, ``phrase``, ``f``, ``doc_id``, ``word`` of what hits ``stayed``, exact; k = 0 with all words of a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for texts in encoding.groups(batch.column(1)):
+            for texts in encoding.groups(batch.column(1), GROUP):
                 langs, ids = batch.column(0).slice(at, len(texts)), batch.column(2).slice(at, len(texts))
                 at += len(texts)
                 words = Words(texts)
@@ -185,7 +187,7 @@ def _counted(docs: DataFrame, stayed: Bits, bits: int) -> DataFrame:
 
     names = ["lang", "k", "phrase", "n", "doc_id", "word"]
     found = _sources(docs).mapInArrow(run, "lang string, k int, phrase string, n long, doc_id long, word long")
-    return found.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f"), F.min(F.struct("doc_id", "word")).alias("first"))
+    return found.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f"), F.first("doc_id").alias("doc_id"), F.first("word").alias("word"))
 
 
 def _records(langs: pa.Array, ids: pa.Array, words: Words, k: int, begin: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -199,9 +201,9 @@ def _records(langs: pa.Array, ids: pa.Array, words: Words, k: int, begin: np.nda
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, bits: int = 64) -> DataFrame:
-    """``lang``, ``k``, ``phrase``, ``f``, ``first`` of all words and phrases that occur ``least`` times, stored; k = 0 has all words.
+    """``lang``, ``k``, ``phrase``, ``f``, ``doc_id``, ``word`` of all words and phrases that occur ``least`` times, stored; k = 0 has all words.
 
-    ``docs`` has text, lang and doc_id (only for the pointers ``first``). A word is lower-cased from A to Z; a phrase lies within a piece. A null text is empty and a
+    ``docs`` has text, lang and doc_id; ``doc_id`` and the number ``word`` point to one of the occurrences. A word is lower-cased from A to Z; a phrase lies within a piece. A null text is empty and a
     null lang ``und``. Repeated rows count as often as they come; empty tables give no rows; other columns are ignored. ``bits`` is the width
     of fingerprints: narrower ones collide more, with the same result.
     """
@@ -226,7 +228,7 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, share: tup
     """
     counts = phrase_counts(docs, least, bits)
     known = counts.filter("k > 0").select("lang", "phrase", "f")
-    candidates = counts.filter("k > 1").select("lang", "phrase", "k", F.col("f").alias("a"), "first")
+    candidates = counts.filter("k > 1").select("lang", "phrase", "k", F.col("f").alias("a"), F.struct("doc_id", "word").alias("first"))
     cut = candidates.withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("k") - 1))).withColumn(
         "head", F.expr("substring_index(phrase, ' ', cut)")
     ).withColumn("tail", F.expr("substring(phrase, length(head) + 2)"))

@@ -48,24 +48,24 @@ def test_encoding_and_decoding(spark, odd_texts, own):
                 assert (a, b) == (whole[0], whole[-1] + 1)
                 at += len(t)
             assert b"".join(tokens) == data
-    back = bpe.decode(encoded, path, rule, text=True, parts=True).collect()
+    back = bpe.decode(encoded, path, text=True, parts=True).collect()
     for r in back:
         text = "no id" if r["doc_id"] is None else odd_texts[r["doc_id"]] or ""
         assert (bytes(r["bytes"]), r["text"], "".join(r["parts"])) == (text.encode(), text, text) and len(r["parts"]) == r["n_tokens"] == len(r["starts"])
-    packed = bpe.decode(bpe.encode(docs, path, rule, packed=True), path, rule)
+    packed = bpe.decode(bpe.encode(docs, path, rule, packed=True), path)
     assert sorted((r["doc_id"] or 0, bytes(r["bytes"])) for r in packed.collect()) == sorted((r["doc_id"] or 0, bytes(r["bytes"])) for r in back)
 
 
 def test_split_characters_and_unknown_ids(spark, own):
     ids = own.encode_ordinary("a\U0001F984b")
     rows = spark.createDataFrame([(1, ids[:2]), (2, ids), (3, None), (4, [None, 50256, -1, 10**9, ids[0]]), (5, [])], "k int, ids array<long>")
-    got = {r["k"]: r for r in bpe.decode(rows, bpe.ranks_path(), bpe.pattern(), text=True, parts=True).collect()}
+    got = {r["k"]: r for r in bpe.decode(rows, bpe.ranks_path(), text=True, parts=True).collect()}
     assert got[1]["text"].startswith("a�") and bytes(got[1]["bytes"]) == own.decode_bytes(ids[:2])
     assert got[2]["text"] == "a\U0001F984b" and [p for p in got[2]["parts"] if p] == ["a", "\U0001F984", "b"] and len(got[2]["parts"]) == len(ids) > 3
     assert (got[3]["n_tokens"], bytes(got[3]["bytes"])) == (0, b"") == (got[5]["n_tokens"], bytes(got[5]["bytes"]))
     assert got[4]["n_tokens"] == 5 and got[4]["text"] == "a"
     with pytest.raises(ValueError):
-        bpe.decode(rows.withColumn("bytes", F.lit(1)), bpe.ranks_path(), bpe.pattern())
+        bpe.decode(rows.withColumn("bytes", F.lit(1)), bpe.ranks_path())
 
 
 def test_memory_of_cuts_is_bounded(odd_texts):
@@ -106,4 +106,4 @@ def test_query(spark, testdata, own):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     encoded = bpe.encode(none, bpe.ranks_path(), bpe.pattern())
-    assert encoded.count() == 0 and bpe.decode(encoded, bpe.ranks_path(), bpe.pattern()).count() == 0
+    assert encoded.count() == 0 and bpe.decode(encoded, bpe.ranks_path()).count() == 0
