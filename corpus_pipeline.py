@@ -23,7 +23,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, at similarity 0.8 or more of their 5-word shingles."""
+    """One document of each group that the SimHash operator links: 3-word shingles, at most 3 differing bits."""
     return simhash.distinct_documents(docs)
 
 
