@@ -37,6 +37,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def boxed(df: DataFrame, **keys: Column) -> DataFrame:
+    """Each row of ``df`` as one struct ``row``, and ``keys`` beside it, given over ``row``'s fields.
+
+    Inside the struct no column can clash with a name that an operator uses; ``select("row.*")`` gives the rows back.
+    """
+    held_ = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    return held_.select("row", *[value.alias(name) for name, value in keys.items()])
+
+
+def field(name: str) -> Column:
+    """A field of a ``boxed`` row."""
+    return F.col("row").getField(name)
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(parts)).cast("int")

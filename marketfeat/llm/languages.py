@@ -11,7 +11,6 @@ backward, STEPS times, from equal probabilities). What comes to the driver has a
 from __future__ import annotations
 
 import base64
-import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketfeat.llm.common import fold, table
+from marketfeat.llm.common import fold, held, table
 from marketfeat.session import checkpointed
 
 CUT, LONGEST, STEPS = 32, 12, 1
@@ -30,9 +29,8 @@ CUT, LONGEST, STEPS = 32, 12, 1
 SMOOTH = 0.05
 #: Languages at most (more raise): the table of probabilities goes to every task.
 LANGUAGES = 256
-#: Characters read at once; words remembered by a worker.
-CHARS, REMEMBERED = 1_000_000, 250_000
-LETTER = re.compile(r"[^\W\d_]")
+#: Characters read at once; words remembered by a worker, and their characters at most.
+CHARS, REMEMBERED, KEPT = 1_000_000, 250_000, 64
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -163,9 +161,9 @@ class Scorer:
 
     def texts(self, texts: list[str]) -> Iterator[tuple[str, float]]:
         counted = [Counter(split(t)) for t in texts]
-        new = list({w for c in counted for w in c if w not in self.number})
+        new = sorted({w for c in counted for w in c if w not in self.number}, key=lambda w: len(w) > KEPT)
         rows = self.words(new)
-        room = max(0, min(len(new), REMEMBERED - len(self.number)))
+        room = max(0, min(sum(len(w) <= KEPT for w in new), REMEMBERED - len(self.number)))
         base = len(self.number)
         self.rows[base:base + room] = rows[:room]
         self.number.update(zip(new[:room], range(base, base + room)))
@@ -173,7 +171,7 @@ class Scorer:
         known = np.concatenate([self.rows, rows[room:]]) if more else self.rows
         number = self.number
         for text, c in zip(texts, counted):
-            if not self.model.languages or not LETTER.search(text):
+            if not self.model.languages or not lettered(text):
                 yield "und", 0.0
                 continue
             ids = [number[w] if w in number else more[w] for w in c]
@@ -182,15 +180,14 @@ class Scorer:
             yield self.model.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
-_scorers: dict[str, Scorer] = {}
-
-
 def scorer(model: Model) -> Scorer:
     """One scorer a Python worker and model."""
-    if model.name not in _scorers:
-        _scorers.clear()
-        _scorers[model.name] = Scorer(model)
-    return _scorers[model.name]
+    return held("languages", model.name, make=lambda: Scorer(model))
+
+
+def lettered(text: str) -> bool:
+    """Whether a text has a letter; numbers like a half or a Roman numeral are none."""
+    return any(map(str.isalpha, text))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -220,7 +217,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, path: str, steps: int = STEPS) -> Model:
-    """The model of ``docs`` (lang, text); rows without a language are left out. Without any, every prediction is ``und``."""
+    """The model of ``docs`` (lang, text); rows without a language are left out. Without any, every prediction is ``und``.
+
+    Repeated rows count as often as they come, null texts as empty ones; other columns are ignored.
+    """
     pieces = vocabulary(path)
     known = docs.filter("lang IS NOT NULL").select(F.col("lang").cast("string"), F.col("text").cast("string"))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()}
@@ -261,7 +261,11 @@ def learn(docs: DataFrame, path: str, steps: int = STEPS) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id``, ``lang_pred``, ``score`` (posterior) of each row of ``docs`` (doc_id, text); ``und``, 0 for a null text or one without letters."""
+    """``doc_id``, ``lang_pred``, ``score`` (posterior) of each row of ``docs`` (doc_id, text); ``und``, 0 for a null text or one without letters.
+
+    Whole texts of any length are read. Of languages with equal probability the first by name is taken; repeated rows get equal results, a
+    null id stays null; an empty table gives no rows; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = scorer(model)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketfeat.llm.common import table
+from marketfeat.llm.common import boxed, field, table
 from marketfeat.session import checkpointed
 
 LEAD, MIN_LINES, MIN_DOCUMENTS, CONSTANT = 3, 5, 5, 0.6
@@ -77,20 +77,26 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the recurring lines taken out of ``text`` (and ``n_chars`` counted anew, if there), and ``n_dropped``.
 
     Null and empty texts and rows without an id stay as they are, and so does a blank line. A text whose lines all go is empty.
-    Repeated rows (same id and text) lose the same lines. Other columns stay. A column ``n_dropped`` of the input is replaced.
+    Repeated rows (same id and text) lose the same lines. Other columns stay, whatever their names; a column ``n_dropped`` of the input is
+    replaced. An empty table gives no rows.
     """
-    gone = recurring(docs, **options)
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_hash"), F.col("drop").alias("_drop"))
-    here = docs.withColumn("_key", F.xxhash64(_text()))
-    joined = here.join(gone, (here["doc_id"] == gone["_id"]) & (here["_key"] == gone["_hash"]), "left")
-    kept = F.expr("array_join(filter(split(cast(text as string), '\n'), (x, i) -> not array_contains(_drop, i)), '\n')")
-    out = joined.withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept)).withColumn(
-        "n_dropped", F.coalesce(F.size(F.coalesce("_drop", F.array())), F.lit(0)).cast("long")
+    gone = recurring(docs, **options).select(F.col("doc_id").alias("of"), F.col("_h").alias("hash"), "drop")
+    here = boxed(docs, id=field("doc_id"), key=F.xxhash64(field("text").cast("string")))
+    joined = here.join(gone, (here["id"] == gone["of"]) & (here["key"] == gone["hash"]), "left")
+    # One pass over the lines: their positions without the dropped ones, then the lines there.
+    lines = F.array(F.split(field("text").cast("string"), "\n"))
+    kept = F.transform(lines, lambda all_: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col("drop")), lambda i: F.get(all_, i)
+    ), "\n"))[0]
+    out = joined.select(
+        "row", "drop", F.when(F.col("drop").isNull(), field("text").cast("string")).otherwise(kept).alias("left"),
     )
+    new = {"text": F.col("left").cast(docs.schema["text"].dataType), "n_dropped": F.coalesce(F.size("drop"), F.lit(0)).cast("long")}
     if "n_chars" in docs.columns:
-        length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("_drop").isNull(), F.col("n_chars")).otherwise(length))
-    return out.drop("_id", "_hash", "_drop", "_key")
+        length = F.char_length("left").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("drop").isNull(), field("n_chars")).otherwise(length)
+    names = [c for c in docs.columns if c != "n_dropped"] + ["n_dropped"]
+    return out.select(*[new.get(c, field(c)).alias(c) for c in names])
 
 
 def op10_log_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

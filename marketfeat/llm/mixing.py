@@ -14,10 +14,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketfeat.llm.common import WORD, ranked, table
+from marketfeat.llm.common import WORD, boxed, field, ranked, table
 from marketfeat.session import checkpointed
 
 #: Newton steps at most; they end when every source is within TOLERANCE of its target.
@@ -27,9 +27,16 @@ FIXES = 3
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``source``, ``size`` (words; 0 for a null text)."""
-    words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), words.alias("size"))
+    """``doc_id``, ``source``, ``size`` (words; 0 for a null text), ``h`` (a hash of the whole row)."""
+    return boxed(docs, **_keys(docs)).drop("row")
+
+
+def _keys(docs: DataFrame) -> dict[str, Column]:
+    hashed = [field(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return {
+        "doc_id": field("doc_id").cast("long"), "source": field("source").cast("string"),
+        "size": F.coalesce(F.regexp_count(field("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long"), "h": F.xxhash64(*hashed),
+    }
 
 
 def targets(per_source: DataFrame, weights: Sequence[float], total: float, limit: int) -> DataFrame:
@@ -124,11 +131,11 @@ def copies(groups: DataFrame, limit: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.5, limit: int = 2) -> DataFrame:
-    """``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``copies`` of each row of ``docs`` (doc_id, text, source).
+    """``doc_id``, ``h``, ``source``, ``size``, ``source_size``, ``target``, ``copies`` of each row of ``docs`` (doc_id, text, source).
 
     Sources by code point, null last, take the weights in turn. A source of size 0 has target 0; a document without words counts as
     one copy and takes nothing. Which documents of a size get the odd copy follows from a hash of doc_id, so reruns
-    agree; rows repeated with their id are counted one by one. Empty tables give no rows; other columns are ignored.
+    agree; rows repeated with their id are counted one by one. ``h`` (a hash of the row) tells rows of one id apart. Empty tables give no rows; other columns are ignored.
     """
     rows = checkpointed(sizes(docs))
     counts = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
@@ -152,30 +159,32 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), total: float = 1.
         F.col("source").alias("_source"), F.col("size").alias("_size"), "source_size", "target",
         F.floor(F.col("total") / F.col("n")).alias("each"), (F.col("total") % F.col("n")).alias("odd"),
     )
-    placed = ranked(rows, ["source", "size"], ["doc_id"], "rank")
+    placed = ranked(rows, ["source", "size"], ["doc_id", "h"], "rank")
     return placed.join(
         rated, placed["source"].eqNullSafe(rated["_source"]) & (placed["size"] == rated["_size"])
     ).select(
-        "doc_id", "source", "size", "source_size", "target",
+        "doc_id", "h", "source", "size", "source_size", "target",
         (F.col("each") + F.when(F.col("rank") < F.col("odd"), 1).otherwise(0)).cast("long").alias("copies"),
     )
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; columns stay as they are.
+    """``docs`` with each row as often as the mix takes it; columns stay as they are, whatever their names.
 
-    Rows of one id, source and size get the same number, the smallest that the mix gives one of them.
+    Rows that repeat in all columns (maps and variants aside) are one row that comes as often as the mix takes all of them.
     """
-    given = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.min("copies").alias("_copies")).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_copies"
-    )
-    words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0))
-    here = docs.withColumn("_words", words)
-    return here.join(
-        given, here["doc_id"].eqNullSafe(given["_id"]) & here["source"].eqNullSafe(given["_source"]) & (here["_words"] == given["_size"])
-    ).filter("_copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1, _copies)"))).select(
-        *[F.col(f"`{c}`") for c in docs.columns]
-    )
+    key = ["doc_id", "source", "size", "h"]
+    given = checkpointed(mix(docs, **options).groupBy(*key).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("same")))
+    here = boxed(docs, **_keys(docs))
+
+    def taken(part: DataFrame) -> DataFrame:
+        met = [here[c].eqNullSafe(part[c]) for c in key]
+        return here.join(part, met[0] & met[1] & met[2] & met[3]).select(*[here[c] for c in ("row", *key)], "copies")
+
+    single = taken(given.filter("same = 1 AND copies > 0")).select("row", "copies")
+    repeated = taken(given.filter("same > 1 AND copies > 0")).groupBy(*key).agg(F.first("row").alias("row"), F.first("copies").alias("copies"))
+    out = single.union(repeated.select("row", "copies"))
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def op5_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,11 +9,7 @@ Cost: distinct fingerprints only, each with 2 table rows and about 34 look-ups o
 A table value with many fingerprints (a large group of near copies) isn't joined pair by pair: its rows are dealt in blocks,
 each pair of blocks is compared in one bounded task, which returns a spanning star per group it finds, never its pairs.
 
-``distinct_documents`` is the stage of the pipeline. Its contract is similarity, not bits: texts whose sets of shingles overlap
-(Jaccard) by ALIKE or more are linked, and groups are the components of these links. At 0.8 two 64-bit fingerprints differ in ten bits, too many
-for tables of segments, so candidates come from BANDS fingerprints of ROWS minima each, equal in one of them: a pair at similarity s is met with
-probability 1 - (1 - s^ROWS)^BANDS (0.9996 at 0.8). Every candidate is verified on its whole shingle sets. In a bucket, members
-meet one pivot, then another, and only those that are still in different components meet each other.
+``distinct_documents`` is the stage of the pipeline: the same links, shingles of three words and bit distance, one document of each group.
 """
 
 from __future__ import annotations
@@ -24,10 +20,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketfeat.llm.common import connected, hex64, table
+from marketfeat.llm.common import boxed, connected, field, hex64, table
 from marketfeat.session import checkpointed
 
 SEGMENTS, WIDTH, DISTANCE, SEED = 2, 32, 3, 42
@@ -35,10 +31,6 @@ SEGMENTS, WIDTH, DISTANCE, SEED = 2, 32, 3, 42
 HOT, BLOCK = 64, 1024
 #: Shingles turned into bits at once.
 CHUNK = 1 << 16
-#: Least Jaccard similarity of the pipeline's near copies; fingerprints a text and minima in each; parts that a pivot's partners are dealt in.
-ALIKE, BANDS, ROWS, SALTS = 0.8, 20, 5, 256
-_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (3, BANDS * ROWS, 1), np.uint64)
-_TIMES, _PLUS, _MIX = _DRAWN[0] | np.uint64(1), _DRAWN[1], _DRAWN[2, :, 0] | np.uint64(1)
 
 
 def shingles(words: list[bytes], shingle: int) -> np.ndarray:
@@ -73,14 +65,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id``, ``fp`` (long) of each row of ``docs`` (doc_id, text)."""
+    """``doc_id``, ``h`` (hash of the text), ``fp`` (long) of each row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            found = [fingerprint(t.as_py(), shingle) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.int64())], ["doc_id", "h", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("h"), text).mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def _segments(fps: DataFrame) -> DataFrame:
@@ -150,143 +143,34 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     is named by its smallest doc_id; a row without an id counts through its fingerprint, and a component without
     any id is null. Other columns are ignored.
     """
-    rows = checkpointed(fingerprints(docs, shingle))
-    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    groups = connected(links(fps.select("fp")))
-    named = fps.join(groups, fps["fp"] == groups["node"], "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("group")
-    )
-    least = named.groupBy("group").agg(F.min("first").alias("component_id"))
-    names = named.select("fp", "group").join(least, "group").select("fp", "component_id")
+    rows, named = _grouped(docs, shingle)
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("first")).join(named, "fp").groupBy("group").agg(F.min("first").alias("component_id"))
+    names = named.join(least, "group").select("fp", "component_id")
     return rows.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the row with the smallest id, ties by smallest text.
-
-    Columns stay as they are. Rows without an id have no smallest id to compare; they stay.
-    """
-    from pyspark.sql import Window
-
-    found = near_duplicates(docs, shingle).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    kept = docs.join(found, F.col("doc_id") == F.col("_kept"), "left_semi")
-    kept = kept.withColumn("_row", F.row_number().over(first)).filter("_row = 1").drop("_row")
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
-
-
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """BANDS signed fingerprints of a set of shingle hashes, each of ROWS minima."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 1 << 11):
-        low = np.minimum(low, (_TIMES * hashes[at:at + (1 << 11)] + _PLUS).min(axis=1))
-    return (low * _MIX).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64).view(np.int64)
-
-
-def _contents(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id``, ``h`` (hash of the text), ``node`` (hash of its words), ``n`` (different shingles), ``bands`` of each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, sizes, found = [], [], []
-            for text in batch.column(2):
-                words = _words(text.as_py())
-                hashes = np.unique(shingles(words, shingle)) if words else np.zeros(0, np.uint64)
-                nodes.append(xxhash.xxh3_64_intdigest(b" ".join(words), SEED) - (1 << 63))
-                sizes.append(len(hashes))
-                found.append(bands(hashes) if words else [])
-            columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "h", "node", "n", "bands"])
-
-    return docs.select(F.col("doc_id").cast("long"), "h", F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, h long, node long, n long, bands array<long>"
-    )
+def _grouped(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """``fingerprints`` of ``docs``, stored, and ``fp``, ``group`` of each different fingerprint."""
+    rows = checkpointed(fingerprints(docs, shingle))
+    fps = rows.select("fp").distinct()
+    groups = connected(links(fps))
+    return rows, fps.join(groups, fps["fp"] == groups["node"], "left").select("fp", F.coalesce("component", "fp").alias("group"))
 
 
-def _sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """``node``, ``n``, ``s``: the set of shingle hashes of each row of ``texts`` (node, text)."""
+def distinct_documents(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """``docs`` with one row of each group that ``near_duplicates`` links; columns stay as they are, whatever their names.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                found = [np.unique(shingles(_words(t.as_py()), shingle)).view(np.int64) for t in part.column(1)]
-                sizes = pa.array(map(len, found), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), sizes, pa.array(found, pa.list_(pa.int64()))], ["node", "n", "s"])
-
-    return texts.select("node", F.col("text").cast("string")).mapInArrow(run, "node long, n long, s array<long>")
-
-
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a``, ``b`` whose sets have Jaccard similarity ALIKE or more. A set with many partners is dealt in SALTS parts."""
-    pairs = checkpointed(pairs.distinct().withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS))))
-    keys = pairs.select("a", "salt").distinct()
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")).join(keys, "a")
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, ["a", "salt"]).join(right, "b").filter(both / (F.col("na") + F.col("nb") - both) >= ALIKE).select("a", "b")
-
-
-def _could(n: str, m: str) -> Column:
-    """Sets of these sizes can be similar enough."""
-    return F.least(n, m) / F.greatest(n, m) >= ALIKE
-
-
-def similar(docs: DataFrame, shingle: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Rows ``doc_id``, ``h``, ``node`` of ``docs`` (doc_id, h, text), and ``node``, ``component`` of its groups as ``connected`` gives them."""
-    rows = checkpointed(_contents(docs, shingle))
-    filed = rows.select(F.explode("bands").alias("bucket"), "node", "n").distinct()
-    shared = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("bucket")
-    met = checkpointed(filed.join(shared, "bucket"))
-    # One row of each different content that shares a bucket gives the text.
-    source = rows.groupBy("node").agg(F.min("h").alias("h")).join(met.select("node").distinct(), "node")
-    texts = docs.select("h", "text").join(source, "h").groupBy("node").agg(F.min("text").alias("text"))
-    sets = checkpointed(_sets(texts, shingle))
-    edges, groups, live = None, None, met.withColumn("component", F.col("node"))
-    for end in (F.min, F.max, None):
-        if end is not None:
-            pivots = live.groupBy("bucket").agg(end(F.struct("node", "n", "component")).alias("p"))
-            pairs = live.join(pivots, "bucket").filter((F.col("component") != F.col("p.component")) & _could("n", "p.n")).select(
-                F.col("p.node").alias("a"), F.col("node").alias("b")
-            )
-        else:
-            sizes = live.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
-            main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "component"))["component"].alias("main"))
-            rest = live.join(main, "bucket").filter("component != main").select(
-                "bucket", "main", F.col("node").alias("a"), F.col("n").alias("m"), F.col("component").alias("own")
-            )
-            meets = (F.col("component") != F.col("own")) & ((F.col("component") == F.col("main")) | (F.col("a") < F.col("node")))
-            pairs = rest.join(live, "bucket").filter(meets & _could("n", "m")).select("a", F.col("node").alias("b"))
-        found = _alike(pairs, sets)
-        edges = checkpointed(found if edges is None else edges.union(found))
-        groups = connected(edges)
-        if end is not None:
-            labelled = met.join(groups, "node", "left").select(
-                "bucket", "node", "n", F.coalesce("component", "node").alias("component")
-            )
-            apart = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
-            live = checkpointed(labelled.join(apart.select("bucket"), "bucket"))
-    return rows.select("doc_id", "h", "node"), groups
-
-
-def distinct_documents(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """``docs`` with one row of each group of near copies, linked by Jaccard similarity ALIKE or more of their sets of ``shingle`` words.
-
-    The row with the smallest (id, hash of its text) stays; rows that repeat both are one. Words are those of ``near_duplicates``; texts without
-    words are copies of each other. Columns stay as they are. Rows without an id stay, and link others.
+    The row with the smallest (id, hash of its text) stays, an id before none; of rows that repeat both, one. Texts without words
+    are copies of each other. An empty table gives no rows.
     """
-    here = docs.withColumn("_h", F.xxhash64(F.col("text").cast("string")))
-    rows, groups = similar(here.select("doc_id", F.col("_h").alias("h"), "text"), shingle)
-    named = rows.join(groups, "node", "left").select("doc_id", "h", F.coalesce("component", "node").alias("group"))
-    return _first_of_each(here, named)
-
-
-def _first_of_each(here: DataFrame, named: DataFrame) -> DataFrame:
-    """The rows of ``here`` (with ``_h``) whose (doc_id, _h) is the smallest of its group in ``named`` (doc_id, h, group), and those without id."""
-    first = named.filter("doc_id IS NOT NULL").groupBy("group").agg(F.min(F.struct("doc_id", "h")).alias("first"))
-    first = first.select(F.col("first.doc_id").alias("_kept"), F.col("first.h").alias("_hash"))
-    kept = here.join(first, (F.col("doc_id") == F.col("_kept")) & (F.col("_h") == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_h"]).unionByName(here.filter(F.col("doc_id").isNull())).drop("_h")
+    rows, named = _grouped(docs, shingle)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    first = rows.join(named, "fp").groupBy("group").agg(F.min(key).alias("k")).select(
+        F.col("k.doc_id").alias("first_id"), F.col("k.h").alias("first_h")
+    )
+    here = boxed(docs, id=field("doc_id").cast("long"), h=F.xxhash64(field("text").cast("string")))
+    kept = here.join(first, here["id"].eqNullSafe(first["first_id"]) & here["h"].eqNullSafe(first["first_h"]), "left_semi")
+    return kept.groupBy("id", "h").agg(F.first("row").alias("row")).select("row.*")
 
 
 def op6_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:

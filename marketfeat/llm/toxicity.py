@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketfeat.llm.common import fold, table
+from marketfeat.llm.common import MEMORY, boxed, field, fold, held, table
 
 #: Labelled rows that the model is fitted on at most, taken by a hash of doc_id; lexicon entries at most; least G2 of an entry.
 ROWS, TERMS, LEAST_G2 = 20_000, 4096, 25.0
@@ -36,19 +36,25 @@ LOOKS = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¥": "y", "§": "s",
 }
 LEET = "".join(re.escape(c) for c in LOOKS)
+#: Those of them that are no word characters.
+SYMBOLS = frozenset(c for c in LOOKS if not c.isalnum())
 #: Costs of the channel in nats: a symbol kept inside a word, replaced; a repeat or separator dropped.
 KEEP, SWAP, DROP = 6.0, 1.0, 0.7
-_SPACED = r"(?<!\w)(?:[^\W_][ .\-_*,]{1,2}){2,}[^\W_](?!\w)"
-_LEET = rf"(?=[{LEET}]*[^\W\d_])[\w{LEET}]*(?:[{LEET}](?=[^\W\d_])|(?<=[^\W\d_])[{LEET}](?=[\w{LEET}]))[\w{LEET}]*"
-_REPEAT = r"\w*([^\W\d_])\1\1\w*"
-#: Single letters over several tokens; stretches inside a token.
-APART = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*,]{1,2}[^\W_]){2,}(?!\w)")
-INSIDE = re.compile(f"{_SPACED}|{_LEET}|{_REPEAT}")
+_LETTER = r"[^\W\d_]"
+#: Single letters with separators between, a whole chain; which of its ends count is decided on the chain.
+APART = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*,]{1,2}+[^\W_]){2,}+")
+SPACED = re.compile(r"(?<!\w)[^\W_](?:[ .\-_*,]{1,2}+[^\W_]){2,}+")
+#: Runs of word and look-alike characters; in them a look-alike next to a letter, a letter three times, and parts without look-alikes.
+RUN = re.compile(rf"[\w{LEET}]++")
+ALIKE = re.compile(rf"[{LEET}](?={_LETTER})|(?<={_LETTER})[{LEET}](?=[\w{LEET}])")
+LETTER = re.compile(_LETTER)
+TRIPLE = re.compile(rf"({_LETTER})\1\1")
+WORDLIKE = re.compile(r"\w*+")
 THRICE = re.compile(r"(.)\1\1")
 WORDS = re.compile(r"[^\W\d_]+")
 EDGES = ".,;:!?\"'()[]"
-#: Tokens whose words a task remembers.
-REMEMBERED = 300_000
+#: Characters of a token that a worker remembers at most, and about what remembering one takes in bytes, beside 60 for each feature kept.
+KEPT, COST = 64, 250
 _EDGE = " "
 
 
@@ -95,10 +101,14 @@ def _before(p: Path, q: Path) -> bool:
 
 def restore(stretch: str, model: CharModel) -> str:
     """The best path through the lattice of one stretch, of any length: few states a character, memory linear."""
-    spaced = re.fullmatch(_SPACED, stretch) is not None
+    whole = SPACED.match(stretch)
+    spaced = whole is not None and whole.end() == len(stretch)
     text = stretch.lower()
     states: dict[tuple[str, str, str], tuple[float, Path]] = {(_EDGE, _EDGE, ""): (0.0, None)}
-    for ch in text:
+    skip = 0
+    for at, ch in enumerate(text):
+        if at < skip:
+            continue
         after: dict[tuple[str, str, str], tuple[float, Path]] = {}
 
         def reach(state, cost, before, wrote=""):
@@ -121,45 +131,119 @@ def restore(stretch: str, model: CharModel) -> str:
                 extra = 0.0 if to.isalpha() and to == ch else KEEP if to == ch else SWAP
                 lm = model.cost(a, b, to) if to.isalpha() else 3.0
                 reach((b, to, ch), cost + extra + lm, out, to)
+        if at and text[at - 1] == ch and len(after) == len(states) and all(s in states and after[s][1] is states[s][1] for s in after):
+            # Every state dropped this repeat; it does so for the rest of them.
+            skip = at + 1
+            while skip < len(text) and text[skip] == ch:
+                skip += 1
+            after = {s: (cost + DROP * (skip - at - 1), out) for s, (cost, out) in after.items()}
         states = after
     ends = [(cost + model.cost(a, b, _EDGE), out) for (a, b, _), (cost, out) in states.items()]
     best = min(cost for cost, _ in ends)
     return min(_written(out) for cost, out in ends if cost == best)
 
 
-_memories: dict[str, dict] = {}
+def _ended(chain: re.Match) -> int:
+    """Where the stretch of a chain of single letters ends: behind its last letter with no word character after it; its start if that leaves fewer than three."""
+    text, start, end = chain.string, chain.start(), chain.end()
+    while end > start and not (text[end - 1].isalnum() and (end == len(text) or not (text[end].isalnum() or text[end] == "_"))):
+        end -= 1
+    return end if sum(map(str.isalnum, text[start:end])) > 2 else start
+
+
+def _chain(text: str, at: int) -> tuple[int, int]:
+    """The next stretch of single letters from ``at`` on; the text's end if there is none."""
+    while (chain := SPACED.search(text, at)) is not None:
+        end = _ended(chain)
+        if end > chain.start():
+            return chain.start(), end
+        at = chain.end()
+    return len(text), len(text)
+
+
+def stretches(text: str) -> Iterator[tuple[int, int]]:
+    """Places of the stretches of ``text`` that are lattices, from left to right, in time linear in its length.
+
+    In a run of word and look-alike characters a stretch begins at the first character from which look-alikes lead to a letter, if a look-alike
+    stands next to a letter from there on, and reaches to the run's end; or it is the part without look-alikes around a letter three times; or
+    single letters set apart begin there. The first to begin is taken, and the search goes on behind it.
+    """
+    chain = _chain(text, 0)
+    done = 0
+    for run in RUN.finditer(text):
+        begin, end = run.span()
+        last = None
+        while (at := max(begin, done)) < end:
+            if chain[0] < at:
+                chain = _chain(text, at)
+            found = []
+            if chain[0] < end:
+                found.append((chain[0], 0, chain[1]))
+            if last is None:
+                last = max((m.start() for m in ALIKE.finditer(text, begin, end)), default=-1)
+            letter = LETTER.search(text, at, end) if last >= at else None
+            if letter is not None:
+                first = letter.start()
+                while first > at and text[first - 1] in LOOKS:
+                    first -= 1
+                if first <= last:
+                    found.append((first, 1, end))
+            triple = TRIPLE.search(text, at, end)
+            if triple is not None:
+                first = triple.start()
+                while first > at and text[first - 1] not in SYMBOLS:
+                    first -= 1
+                found.append((first, 2, WORDLIKE.match(text, first).end()))
+            if not found:
+                break
+            first, _, done = min(found)
+            yield first, done
+
+
+class Memory(dict):
+    """What a Python worker knows of tokens under one model, up to MEMORY bytes."""
+
+    left = MEMORY
 
 
 class Restorer:
-    """Restores texts token by token; remembers what it made of the first REMEMBERED tokens.
-    Tasks of one Python worker share what they remember under one ``name``.
+    """Restores texts token by token; remembers what it made of short tokens, the first that fit in the memory's bytes.
 
-    ``keep`` turns the words of a token into what the caller needs of them.
+    Tasks of one Python worker share the memory of one ``name``. ``keep`` turns the words of a token into what the caller needs of them.
     """
 
     def __init__(self, model: CharModel, keep=tuple, name: str = "") -> None:
         self.model, self.keep = model, keep
-        if name not in _memories and len(_memories) > 2:
-            _memories.clear()
-        self.seen = _memories.setdefault(name, {}) if name else {}
+        self.seen = held("toxicity", name, make=Memory) if name else Memory()
 
-    def _path(self, found: re.Match) -> str:
-        return restore(found.group(), self.model)
+    def _restored(self, text: str) -> str:
+        if not (ALIKE.search(text) or TRIPLE.search(text) or SPACED.search(text)):
+            return text
+        out, at = [], 0
+        for a, b in stretches(text):
+            out += [text[at:a], restore(text[a:b], self.model)]
+            at = b
+        return "".join([*out, text[at:]]) if out else text
+
+    def _path(self, chain: re.Match) -> str:
+        start, end = chain.start(), _ended(chain)
+        return restore(chain.string[start:end], self.model) + chain.string[end:chain.end()] if end > start else chain.group()
 
     def token(self, token: str):
         plain = token.strip(EDGES)
         if not plain.isalpha() or THRICE.search(plain):
-            words = [w.lower() for w in WORDS.findall(INSIDE.sub(self._path, token))]
+            words = [w.lower() for w in WORDS.findall(self._restored(token))]
         else:
             words = [plain.lower()]
         found = self.keep(words)
-        if len(self.seen) < REMEMBERED:  # frequent tokens come early
+        if len(token) <= KEPT and self.seen.left > 0:  # frequent tokens come early
             self.seen[token] = found
+            self.seen.left -= COST + (0 if found is _NOTHING else 60 * len(found[0]))
         return found
 
     def text(self, text: str) -> str:
         """The restored text, for readers of it."""
-        return INSIDE.sub(self._path, APART.sub(self._path, text))
+        return self._restored(APART.sub(self._path, text))
 
     def tokens(self, text: str) -> Counter:
         """Tokens of the text, single letters put together, and how often each stands there."""
@@ -271,7 +355,11 @@ def probability(text: str, model: Model, restorer: Restorer) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, chars: CharModel, rows: int = ROWS, terms: int = TERMS) -> Model:
-    """Fit on at most ``rows`` labelled documents; labels that are null or neither 0 nor 1 are left out, ids must not be null."""
+    """Fit on at most ``rows`` labelled documents; labels that are null or neither 0 nor 1 are left out, and so are those without an id.
+
+    Which rows are taken follows from a hash of doc_id, ties from the id; of labels of one id the largest counts, and each row of ``docs`` with
+    that id. Entries with equal evidence are taken by their text. Without labels of both kinds, or without rows, every text gets one score.
+    """
     chosen = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max(F.col("toxic").cast("int")).alias("y")
     ).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
@@ -346,7 +434,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id``, ``score`` of each row of ``docs`` (doc_id, text); a null or empty text has the score of no evidence."""
+    """``doc_id``, ``score`` of each row of ``docs`` (doc_id, text); a null or empty text has the score of no evidence.
+
+    Whole texts of any length are read, in time linear in it; repeated rows get equal scores, a null id stays null; an empty table gives
+    no rows; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = reader(model)
@@ -363,17 +455,17 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def not_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that score below ``limit``; columns stay as they are. Scored in one pass beside the row, no join."""
+    """The rows of ``docs`` that score below ``limit``; columns stay as they are, whatever their names. Scored in one pass beside the row, no join."""
     model = trained(docs, labels)
-    restored = F.col("text").cast("string")
+    here = boxed(docs, text=field("text").cast("string"))
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = reader(model)
         for batch in batches:
-            keep = [probability(t.as_py() or "", model, restorer) < limit for t in batch.column(batch.num_columns - 1)]
-            yield batch.filter(pa.array(keep, pa.bool_())).select(range(batch.num_columns - 1))
+            keep = [probability(t.as_py() or "", model, restorer) < limit for t in batch.column(1)]
+            yield batch.select([0]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.withColumn("_read", restored).mapInArrow(one, docs.schema)
+    return here.mapInArrow(one, here.select("row").schema).select("row.*")
 
 
 def op2_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

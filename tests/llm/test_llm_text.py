@@ -89,44 +89,23 @@ def test_simhash_large_group(spark, monkeypatch):
     assert closed([(r["a"], r["b"]) for r in edges]) == closed([(a, b) for a in fps for b in fps if (a ^ b).bit_count() <= 3])
 
 
-def test_one_of_each(spark, texts):
+def test_distinct_documents(spark, texts):
     docs = corpus(spark, texts)
-    kept = simhash.one_of_each(docs)
+    kept = simhash.distinct_documents(docs)
     assert kept.columns == docs.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, 5).collect() if r["doc_id"] is not None}
-    assert sorted(i for i in ids if i is not None) == sorted(set(found.values()))
-
-
-def test_distinct_documents_against_jaccard(spark, texts):
-    rng = random.Random(8)
-    rows = [r for r in texts if r[0] is not None]
-    for i in range(24):  # families of near copies, more or less edited
-        base = [f"v{rng.randrange(3000)}" for _ in range(rng.choice([40, 120, 400]))]
-        for _ in range(6):
-            edited = list(base)
-            for _ in range(rng.randrange(0, len(base) // 60 + 2)):
-                edited[rng.randrange(len(edited))] = f"e{rng.randrange(3000)}"
-            rows.append((1000 + len(rows), " ".join(edited)))
-
-    def shingled(t):
-        w = (t or "").lower().split()
-        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
-
-    sets, group = [shingled(t) for _, t in rows], list(range(len(rows)))
-    links = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    near = [(i, j) for i, j in links if sets[i] != sets[j]]
-    for i, j in links * 4:
-        group[i] = group[j] = min(group[i], group[j])
-    assert all(group[i] == group[j] for i, j in links) and len(near) > 100
-    least = {}
-    for g, (i, _) in zip(group, rows):
-        least[g] = min(least.get(g, i), i)
-    kept = simhash.distinct_documents(corpus(spark, rows))
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(least.values())
-    # Most of these pairs are farther apart than the 3 bits of op6.
-    fps = [simhash.fingerprint(t, 5) & (1 << 64) - 1 for _, t in rows]
-    assert sum((fps[i] ^ fps[j]).bit_count() <= 3 for i, j in near) < len(near) / 2
+    fps = [simhash.fingerprint(t) & (1 << 64) - 1 for _, t in texts]
+    group = list(range(len(texts)))
+    for _ in range(6):
+        for i, a in enumerate(fps):
+            for j, b in enumerate(fps):
+                if (a ^ b).bit_count() <= 3:
+                    group[i] = group[j] = min(group[i], group[j])
+    hashes = [r["h"] for r in spark.createDataFrame([(t,) for _, t in texts], "t string").select(F.xxhash64("t").alias("h")).collect()]
+    first = {}
+    for (i, t), g, h in zip(texts, group, hashes):
+        first[g] = min(first.get(g, (True, 0, 0, "")), (i is None, i or 0, h, t or ""))
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == sorted((i, t) for _, i, _, t in first.values())
+    assert len(first) < len(texts) - 3
 
 
 def test_packing(spark, texts):
@@ -326,6 +305,6 @@ def test_empty_tables(spark):
     none = corpus(spark, [(1, "x")]).filter("false")
     assert simhash.near_duplicates(none).count() == 0 and substrings.dedup_substrings(none).count() == 0
     assert packing.packed(none, packing.vocabulary()).count() == 0 and chunks.edited_pairs(none).count() == 0
-    assert lines.dedup_lines(none).count() == 0 and simhash.one_of_each(none).count() == 0
+    assert lines.dedup_lines(none).count() == 0 and simhash.distinct_documents(none).count() == 0
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.not_toxic(none, labels).count() == 0
