@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketfeat.operators.ledger import SeenLedger
 from marketfeat.session import durable_path
 
 
@@ -91,3 +92,20 @@ def finish(
     if last is None:
         return drained.unionByName(build(rows))
     return drained.unionByName(build(rows.filter(F.col(ts) > F.lit(last))).filter(F.col(start) > F.lit(last)))
+
+
+def stream_new_keys(
+    sdf: DataFrame, ledger: SeenLedger, key: str | Column, order: Sequence[str | Column], path: str, checkpoint: str | None = None
+) -> DataFrame:
+    """First arrivals of each key over the whole life of ``ledger``, as a table below ``path`` with the ``batch`` each came in.
+
+    Nothing is forgotten, whatever the watermark: what was seen is the ledger's, not the state's. A batch that Spark repeats writes the
+    same rows over its own folder. Processes what is there now; a later call continues.
+    """
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        ledger.admit(batch, batch_id, key, order).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    query = sdf.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint or f"{path}-checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return sdf.sparkSession.read.schema(T.StructType([*sdf.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)

@@ -363,6 +363,14 @@ ORACLE["map_category_subcategory"] = select(ARTICLES, f"""SELECT id, {CATEGORY}
 ORACLE["seen_anti_join"] = select(ARTICLES, "SELECT id, source FROM articles WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 
 
+DELIVERY = "CASE WHEN day(date) <= 10 THEN 1 WHEN day(date) <= 20 THEN 2 ELSE 3 END"
+ORACLE["seen_ledger"] = select(ARTICLES, f"""SELECT id, batch FROM (
+    SELECT id, doc_id, {DELIVERY} AS batch, nullif({NORM.replace('title', "coalesce(title, '')")}, '') AS key FROM articles)
+    QUALIFY key IS NULL OR row_number() OVER (PARTITION BY key ORDER BY batch, doc_id) = 1""")
+ORACLE["seen_ledger_batches"] = select(ARTICLES, f"SELECT {DELIVERY} AS batch, count(DISTINCT id) AS n_keys FROM articles GROUP BY 1")
+ORACLE["stream_new_keys"] = """SELECT min(event_id) AS event_id, event_type, strftime(ts, '%Y-%m-%d %H') AS hour FROM events GROUP BY event_type, hour"""
+
+
 def first_rows(source: str, keys: str, order: str) -> str:
     return f"SELECT * EXCLUDE (rn_) FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS rn_ FROM {source}) WHERE rn_ = 1"
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketfeat.functions import numeric, text
 from marketfeat.operators import (
-    dataset, dedup, features, gates, indicators, joins, metrics, models, reports, sentiment, series,
+    dataset, dedup, features, gates, indicators, joins, ledger, metrics, models, reports, sentiment, series,
 )
 from marketfeat.plans import pipeline
 from marketfeat.session import durable_path
@@ -328,6 +328,47 @@ def seen_anti_join(spark, sf):
     return dedup.seen_anti_join(roles.articles(spark, sf), seen).select("id", "source")
 
 
+def _feed(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """The articles as three deliveries: the first ten days of the month, the next ten, the rest."""
+    a = roles.articles(spark, sf)
+    day = F.dayofmonth("date")
+    return [a.filter(day <= 10), a.filter((day > 10) & (day <= 20)), a.filter(day > 20)]
+
+
+@query
+def seen_ledger(spark, sf):
+    """First article of each normalized title over three deliveries, the second delivered twice."""
+    seen = ledger.SeenLedger(spark, durable_path(spark, "ledger"), buckets=32, cells=1 << 16)
+    first, second, third = _feed(spark, sf)
+    key = F.nullif(text.normalize_title(F.coalesce("title", F.lit(""))), F.lit(""))
+    admitted = {}
+    for number, batch in ((1, first), (2, second), (2, second), (3, third)):
+        admitted[number] = seen.admit(batch, number, key, ["doc_id"]).select("id", F.lit(number).alias("batch"))
+    return admitted[1].union(admitted[2]).union(admitted[3])
+
+
+@query
+def seen_ledger_batches(spark, sf):
+    """How many new ids each delivery brings when each brings the whole month so far, and one comes again."""
+    seen = ledger.SeenLedger(spark, durable_path(spark, "ledger"), buckets=16, cells=1 << 16)
+    first, second, third = _feed(spark, sf)
+    for number, batch in ((1, first), (2, first.union(second)), (1, first), (3, first.union(second).union(third)), (3, third)):
+        seen.admit(batch, number, "id", ["doc_id"])
+    return seen.batches()
+
+
+@query
+def stream_new_keys(spark, sf):
+    """First arrivals of each (type, hour) of the events, from files by day of the month."""
+    root = durable_path(spark, "events")
+    events = roles.table(spark, sf, "events").select("event_id", "ts", "event_type", F.date_format("ts", "yyyy-MM-dd HH").alias("hour"))
+    events.repartition(4, "event_type").write.parquet(root)
+    sdf = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(root)
+    seen = ledger.SeenLedger(spark, durable_path(spark, "ledger"), buckets=16, cells=1 << 16)
+    new = streams.stream_new_keys(sdf, seen, F.concat_ws("|", "event_type", "hour"), ["event_id"], durable_path(spark, "new"))
+    return new.select("event_id", "event_type", "hour")
+
+
 # -- deduplication ------------------------------------------------------------------
 
 @query
