@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketfeat.functions.numeric import clip, ieee_divide, ieee_ln, nonzero, rolling
+from marketfeat.operators.frames import extremes_layer
 from marketfeat.operators.series import Layer, Layout, Stage, over_series, run_layers, series_layers
 
 # The feature columns in their order, and the bounds of the returns per horizon.
@@ -91,10 +92,12 @@ def volume_ratios(df: DataFrame, **series) -> DataFrame:
 
 
 def range_layer(n: int = RANGE_ROWS) -> Layer:
+    extremes = extremes_layer("close", n, "_top", "_bottom")
+
     def layer(lay: Layout) -> list[Stage]:
         close = F.col("close")
         return [
-            {"_top": rolling(F.max, close, n, lay.window), "_bottom": rolling(F.min, close, n, lay.window)},
+            *extremes(lay),
             {"_to_top": ieee_divide(close, F.col("_top")) - 1, "_to_bottom": ieee_divide(close, F.col("_bottom")) - 1},
             {"52w_high_ratio": clip(F.col("_to_top"), -1, 0), "52w_low_ratio": clip(F.col("_to_bottom"), 0, 3)},
         ]

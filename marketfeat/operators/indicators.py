@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketfeat.functions.numeric import INF, array_round, ieee_divide, nonzero, rolling
+from marketfeat.operators.frames import chunk_stage, frame_count, frame_moments, meet_stage, part_stage
 from marketfeat.operators.series import Layer, Layout, Stage, over_series, run_layers, series_layers
 
 EMA_SPANS = (9, 21, 50, 200)
@@ -246,18 +247,21 @@ def bollinger(df: DataFrame, n: int = 20, k: float = 2.0, **series) -> DataFrame
 
 
 def turbulence_layer(n: int = 252) -> Layer:
+    m, name, stats = n - 1, "turb", ("mean", "var")
+
     def layer(lay: Layout) -> list[Stage]:
-        w = lay.window
-        past = w.rowsBetween(-(n - 1), -1)
         change, ret, sigma = F.col("_change"), F.col("_ret"), F.col("_sigma")
+        mean, deviation = frame_moments(m, name, ends=1)
         z = (ret - F.col("_mu")) / sigma
         return [
-            {"_prev": F.lag("close", 1).over(w)},
+            {"_prev": F.lag("close", 1).over(lay.window), **chunk_stage(lay, m)},
             {"_change": ieee_divide(F.col("close"), F.col("_prev")) - 1},
             # An infinite return counts as missing in a rolling frame.
             {"_ret": F.when(F.abs(change) < INF, change)},
-            {"_mu": F.avg("_ret").over(past), "_sigma": F.stddev_pop("_ret").over(past), "_seen": F.count("_ret").over(past)},
-            {"turbulence": F.when((F.col("_seen") == n - 1) & (sigma != 0) & ret.isNotNull(), z * z).otherwise(0.0)},
+            part_stage(lay, "_ret", m, stats, name),
+            meet_stage(lay, m, stats, name, ends=1),
+            {"_mu": mean, "_sigma": deviation, "_seen": frame_count(m, name, ends=1)},
+            {"turbulence": F.when((F.col("_seen") == m) & (sigma != 0) & ret.isNotNull(), z * z).otherwise(0.0)},
         ]
 
     return layer
