@@ -10,12 +10,14 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketfeat.functions.rules import word_pattern
 from marketfeat.operators.gates import lookup
+from marketfeat.operators.scans import LAST, running
 from marketfeat.operators.sentiment import sentiment_lag
+from marketfeat.operators.series import is_bounded
 from marketfeat.session import checkpointed
 
 UNASSIGNED = "unassigned"
@@ -41,14 +43,16 @@ def unassigned(df: DataFrame, dim: DataFrame) -> DataFrame:
     return df.select(F.upper("ticker").alias("ticker")).distinct().join(known, "ticker", "left_anti")
 
 
-def ffill_by_date(df: DataFrame, calendar: DataFrame, col: str, by: str = "category", fill: float = 0.0) -> DataFrame:
+def ffill_by_date(
+    df: DataFrame, calendar: DataFrame, col: str, by: str = "category", fill: float = 0.0, ts: str = "date"
+) -> DataFrame:
     """Last known value at or before each calendar date, per ``by``; ``fill`` before the first one.
 
-    ``df`` has one row per (by, date). The window runs over distinct dates, not over price rows.
+    ``df`` has one row per (by, ts). The scan runs over distinct dates, not over price rows; times of any kind may be the calendar.
     """
-    so_far = Window.partitionBy(by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    days = calendar.select(by, "date").distinct().join(df.select(by, "date", col), [by, "date"], "left")
-    return days.withColumn(col, F.coalesce(F.last(col, ignorenulls=True).over(so_far), F.lit(fill)))
+    days = calendar.select(by, ts).distinct().join(df.select(by, ts, F.col(col).alias("_value")), [by, ts], "left")
+    known = running(days, by, ts, {"_known": (F.col("_value"), LAST, True)})
+    return known.select(by, ts, F.coalesce("_known", F.lit(fill)).alias(col))
 
 
 def join_sentiment(
@@ -178,19 +182,21 @@ def join_news_flags(prices: DataFrame, articles: DataFrame, dim, mentions) -> Da
     return _attach(prices, dim, by_category, by_ticker)
 
 
-def carried_with_decay(news: DataFrame, dates: DataFrame, by: str, col: str, half_life: float) -> DataFrame:
-    """As-of value per (by, date): the last value at or before the date, halved every ``half_life`` days.
+def carried_with_decay(news: DataFrame, dates: DataFrame, by: str, col: str, half_life: float, ts: str = "date") -> DataFrame:
+    """As-of value per (by, ts): the last value at or before that time, halved every ``half_life`` days.
 
-    Both inputs have one row per (by, date); the window runs over their distinct dates.
+    Both inputs have one row per (by, ts); the scan runs over their distinct times.
     """
-    so_far = Window.partitionBy(by).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = dates.select(by, "date").distinct().withColumn("_wanted", F.lit(True))
-    both = wanted.join(news.select(by, "date", col), [by, "date"], "full")
-    latest = F.last(F.when(F.col(col).isNotNull(), F.struct("date", col)), ignorenulls=True).over(so_far)
-    both = both.withColumn("_last", latest).filter(F.col("_wanted"))
-    age = F.date_diff("date", F.col("_last")["date"])
-    decayed = F.col("_last")[col] * F.exp(F.lit(-math.log(2.0) / half_life) * age)
-    return both.select(by, "date", F.coalesce(decayed, F.lit(0.0)).alias(col))
+    wanted = dates.select(by, ts).distinct().withColumn("_wanted", F.lit(True))
+    both = wanted.join(news.select(by, ts, F.col(col).alias("_value")), [by, ts], "full")
+    latest = F.when(F.col("_value").isNotNull(), F.struct(F.col(ts).alias("at"), F.col("_value").alias("value")))
+    known = running(both, by, ts, {"_last": (latest, LAST, True)}).filter(F.col("_wanted"))
+    if is_bounded(dates, ts):
+        age = F.date_diff(ts, F.col("_last.at"))
+    else:
+        age = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_last.at").cast("timestamp"))) / 86_400_000_000
+    decayed = F.col("_last.value") * F.exp(F.lit(-math.log(2.0) / half_life) * age)
+    return known.select(by, ts, F.coalesce(decayed, F.lit(0.0)).alias(col))
 
 
 def join_news_decay(prices: DataFrame, articles: DataFrame, dim, mentions, half_life: float = 3.0) -> DataFrame:

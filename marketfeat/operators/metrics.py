@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketfeat.functions.numeric import array_round
-from marketfeat.operators.series import number_rows, placed_rows
+from marketfeat.operators.scans import LAST, MAX, SUM, scan
+from marketfeat.operators.series import placed_rows
 
 THRESHOLD = 0.5
-EPOCH_BLOCK = 262_144
 
 
 def _join_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -146,36 +146,21 @@ def best_epoch(history: DataFrame, by: Sequence[str] = ("run",)) -> DataFrame:
 def early_stop(history: DataFrame, patience: int, by: Sequence[str] = ("run",)) -> DataFrame:
     """Where training would stop: the first epoch that is the ``patience``-th without a new best AUC.
 
-    An epoch is a new best when its AUC is above every earlier one (and above 0). The
-    running best is taken over blocks of epochs and inside a block, so a long run is
-    not sorted in one task. ``stop_epoch`` is NULL when patience never runs out;
-    ``best_epoch``/``best_val_auc`` are as of the stop.
+    An epoch is a new best when its AUC is above every earlier one (and above 0). The epochs are sorted and written once; the
+    running best, the place of the last new best and whether patience has run out are three scans over that table, so a long run
+    is not in one task. ``stop_epoch`` is NULL when patience never runs out; ``best_epoch``/``best_val_auc`` are as of the stop. Rows
+    without a run or an epoch are left out.
     """
     by = list(by)
-    numbered = number_rows(history, by, ["epoch"]).withColumn("_block", F.floor((F.col("_position") - 1) / F.lit(EPOCH_BLOCK)))
-    blocks = numbered.groupBy(*by, "_block").agg(F.max("val_auc").alias("_top"))
-    earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(*by, "_block", F.coalesce(F.max("_top").over(earlier), F.lit(0.0)).alias("_top_before"))
-    inside = Window.partitionBy(*by, "_block").orderBy("_position").rowsBetween(Window.unboundedPreceding, -1)
-    marked = numbered.withColumn("_best_here", F.max("val_auc").over(inside)).join(blocks, [*by, "_block"])
-    best_so_far = F.greatest(F.col("_top_before"), F.col("_best_here"), F.lit(0.0))
-    marked = marked.withColumn("_improved", F.coalesce(F.col("val_auc") > best_so_far, F.lit(False)))
-
-    # Improving epochs only: the gap to the next one (or to the end) tells where patience ran out.
-    runs = marked.groupBy(*by).agg(F.max("_position").alias("_last"))
-    improving = marked.filter("_improved").select(*by, "_position", "epoch", "val_auc")
-    start = runs.select(*by, F.lit(0).cast("long").alias("_position"))
-    marks = improving.select(*by, "_position").unionByName(start)
-    gaps = number_rows(marks, by, ["_position"], position="_nth", size="_marks")
-    nxt = gaps.select(*by, (F.col("_nth") - 1).alias("_nth"), F.col("_position").alias("_next"))
-    gaps = gaps.join(nxt, [*by, "_nth"], "left").join(runs, by)
-    stop_at = F.when(F.coalesce(F.col("_next") - 1, F.col("_last")) - F.col("_position") >= patience,
-                     F.col("_position") + patience)
-    stops = gaps.groupBy(*by).agg(F.min(stop_at).alias("_stop"), F.max("_last").alias("_last"))
-    until = marked.join(stops, by).filter(F.col("_position") <= F.coalesce(F.col("_stop"), F.col("_last")))
+    placed = placed_rows(history.dropna(subset=[*by, "epoch"]), by, ["epoch"])
+    best = scan(placed, by, {"_best": (F.col("val_auc"), MAX, False), "_nth": (F.lit(1).cast("long"), SUM, True)})
+    improved = F.coalesce(F.col("val_auc") > F.greatest(F.coalesce("_best", F.lit(0.0)), F.lit(0.0)), F.lit(False))
+    marked = scan(best.withColumn("_improved", improved), by, {"_mark": (F.when(F.col("_improved"), F.col("_nth")), LAST, True)})
+    out = (F.col("_nth") - F.coalesce("_mark", F.lit(0)) >= patience).cast("int")
+    until = scan(marked.withColumn("_out", out), by, {"_over": (F.col("_out"), MAX, False)}).filter(F.coalesce("_over", F.lit(0)) == 0)
     return until.groupBy(*by).agg(
-        F.max_by("epoch", F.when(F.col("_improved"), F.col("_position"))).alias("best_epoch"),
+        F.max_by("epoch", F.when(F.col("_improved"), F.col("_nth"))).alias("best_epoch"),
         F.max(F.when(F.col("_improved"), F.col("val_auc"))).alias("best_val_auc"),
-        F.max(F.when(F.col("_position") == F.col("_stop"), F.col("epoch"))).alias("stop_epoch"),
+        F.max(F.when(F.col("_out") == 1, F.col("epoch"))).alias("stop_epoch"),
         F.count(F.lit(1)).alias("epochs_run"),
     )

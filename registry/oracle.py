@@ -631,6 +631,15 @@ h3 AS (SELECT run, min(pos) FILTER (waited >= 40) AS stop FROM h2 GROUP BY run)"
     max(epoch) FILTER (pos = stop) AS stop_epoch, count(*) AS epochs_run
     FROM h2 JOIN h3 USING (run) WHERE pos <= coalesce(stop, 9223372036854775807) GROUP BY run""")
 
+ORACLE["running_scan"] = """SELECT event_id, round(max(value) OVER w, 6) + 0.0 AS top, round(min(value) OVER b, 6) + 0.0 AS low_before,
+    CAST(sum(user_id) OVER w AS BIGINT) AS users, last_value(CASE WHEN value > 50 THEN event_id END IGNORE NULLS) OVER b AS last_large,
+    first_value(CASE WHEN value > 50 THEN event_id END IGNORE NULLS) OVER w AS first_large FROM events
+    WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+           b AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+ORACLE["ffill_intraday"] = """SELECT event_type, rtrim(rtrim(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS ts, round(coalesce(last_value(level IGNORE NULLS) OVER (
+    PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING), 0.0), 6) + 0.0 AS level
+    FROM (SELECT event_type, ts, max(value) FILTER (value > 50) AS level FROM events GROUP BY event_type, ts)"""
+
 # -- intraday and streams -----------------------------------------------------------
 
 INTRADAY = f"""

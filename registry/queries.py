@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketfeat.functions import numeric, text
 from marketfeat.operators import (
-    dataset, dedup, features, gates, indicators, joins, ledger, metrics, models, reports, sentiment, series,
+    dataset, dedup, features, gates, indicators, joins, ledger, metrics, models, reports, scans, sentiment, series,
 )
 from marketfeat.plans import pipeline
 from marketfeat.session import durable_path
@@ -627,6 +627,27 @@ def early_stop(spark, sf):
     return out.select("run", "best_epoch", r("best_val_auc"), "stop_epoch", "epochs_run")
 
 
+@query
+def running_scan(spark, sf):
+    """Running values of the event stream per type: extremes, sums, the last and the first large value."""
+    e = roles.table(spark, sf, "events")
+    large = F.when(F.col("value") > 50, F.col("event_id"))
+    out = scans.running(e, "event_type", "ts", {
+        "top": (F.col("value"), scans.MAX, True), "low_before": (F.col("value"), scans.MIN, False),
+        "users": (F.col("user_id"), scans.SUM, True), "last_large": (large, scans.LAST, False), "first_large": (large, scans.FIRST, True),
+    }, tie=["event_id"])
+    return out.select("event_id", r("top"), r("low_before"), "users", "last_large", "first_large")
+
+
+@query
+def ffill_intraday(spark, sf):
+    """The last large value at or before each instant of its type, 0 before the first."""
+    e = roles.table(spark, sf, "events")
+    large = e.filter("value > 50").groupBy("event_type", "ts").agg(F.max("value").alias("level"))
+    out = joins.ffill_by_date(large, e, "level", by="event_type", ts="ts")
+    return out.select("event_type", F.col("ts").cast("string").alias("ts"), r("level"))
+
+
 # -- windows over an intraday series: the blocked layout ------------------------------
 
 INTRADAY = {"ts": "ts", "tie": ["event_id"]}
