@@ -363,6 +363,33 @@ ORACLE["map_category_subcategory"] = select(ARTICLES, f"""SELECT id, {CATEGORY}
 ORACLE["seen_anti_join"] = select(ARTICLES, "SELECT id, source FROM articles WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 
 
+
+
+def words_of(col: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({col}), {quoted(NOT_WORD + '+')}), lambda w: w <> '')"
+
+
+RULES = f"""said AS (SELECT {words_of('text')} AS w FROM conversations),
+phrases AS (SELECT DISTINCT phrase FROM (
+    SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM said WHERE len(w) > 1
+    UNION ALL SELECT unnest(list_filter(w, lambda x: length(x) > 4)) FROM said)),
+rules AS (SELECT phrase, CASE {' '.join(f"WHEN md5(phrase) < '{b}' THEN '{g}'" for b, g in roles.RULE_GATES)} ELSE 'category' END AS gate,
+    CASE {' '.join(f"WHEN substr(md5(phrase), 3, 1) < '{b}' THEN '{n}'" for b, n in roles.RULE_LABELS)} ELSE 'corporate' END AS label,
+    ascii(substr(md5(phrase), 4, 1)) AS priority FROM phrases),
+spoken AS (SELECT id, doc_id, title, {words_of('title')} AS w FROM articles),
+grams AS (SELECT DISTINCT doc_id, phrase FROM (
+    SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM spoken WHERE len(w) > 1
+    UNION ALL SELECT doc_id, unnest(w) FROM spoken)),
+hits AS (SELECT doc_id, gate, label, min(priority) AS priority FROM grams JOIN rules USING (phrase) GROUP BY ALL),
+flags AS (SELECT doc_id, list(DISTINCT gate) AS g FROM hits GROUP BY doc_id),
+named AS (SELECT doc_id, string_agg(label, '|' ORDER BY priority, label) AS labels FROM hits WHERE gate = 'category' GROUP BY doc_id)"""
+HIT = "coalesce(list_contains(g, '{}'), false)".format
+ORACLE["headline_gate_table"] = select(ARTICLES + ", " + RULES, f"""SELECT id, labels FROM articles JOIN flags USING (doc_id) JOIN named USING (doc_id)
+    WHERE length(title) >= 15 AND NOT {HIT('foreign')} AND NOT {HIT('excluded')} AND {HIT('anchor')}""")
+ORACLE["relevance_cascade_table"] = select(ARTICLES + ", " + RULES, f"""SELECT id, CASE WHEN {HIT('keep')} THEN 1 WHEN {HIT('off_topic')} THEN 0
+    WHEN {HIT('price_ticker')} AND NOT {HIT('price_ticker_keep')} THEN 0 WHEN {HIT('institution')} THEN 1
+    WHEN coalesce(regexp_matches(lower(title), 'rs[0-9]'), false) THEN 1 WHEN {HIT('country')} THEN 1 WHEN {HIT('foreign_signal')} THEN 0 ELSE 1 END AS relevant
+    FROM articles LEFT JOIN flags USING (doc_id)""")
 DELIVERY = "CASE WHEN day(date) <= 10 THEN 1 WHEN day(date) <= 20 THEN 2 ELSE 3 END"
 ORACLE["seen_ledger"] = select(ARTICLES, f"""SELECT id, batch FROM (
     SELECT id, doc_id, {DELIVERY} AS batch, nullif({NORM.replace('title', "coalesce(title, '')")}, '') AS key FROM articles)

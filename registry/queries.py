@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marketfeat.functions import numeric, text
 from marketfeat.operators import (
-    dataset, dedup, features, gates, indicators, joins, ledger, metrics, models, reports, scans, sentiment, series,
+    dataset, dedup, features, gates, indicators, joins, ledger, metrics, models, reports, rule_index, scans, sentiment, series,
 )
 from marketfeat.plans import pipeline
 from marketfeat.session import durable_path
@@ -234,6 +234,19 @@ def relevance_cascade(spark, sf):
     return a.select("id", gates.relevant(F.col("title"), roles.RELEVANCE).cast("int").alias("relevant"))
 
 
+@query
+def headline_gate_table(spark, sf):
+    """The gates by a table of some 50 000 rules, joined by an index of their rarest words."""
+    kept = rule_index.headline_gate_table(roles.articles(spark, sf), roles.rule_table(spark, sf))
+    return kept.select("id", "labels")
+
+
+@query
+def relevance_cascade_table(spark, sf):
+    decided = rule_index.relevance_table(roles.articles(spark, sf), roles.rule_table(spark, sf))
+    return decided.select("id", F.col("relevant").cast("int").alias("relevant"))
+
+
 @query
 def announcement_clean(spark, sf):
     return gates.announcement_clean(roles.announcements(spark, sf), roles.ANNOUNCEMENTS).select("conv_id", "turn", "title")

@@ -129,6 +129,31 @@ ANNOUNCEMENTS = AnnouncementRules(
 )
 
 
+def rule_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A large rule table: every pair of neighbouring words of the conversations, and every word of 5 letters or more of them.
+
+    Gate, label and priority follow from the md5 of the phrase.
+    """
+    from marketfeat.operators import rule_index
+
+    said = table(spark, sf, "conversations").select(rule_index.words(F.col("text")).alias("w"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice(F.col("w"), i, 2), " "))
+    both = F.concat(F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>")), F.filter("w", lambda x: F.length(x) > 4))
+    phrases = said.select(F.explode(both).alias("phrase")).distinct().withColumn("m", F.md5("phrase"))
+    gate = F.lit("category")
+    for below, name in reversed(RULE_GATES):
+        gate = F.when(F.col("m") < below, name).otherwise(gate)
+    label = F.lit("corporate")
+    for below, name in reversed(RULE_LABELS):
+        label = F.when(F.substring("m", 3, 1) < below, name).otherwise(label)
+    return phrases.select(gate.alias("gate"), label.alias("label"), F.ascii(F.substring("m", 4, 1)).alias("priority"), "phrase")
+
+
+RULE_GATES = (("008", "foreign"), ("010", "excluded"), ("012", "keep"), ("016", "off_topic"), ("020", "price_ticker"), ("024", "price_ticker_keep"),
+              ("026", "institution"), ("028", "country"), ("034", "foreign_signal"), ("060", "anchor"))
+RULE_LABELS = (("3", "macro"), ("6", "energy"), ("9", "banking"), ("c", "forex"))
+
+
 def scored_articles(spark: SparkSession, sf: str) -> DataFrame:
     """Articles with a standard category and a lexicon score."""
     from marketfeat.operators import gates
