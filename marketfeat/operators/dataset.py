@@ -108,7 +108,7 @@ def sequence_windows(
         return d.filter(F.size("X") == seq_len).withColumn("y", F.col(f"`{target}`").cast("float")).drop("_rows")
 
     built = over_series(df, build, back=seq_len, key=group, ts=ts, **series)
-    keep = [c for c in (*group, ts, "close") if c in built.columns]
+    keep = [c for c in (*group, ts, *series.get("tie", ()), "close") if c in built.columns]
     return built.select(*keep, "X", "y")
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketfeat.functions.numeric import clip, ieee_divide, ieee_ln, nonzero, rolling
 from marketfeat.operators.frames import extremes_layer
-from marketfeat.operators.series import Layer, Layout, Stage, over_series, run_layers, series_layers
+from marketfeat.operators.series import (
+    PLACE, Layer, Layout, Stage, as_keys, over_series, place_columns, run_layers, series_layers,
+)
 
 # The feature columns in their order, and the bounds of the returns per horizon.
 FEATURE_COLUMNS = (
@@ -199,8 +203,8 @@ def circuit_columns() -> Stage:
     }
 
 
-def calendar_columns() -> Stage:
-    return {"day_of_week": F.weekday("date"), "month": F.month("date")}
+def calendar_columns(ts: str = "date") -> Stage:
+    return {"day_of_week": F.weekday(ts), "month": F.month(ts)}
 
 
 def row_columns(df: DataFrame, groups: list[Stage]) -> DataFrame:
@@ -221,36 +225,43 @@ def feature_layers(df: DataFrame, lay: Layout) -> DataFrame:
 def price_features(indicators: DataFrame, threshold: float = THRESHOLD, **series) -> DataFrame:
     """Bars that carry indicators and ``ldcp``, with every feature but the news ones, and the target.
 
-    Rows inside the noise band and incomplete rows are gone.
+    Rows inside the noise band and incomplete rows are gone. Key and order keep their names, and rows their place, if they carry one.
     """
+    key, ts = as_keys(series.get("key", "ticker")), series.get("ts", "date")
     built = over_series(indicators, feature_layers, back=RANGE_ROWS, ahead=HORIZON, **series)
     built = built.filter(outside_noise(threshold))
     built = row_columns(built, [
-        distance_columns(), shape_columns(), bounded_columns(), circuit_columns(), calendar_columns(),
+        distance_columns(), shape_columns(), bounded_columns(), circuit_columns(), calendar_columns(ts),
         {"target": label(threshold)},
     ])
     own = [c for c in FEATURE_COLUMNS if c not in NEWS_COLUMNS]
     complete = built.na.drop(subset=[f"`{c}`" for c in own] + ["target"])
-    return complete.select("date", "ticker", "close", *[F.col(f"`{c}`").cast("double").alias(c) for c in own], "target")
+    lead = [ts, *key, *[c for c in series.get("tie", ()) if c in complete.columns], "close"]
+    values = [F.col(f"`{c}`").cast("double").alias(c) for c in own]
+    return complete.select(*lead, *values, "target", *place_columns(complete))
 
 
-def with_news(features: DataFrame, news: DataFrame | None = None) -> DataFrame:
+def with_news(
+    features: DataFrame, news: DataFrame | None = None, key: str | Sequence[str] = "ticker", ts: str = "date"
+) -> DataFrame:
     """The feature matrix in its column order.
 
     The news columns are those ``features`` has already, or those of ``news`` (one row per
-    ticker and date), or 0. They join last: no other column depends on them.
+    key and time), or 0. They join last: no other column depends on them.
     """
+    keys = [*as_keys(key), ts]
     if news is not None:
-        features = features.join(news.select("ticker", "date", *NEWS_COLUMNS), ["ticker", "date"], "left")
+        features = features.join(news.select(*keys, *NEWS_COLUMNS), keys, "left")
     present = set(features.columns)
     filled = {
         c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in present else F.lit(0.0) for c in NEWS_COLUMNS
     }
+    lead = [c for c in features.columns if c not in (*FEATURE_COLUMNS, "target", *PLACE, ts, *as_keys(key), "close")]
     return features.withColumns(filled).select(
-        "date", "ticker", "close", *[F.col(f"`{c}`") for c in FEATURE_COLUMNS], "target"
+        ts, *as_keys(key), *lead, "close", *[F.col(f"`{c}`") for c in FEATURE_COLUMNS], "target", *place_columns(features)
     )
 
 
 def feature_matrix(indicators: DataFrame, news: DataFrame | None = None, threshold: float = THRESHOLD, **series) -> DataFrame:
     """The 31 features and the target of bars that carry indicators and ``ldcp``; all rows complete."""
-    return with_news(price_features(indicators, threshold, **series), news)
+    return with_news(price_features(indicators, threshold, **series), news, series.get("key", "ticker"), series.get("ts", "date"))

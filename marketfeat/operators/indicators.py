@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from marketfeat.functions.numeric import INF, array_round, ieee_divide, nonzero, rolling
 from marketfeat.operators.frames import chunk_stage, frame_count, frame_moments, meet_stage, part_stage
-from marketfeat.operators.series import Layer, Layout, Stage, over_series, run_layers, series_layers
+from marketfeat.operators.series import Layer, Layout, Stage, as_keys, over_series, run_layers, series_layers
 
 EMA_SPANS = (9, 21, 50, 200)
 WARMUP_ROWS = 252
@@ -53,10 +53,11 @@ def change_layer(lay: Layout) -> list[Stage]:
 
 
 def ldcp_change(df: DataFrame, **series) -> DataFrame:
-    """Last day's close, change and change in percent (of the rounded change)."""
-    return series_layers(df, [change_layer], back=1, **series).select(
-        "date", "ticker", "ldcp", "open", "high", "low", "close", "change", "change_pct", "volume"
-    )
+    """Last day's close, change and change in percent (of the rounded change): order and key, prices, then any other columns."""
+    lead = [series.get("ts", "date"), *as_keys(series.get("key", "ticker"))]
+    names = [*lead, "ldcp", "open", "high", "low", "close", "change", "change_pct", "volume"]
+    others = [c for c in df.columns if c not in names]
+    return series_layers(df, [change_layer], back=1, **series).select(*[F.col(f"`{c}`") for c in (*names, *others)])
 
 
 def warmup_layer(df: DataFrame, lay: Layout, n: int = WARMUP_ROWS) -> DataFrame:

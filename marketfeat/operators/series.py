@@ -91,6 +91,30 @@ def placed_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     return placed.withColumn("_part", F.shiftright("_place", 33))
 
 
+PLACE = ("_part", "_place")
+
+
+def place_columns(df: DataFrame) -> list[str]:
+    """The columns of ``placed_rows``, if ``df`` still has them: its series are in order without a new sort over partitions."""
+    return list(PLACE) if set(PLACE) <= set(df.columns) else []
+
+
+def renumbered(df: DataFrame, keys: Sequence[str], position: str = "_position", size: str = "_size") -> DataFrame:
+    """Position and row count per key of rows that carry their place, some of which may be gone by now.
+
+    Counts per (key, partition) and a window inside each; nothing is sampled, sorted over partitions or written.
+    """
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = df.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_rows")).select(
+        *keys, "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift"), F.sum("_rows").over(whole).alias(size)
+    )
+    nth = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_place")).cast("long")
+    return df.withColumn("_nth", nth).join(runs, [*keys, "_part"]).withColumn(position, F.col("_nth") + F.col("_shift")).select(
+        *[F.col(f"`{c}`") for c in df.columns], position, size
+    )
+
+
 def number_rows(
     df: DataFrame,
     key: str | Sequence[str],
@@ -139,7 +163,8 @@ def over_series(
     """Run ``build`` over each series in the layout that fits.
 
     ``back``/``ahead`` are how many rows before and after a row its result depends on.
-    ``block_rows`` forces the blocked layout; otherwise the order column's type decides.
+    ``block_rows`` forces the blocked layout; otherwise the order column's type decides. Rows that carry the place of
+    ``placed_rows`` (in this order, by these keys or fewer) keep it through any number of steps, which then number them without a sort.
     """
     keys = as_keys(key)
     if block_rows is None and is_bounded(df, ts):
@@ -152,7 +177,7 @@ def over_series(
         return build(df, layout)
 
     rows = block_rows or BLOCK_ROWS
-    numbered = number_rows(df, keys, [ts, *tie])
+    numbered = renumbered(df, keys) if place_columns(df) else number_rows(df, keys, [ts, *tie])
     at = F.col("_position") - 1
     first = F.greatest(F.floor((at - ahead) / F.lit(rows)), F.lit(0))
     last = F.least(F.floor((at + back) / F.lit(rows)), F.floor((F.col("_size") - 1) / F.lit(rows)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marketfeat.functions.rules import HeadlineRules, RelevanceRules
 from marketfeat.operators import dataset, dedup, features, gates, indicators, joins, metrics, models, sentiment
+from marketfeat.operators.series import placed_rows
 from marketfeat.session import checkpointed
 from marketfeat.sources.news import dated_titles
 
@@ -61,9 +62,35 @@ def features_with_news(
 
 def scaled_splits(matrix: DataFrame, cols: Sequence[str] = features.FEATURE_COLUMNS, params: Parameters = Parameters(), **series):
     """Feature matrix to scaled rows with ``split``, and the scaler state."""
+    names = {k: v for k, v in series.items() if k in ("key", "ts")}
     split = dataset.split_by_order(matrix, params.train_ratio, params.val_ratio, **series)
-    state = dataset.scaler_fit(split, cols)
-    return dataset.scaler_apply(split, state, cols), state
+    state = dataset.scaler_fit(split, cols, **names)
+    return dataset.scaler_apply(split, state, cols, **{k: v for k, v in names.items() if k == "key"}), state
+
+
+def intraday_matrix(
+    raw: DataFrame, key: str = "ticker", ts: str = "ts", tie: Sequence[str] = (), params: Parameters = Parameters(), block_rows: int | None = None
+) -> DataFrame:
+    """Bars at instants to the labelled feature matrix, for keys of any length.
+
+    The rows are sorted over partitions and stored once. Their place goes with them through changes, indicators, features, and on
+    through ``scaled_splits`` and ``intraday_samples``: each step numbers what is left by counts, and none sorts over partitions again. Indicator
+    bars are stored, since features read them for counts and for rows.
+    """
+    series = {"key": key, "ts": ts, "tie": tuple(tie), "block_rows": block_rows}
+    placed = placed_rows(raw.dropna(subset=[key, ts]), [key], [ts, *tie])
+    bars = checkpointed(indicator_bars(placed, params.warmup, **series))
+    return features.feature_matrix(bars, None, params.threshold, **series)
+
+
+def intraday_samples(
+    matrix: DataFrame, cols: Sequence[str] = features.FEATURE_COLUMNS, key: str = "ticker", ts: str = "ts", tie: Sequence[str] = (),
+    params: Parameters = Parameters(), block_rows: int | None = None,
+) -> DataFrame:
+    """The result of ``intraday_matrix`` as scaled sequence samples per (key, split)."""
+    series = {"key": key, "ts": ts, "tie": tuple(tie), "block_rows": block_rows}
+    scaled, _ = scaled_splits(checkpointed(matrix), cols, params, **series)
+    return dataset.sequence_windows(checkpointed(scaled), cols, seq_len=params.seq_len, **series)
 
 
 def train_and_score(

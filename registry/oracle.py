@@ -691,6 +691,23 @@ ORACLE["intraday_indicators"] = select(INTRADAY, """SELECT ticker, event_id,
     round(ema_9, 4) + 0.0 AS ema_9, round(ema_50, 4) + 0.0 AS ema_50,
     round(CASE WHEN later > 0 AND close > 0 THEN ln(later / close) WHEN close > 0 AND later = 0 THEN '-infinity'::DOUBLE
           WHEN close = 0 AND later > 0 THEN 'infinity'::DOUBLE END, 4) + 0.0 AS next_ret FROM i2""")
+HOURLY = """
+bars AS (
+    SELECT event_type AS ticker, date_trunc('hour', ts) AS date, arg_min(value + 1, row(ts, event_id)) AS open, max(value + 1) AS high,
+           min(value + 1) AS low, arg_max(value + 1, row(ts, event_id)) AS close, count(*)::DOUBLE AS volume
+    FROM events GROUP BY ALL
+)"""
+HOURLY_MATRIX = MATRIX.replace(BARS, HOURLY).rstrip().rstrip(",") + f""",
+ready AS (SELECT * FROM f3 WHERE {COMPLETE}),
+cut AS (SELECT *, row_number() OVER w AS nth, count(*) OVER (PARTITION BY ticker) AS n FROM ready {W}),
+hours AS (SELECT *, CAST(epoch(date) AS BIGINT) AS instant, CASE WHEN nth <= floor(n * 0.7::DOUBLE) THEN 'train'
+    WHEN nth <= floor(n * (0.7::DOUBLE + 0.15::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM cut)"""
+ORACLE["intraday_feature_matrix"] = select(HOURLY_MATRIX, f"""SELECT ticker AS symbol, instant, round(close, 8) + 0.0 AS close,
+    {', '.join(f'round(CAST({c} AS DOUBLE), 4) + 0.0 AS {NAMES.get(c, c)}' for c in FEATURES)}, target, split FROM hours""")
+ORACLE["intraday_sequences"] = select(HOURLY_MATRIX, """SELECT ticker AS symbol, instant, split,
+    round(list_sum(list_transform(x, lambda v: v::DOUBLE)), 1) AS total, target::FLOAT AS y
+    FROM (SELECT *, list(rsi::FLOAT) OVER (PARTITION BY ticker, split ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS x FROM hours)
+    WHERE len(x) = 20""")
 ORACLE["stream_first_seen"] = "SELECT event_id, event_type FROM events"
 ORACLE["stream_daily_sentiment"] = """SELECT CAST(ts AS DATE) AS date, event_type AS category, round(avg(value), 6) + 0.0 AS mean_value, count(*) AS n
     FROM events GROUP BY ALL"""

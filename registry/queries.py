@@ -12,7 +12,7 @@ from marketfeat.operators import (
     dataset, dedup, features, gates, indicators, joins, ledger, metrics, models, reports, rule_index, scans, sentiment, series,
 )
 from marketfeat.plans import pipeline
-from marketfeat.session import durable_path
+from marketfeat.session import checkpointed, durable_path
 from marketfeat.sources import bars as bar_io
 from marketfeat.sources import news as news_io
 from marketfeat.sources import worklists
@@ -679,6 +679,27 @@ def intraday_indicators(spark, sf):
     return rounded(out, ["ticker", "event_id"], ["rsi", "cci", "bb_mid", "bb_width", "ema_9", "ema_50", "next_ret"], 4)
 
 
+def _hourly_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return pipeline.intraday_matrix(roles.hourly(spark, sf), key="symbol", ts="at", block_rows=400)
+
+
+@query
+def intraday_feature_matrix(spark, sf):
+    """All features, the target and the split of hourly bars: one sort over partitions for all steps."""
+    matrix = dataset.split_by_order(checkpointed(_hourly_matrix(spark, sf)), key="symbol", ts="at", block_rows=400)
+    values = [c for c in features.FEATURE_COLUMNS if c not in features.NEWS_COLUMNS]
+    return matrix.select("symbol", F.unix_timestamp(F.col("at").cast("timestamp")).alias("instant"), r("close", 8), *[r(c, 4) for c in values], "target", "split")
+
+
+@query
+def intraday_sequences(spark, sf):
+    """Samples of 20 hourly bars: unscaled closes and volumes summed, with the label of the row after them."""
+    matrix = dataset.split_by_order(checkpointed(_hourly_matrix(spark, sf)), key="symbol", ts="at", block_rows=400)
+    samples = dataset.sequence_windows(matrix, ["ret_1d", "rsi"], key="symbol", ts="at", block_rows=400)
+    total = F.aggregate("X", F.lit(0.0), lambda acc, row: acc + row[1].cast("double"))
+    return samples.select("symbol", F.unix_timestamp(F.col("at").cast("timestamp")).alias("instant"), "split", F.round(total, 1).alias("total"), "y")
+
+
 @query
 def intraday_positions(spark, sf):
     out = series.number_rows(roles.trades(spark, sf), "ticker", ["ts", "event_id"])

@@ -51,6 +51,16 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def hourly(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars of an hour from the event stream, at instants; prices are above zero."""
+    e = table(spark, sf, "events")
+    price, order = F.col("value") + F.lit(1.0), F.struct("ts", "event_id")
+    return e.groupBy(F.col("event_type").alias("symbol"), F.date_trunc("hour", "ts").alias("at")).agg(
+        F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"),
+        F.count(F.lit(1)).cast("double").alias("volume"),
+    )
+
+
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
     """Small labelled feature table: close, volume, range, target."""
     rows = features.noise_filter(clean(spark, sf)).withColumn("target", features.label())

@@ -103,3 +103,28 @@ def test_timestamp_order_takes_the_blocked_layout(spark):
     assert not series.is_bounded(df, "ts")
     got = indicators.ema(df, 9, ts="ts").orderBy("ts").collect()
     assert all(close_to(r["ema_9"], w) for r, w in zip(got, ema_of([r[2] for r in rows], 9)))
+
+
+def test_one_sort_serves_all_steps(spark, bars, monkeypatch):
+    """Bars at instants, placed once, give what plain daily series give: features, splits and samples."""
+    from marketfeat.plans import pipeline
+
+    sorts, place = [], series.placed_rows
+    for module in (series, pipeline):
+        monkeypatch.setattr(module, "placed_rows", lambda *a: sorts.append(1) or place(*a))
+    raw = bars.select(F.col("ticker").alias("symbol"), F.col("date").cast("timestamp").alias("at"), "open", "high", "low", "close", "volume")
+    options = {"key": "symbol", "ts": "at", "block_rows": 90}
+    matrix = pipeline.intraday_matrix(raw, **options)
+    samples = pipeline.intraday_samples(matrix, ["rsi", "ret_1d"], **options)
+    plan = matrix._jdf.queryExecution().executedPlan().toString()
+    plain = pipeline.features_from_bars(bars.select("ticker", "date", "open", "high", "low", "close", "volume"))
+    scaled, _ = pipeline.scaled_splits(plain, ["rsi", "ret_1d"])
+    want = dataset.sequence_windows(scaled, ["rsi", "ret_1d"])
+    named = matrix.withColumnRenamed("symbol", "ticker").withColumn("date", F.col("at").cast("date"))
+    assert_same(named, plain, list(features.FEATURE_COLUMNS) + ["target", "close"], 1e-7)
+    got = {(r["symbol"], r["at"].date(), r["split"]): (r["X"], r["y"]) for r in samples.collect()}
+    expected = {(r["ticker"], r["date"], r["split"]): (r["X"], r["y"]) for r in want.collect()}
+    assert got.keys() == expected.keys() and len(got) > 100
+    for k, (x, y) in got.items():
+        assert y == expected[k][1] and all(abs(a - b) < 1e-4 for p, q in zip(x, expected[k][0]) for a, b in zip(p, q))
+    assert len(sorts) == 1 and "rangepartitioning" not in plan.lower()
