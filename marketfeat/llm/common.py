@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 from typing import TypeVar
 
@@ -24,8 +26,13 @@ def held(*key, make: Callable[[], T]) -> T:
     stage remembers never stays beside that of the next.
     """
     if key not in _held:
-        _held.clear()
-        pa.default_memory_pool().release_unused()
+        if _held:
+            _held.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:  # freed memory goes back to the machine, for the next stage's workers
+                trim(0)
         _held[key] = make()
     return _held[key]
 

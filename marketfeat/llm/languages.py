@@ -2,7 +2,9 @@
 
 The pieces are those of a fixed public byte-level vocabulary; each language has a probability for every piece. The probability
 of a word is summed over all its segmentations by the forward algorithm, and that of a text is the product over its words. Words are
-split at white space, carry the space before them as their first byte, and are cut every CUT bytes, so a piece never crosses.
+split at white space and carry the space before them as their first byte. All pieces of the vocabulary count, and a word of any length is
+summed as a whole: many short words of one length at once; long ones (a text without spaces is one) block by block, carrying the sums of the last
+places and, against underflow, a scale for each language that is renewed every RENEW bytes.
 
 Learning counts (language, word) over all texts with a language, and spreads each word's count over its segmentations (forward and
 backward, STEPS times, from equal probabilities). What comes to the driver has at most languages x pieces rows.
@@ -24,7 +26,10 @@ from pyspark.sql import functions as F
 from marketfeat.llm.common import fold, held, table
 from marketfeat.session import checkpointed
 
-CUT, LONGEST, STEPS = 32, 12, 1
+#: Steps of learning, a parameter: each reads the table of words once.
+STEPS = 1
+#: Bytes of a short word at most; of a block of a long one; between new scales; cells of long words read at once.
+SHORT, STRIDE, RENEW, CELLS = 32, 4096, 16, 1 << 16
 #: Count that every piece has from the start.
 SMOOTH = 0.05
 #: Languages at most (more raise): the table of probabilities goes to every task.
@@ -35,10 +40,10 @@ _B = np.uint64(0x9E3779B97F4A7C15)
 
 
 def vocabulary(path: str) -> list[bytes]:
-    """Pieces of a file of ranks, up to LONGEST bytes, with all single bytes."""
+    """All pieces of a file of ranks, with all single bytes."""
     with open(path, "rb") as f:
         pieces = {base64.b64decode(line.split()[0]) for line in f if line.strip()}
-    return sorted({p for p in pieces if len(p) <= LONGEST} | {bytes([b]) for b in range(256)})
+    return sorted(pieces | {bytes([b]) for b in range(256)})
 
 
 def _hashes(rows: np.ndarray) -> np.ndarray:
@@ -61,6 +66,7 @@ class Pieces:
             there = np.zeros(1 << 18, bool)
             there[(h >> np.uint64(46)).astype(np.int64)] = True
             self.tables[n] = (h[order], ids[order], there)
+        self.longest = max(self.tables)
 
     def find(self, words: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
         """Piece number of the bytes [start, end) of each row of ``words``; ``size`` where there is none. Empty places are left out."""
@@ -68,7 +74,7 @@ class Pieces:
         out = {}
         h = np.zeros((count, width), np.uint64)
         plus = words.astype(np.uint64) + np.uint64(1)
-        for n in range(1, min(LONGEST, width) + 1):
+        for n in range(1, min(self.longest, width) + 1):
             h = (h[:, : width - n + 1] + plus[:, n - 1:]) * _B
             if n not in self.tables:
                 continue
@@ -110,19 +116,84 @@ class Pieces:
         return out
 
 
+    def _edges(self, words: np.ndarray, ends: np.ndarray, back: bool = False) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Places and pieces of long words by rising start, or falling; ``ends`` are the lengths, what is behind them is padding."""
+        lows = range(0, words.shape[1], STRIDE)
+        for low in reversed(lows) if back else lows:
+            found = self.find(words[:, low:low + STRIDE + self.longest - 1])
+            for s, e in sorted(found, reverse=back):
+                if s < STRIDE:
+                    yield low + s, low + e, np.where(low + e <= ends, found[(s, e)], self.size)
+
+    def long_forward(self, words: np.ndarray, ends: np.ndarray, p: np.ndarray, row: np.ndarray | None = None):
+        """Scaled sums up to each place, (width + 1, words, columns), and the log scales of each RENEW places: the sum at e is a[e] exp(logs[e // RENEW])."""
+        width, columns = words.shape[1], 1 if row is not None else p.shape[1]
+        a = np.zeros((width + 1, len(words), columns))
+        a[0] = 1.0
+        logs = np.zeros((width // RENEW + 1, len(words), columns))
+        block = 0
+        for s, e, ids in self._edges(words, ends):
+            while s // RENEW > block:
+                block += 1
+                live = a[block * RENEW:block * RENEW + self.longest + 1]
+                scale = live.max(axis=0)
+                scale[scale == 0] = 1.0
+                live /= scale
+                logs[block] = logs[block - 1] + np.log(scale)
+            a[e] += a[s] * (p[ids, row][:, None] if row is not None else p[ids])
+        logs[block + 1:] = logs[block]
+        return a, logs
+
+    def long_logs(self, words: np.ndarray, ends: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Log probabilities of long words by column of ``p``."""
+        a, logs = self.long_forward(words, ends, p)
+        each = np.arange(len(words))
+        return np.log(np.maximum(a[ends, each], 1e-300)) + logs[ends // RENEW, each]
+
+    def long_expected(self, words: np.ndarray, ends: np.ndarray, times: np.ndarray, p: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """``expected`` of long words."""
+        a, logs = self.long_forward(words, ends, p, row)
+        a, logs, each = a[:, :, 0], logs[:, :, 0], np.arange(len(words))
+        b = np.zeros(a.shape)
+        b[ends, each] = 1 / np.maximum(a[ends, each], 1e-300)
+        flat = np.zeros(p.size)
+        for s, e, ids in self._edges(words, ends, back=True):
+            q = p[ids, row] * np.exp(logs[s // RENEW] - logs[e // RENEW]) * b[e]
+            b[s] += q
+            np.add.at(flat, ids * p.shape[1] + row, a[s] * q * times)
+        return flat.reshape(p.shape)
+
+
 def split(text: str) -> list[str]:
     return text.split()
 
 
-def cuts(word: str) -> list[bytes]:
-    data = b" " + word.encode("utf-8", "surrogatepass")
-    return [data[i:i + CUT] for i in range(0, len(data), CUT)]
+def word_bytes(word: str) -> bytes:
+    return b" " + word.encode("utf-8", "surrogatepass")
+
+
+def _long(parts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Indexes, padded bytes and lengths of the long parts, those of like length together, CELLS cells or one part at once."""
+    widths = np.fromiter(map(len, parts), np.int64, len(parts))
+    rows = np.flatnonzero(widths > SHORT)
+    rows = rows[np.argsort(widths[rows], kind="stable")]
+    at = 0
+    while at < len(rows):
+        end = at + 1
+        while end < len(rows) and widths[rows[end]] * (end + 1 - at) <= CELLS and widths[rows[end]] <= 2 * widths[rows[at]]:
+            end += 1
+        some = rows[at:end]
+        data = np.zeros((len(some), int(widths[some].max())), np.uint8)
+        for k, i in enumerate(some.tolist()):
+            data[k, :widths[i]] = np.frombuffer(parts[i], np.uint8)
+        yield some, data, widths[some]
+        at = end
 
 
 def _by_width(parts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indexes and bytes of the parts of each length."""
+    """Indexes and bytes of the short parts of each length."""
     widths = np.fromiter(map(len, parts), np.int64, len(parts))
-    for w in np.unique(widths).tolist():
+    for w in np.unique(widths[widths <= SHORT]).tolist():
         rows = np.flatnonzero(widths == w)
         for at in range(0, len(rows), 20_000):
             some = rows[at:at + 20_000]
@@ -147,17 +218,13 @@ class Scorer:
         self.rows = np.zeros((REMEMBERED, len(model.languages)))
 
     def words(self, words: list[str]) -> np.ndarray:
-        parts, owner = [], []
-        for i, w in enumerate(words):
-            for c in cuts(w):
-                parts.append(c)
-                owner.append(i)
+        parts = [word_bytes(w) for w in words]
         logs = np.zeros((len(parts), len(self.model.languages)))
         for rows, data in _by_width(parts):
             logs[rows] = np.log(np.maximum(self.find.forward(data, self.model.p)[0][-1], 1e-300))
-        out = np.zeros((len(words), logs.shape[1]))
-        np.add.at(out, np.array(owner, np.int64), logs)
-        return out
+        for rows, data, ends in _long(parts):
+            logs[rows] = self.find.long_logs(data, ends, self.model.p)
+        return logs
 
     def texts(self, texts: list[str]) -> Iterator[tuple[str, float]]:
         counted = [Counter(split(t)) for t in texts]
@@ -239,15 +306,13 @@ def learn(docs: DataFrame, path: str, steps: int = STEPS) -> Model:
             find = Pieces(pieces)
             total = np.zeros((v + 1, k))
             for batch in batches:
-                parts, times, row = [], [], []
-                for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    for c in cuts(word):
-                        parts.append(c)
-                        times.append(n)
-                        row.append(number[lang])
-                times, row = np.array(times, float), np.array(row, np.int64)
+                parts = [word_bytes(w) for w in batch.column(1).to_pylist()]
+                row = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
+                times = np.array(batch.column(2).to_pylist(), float)
                 for rows, data in _by_width(parts):
                     total += find.expected(data, times[rows], p, row[rows])
+                for rows, data, ends in _long(parts):
+                    total += find.long_expected(data, ends, times[rows], p, row[rows])
             piece, lang = np.nonzero(total[:v])
             yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(lang), pa.array(total[piece, lang])], ["piece", "lang", "n"])
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketfeat.llm.common import MEMORY, boxed, field, fold, held, table
+from marketfeat.llm.common import MEMORY, boxed, fold, held, table
 
 #: Labelled rows that the model is fitted on at most, taken by a hash of doc_id; lexicon entries at most; least G2 of an entry.
 ROWS, TERMS, LEAST_G2 = 20_000, 4096, 25.0
@@ -457,15 +457,16 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
 def not_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that score below ``limit``; columns stay as they are, whatever their names. Scored in one pass beside the row, no join."""
     model = trained(docs, labels)
-    here = boxed(docs, text=field("text").cast("string"))
+    here = boxed(docs.withColumn("text", F.col("text").cast("string")))
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = reader(model)
         for batch in batches:
-            keep = [probability(t.as_py() or "", model, restorer) < limit for t in batch.column(1)]
-            yield batch.select([0]).filter(pa.array(keep, pa.bool_()))
+            keep = [probability(t.as_py() or "", model, restorer) < limit for t in batch.column(0).field("text")]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return here.mapInArrow(one, here.select("row").schema).select("row.*")
+    kept = here.mapInArrow(one, here.schema).select("row.*")
+    return kept.withColumn("text", F.col("text").cast(docs.schema["text"].dataType))
 
 
 def op2_deobfuscated_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

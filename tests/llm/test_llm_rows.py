@@ -5,6 +5,7 @@ import re
 import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +157,61 @@ def test_languages_of_odd_texts(spark, docs):
     none = docs.filter("false").withColumn("lang", F.lit("en"))
     empty = languages.learn(none, languages.ranks())
     assert languages.identify(none, empty).count() == 0 and {r["lang_pred"] for r in languages.identify(rows, empty).collect()} == {"und"}
+
+
+def test_long_words_are_summed_whole(monkeypatch):
+    """Blocks, padding and scales change nothing; all pieces are usable; a word of 300 000 bytes has a finite sum."""
+    rng = np.random.default_rng(3)
+    pieces = sorted({bytes([b]) for b in b"abc"} | {bytes(rng.choice(list(b"abc"), n).tolist()) for n in (2, 3, 5, 17) for _ in range(12)})
+    p = np.vstack([rng.dirichlet(np.ones(len(pieces)), 2).T, np.zeros(2)])
+    find = languages.Pieces(pieces)
+
+    def brute(word, column):
+        a = [1.0] + [0.0] * len(word)
+        for e in range(1, len(word) + 1):
+            a[e] = sum(a[e - len(x)] * p[i, column] for i, x in enumerate(pieces) if word[:e].endswith(x))
+        return np.log(a[-1])
+
+    words = [bytes(rng.choice(list(b"abc"), n).tolist()) for n in (33, 40, 47, 64, 65, 130, 200)]
+    for stride in (4096, 24):
+        monkeypatch.setattr(languages, "STRIDE", stride)
+        seen = []
+        for rows, data, ends in languages._long([b"ab", *words]):
+            logs = find.long_logs(data, ends, p)
+            counts = find.long_expected(data, ends, np.ones(len(rows)), p, np.zeros(len(rows), int))
+            assert np.isclose(sum(counts[i, 0] * len(x) for i, x in enumerate(pieces)), ends.sum())
+            for r, got in zip(rows.tolist(), logs):
+                seen.append(r)
+                assert np.allclose(got, [brute(([b"ab"] + words)[r], c) for c in (0, 1)])
+        assert sorted(seen) == list(range(1, 8))
+    short = np.frombuffer(words[0][:30], np.uint8).reshape(1, -1)
+    a = find.expected(short, np.ones(1), p, np.ones(1, int))
+    assert np.allclose(a, find.long_expected(short, np.array([30]), np.ones(1), p, np.ones(1, int)))
+    monkeypatch.setattr(languages, "STRIDE", 4096)
+    whole = np.frombuffer(b"abcab" * 60_000, np.uint8).reshape(1, -1)
+    assert np.isfinite(find.long_logs(whole, np.array([300_000]), p)).all()
+    assert max(map(len, languages.vocabulary(languages.ranks()))) > 12
+
+
+def test_predictions_against_whole_sums(spark):
+    """Predictions recomputed piece by piece, from the model's probabilities."""
+    docs = spark.createDataFrame([("en", "the house of the words and a thing"), ("de", "das haus der worte und ein ding"), ("en", "of words")], "lang string, text string")
+    made = languages.learn(docs, languages.ranks())
+    number = {x: i for i, x in enumerate(made.pieces)}
+
+    def log(text, column):
+        total = made.prior[column]
+        for w in text.split():
+            data = b" " + w.encode()
+            a = [1.0] + [0.0] * len(data)
+            for e in range(1, len(data) + 1):
+                a[e] = sum(a[s] * made.p[number[data[s:e]], column] for s in range(e) if data[s:e] in number)
+            total += np.log(a[-1])
+        return total
+
+    texts = ["the ding", "worte of das", "a", "und und the", "Donaudampfschifffahrtsgesellschaftskapitän the"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in languages.identify(rows, made).collect():
+        want = np.array([log(texts[r["doc_id"]], c) for c in range(len(made.languages))])
+        assert r["lang_pred"] == made.languages[int(want.argmax())]
+        assert np.isclose(r["score"], 1 / np.exp(want - want.max()).sum())
