@@ -68,8 +68,8 @@ class Pieces:
             self.tables[n] = (h[order], ids[order], there)
         self.longest = max(self.tables)
 
-    def find(self, words: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-        """Piece number of the bytes [start, end) of each row of ``words``; ``size`` where there is none. Empty places are left out."""
+    def find(self, words: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray | slice, np.ndarray]]:
+        """Rows of ``words`` whose bytes [start, end) are a piece, and which; a slice where all are. Empty places are left out."""
         count, width = words.shape
         out = {}
         h = np.zeros((count, width), np.uint64)
@@ -79,14 +79,13 @@ class Pieces:
             if n not in self.tables:
                 continue
             known, ids, there = self.tables[n]
-            maybe = there[(h >> np.uint64(46)).astype(np.int64)]
-            row, start = np.nonzero(maybe)
+            start, row = np.nonzero(there[(h >> np.uint64(46)).astype(np.int64)].T)
             at = np.minimum(np.searchsorted(known, h[row, start]), len(known) - 1)
             hit = known[at] == h[row, start]
-            found = np.full(h.shape, self.size, np.int32)
-            found[row[hit], start[hit]] = ids[at[hit]]
-            for s in np.unique(start[hit]).tolist():
-                out[(s, s + n)] = found[:, s]
+            start, row, found = start[hit], row[hit], ids[at[hit]]
+            first = np.flatnonzero(np.diff(start, prepend=-1))
+            for low, high in zip(first.tolist(), [*first[1:].tolist(), len(start)]):
+                out[(int(start[low]), int(start[low]) + n)] = (slice(None) if high - low == count else row[low:high], found[low:high])
         return out
 
     def forward(self, words: np.ndarray, p: np.ndarray, row: np.ndarray | None = None):
@@ -98,8 +97,8 @@ class Pieces:
         columns = 1 if row is not None else p.shape[1]
         a = np.zeros((words.shape[1] + 1, len(words), columns))
         a[0] = 1.0
-        for (s, e), ids in sorted(found.items(), key=lambda x: x[0][1]):
-            a[e] += a[s] * (p[ids, row][:, None] if row is not None else p[ids])
+        for (s, e), (at, ids) in sorted(found.items(), key=lambda x: x[0][1]):
+            a[e, at] += a[s, at] * (p[ids, row[at]][:, None] if row is not None else p[ids])
         return a, found
 
     def expected(self, words: np.ndarray, times: np.ndarray, p: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -107,23 +106,23 @@ class Pieces:
         a, found = self.forward(words, p, row)
         b = np.zeros(a.shape[:2])
         b[-1] = 1.0
-        out = np.zeros(p.shape)
+        flat = np.zeros(p.size)
         scale = times / np.maximum(a[-1, :, 0], 1e-300)
-        for (s, e), ids in sorted(found.items(), key=lambda x: -x[0][0]):
-            q = p[ids, row] * b[e]
-            b[s] += q
-            out += np.bincount(ids * p.shape[1] + row, a[s, :, 0] * q * scale, out.size).reshape(out.shape)
-        return out
-
+        for (s, e), (at, ids) in sorted(found.items(), key=lambda x: -x[0][0]):
+            q = p[ids, row[at]] * b[e, at]
+            b[s, at] += q
+            np.add.at(flat, ids * p.shape[1] + row[at], a[s, at, 0] * q * scale[at])
+        return flat.reshape(p.shape)
 
-    def _edges(self, words: np.ndarray, ends: np.ndarray, back: bool = False) -> Iterator[tuple[int, int, np.ndarray]]:
-        """Places and pieces of long words by rising start, or falling; ``ends`` are the lengths, what is behind them is padding."""
+    def _edges(self, words: np.ndarray, ends: np.ndarray, back: bool = False) -> Iterator[tuple]:
+        """Places, rows and pieces of long words by rising start, or falling; ``ends`` are the lengths, what is behind them is padding."""
         lows = range(0, words.shape[1], STRIDE)
         for low in reversed(lows) if back else lows:
             found = self.find(words[:, low:low + STRIDE + self.longest - 1])
             for s, e in sorted(found, reverse=back):
                 if s < STRIDE:
-                    yield low + s, low + e, np.where(low + e <= ends, found[(s, e)], self.size)
+                    at, ids = found[(s, e)]
+                    yield low + s, low + e, at, np.where(low + e <= ends[at], ids, self.size)
 
     def long_forward(self, words: np.ndarray, ends: np.ndarray, p: np.ndarray, row: np.ndarray | None = None):
         """Scaled sums up to each place, (width + 1, words, columns), and the log scales of each RENEW places: the sum at e is a[e] exp(logs[e // RENEW])."""
@@ -132,7 +131,7 @@ class Pieces:
         a[0] = 1.0
         logs = np.zeros((width // RENEW + 1, len(words), columns))
         block = 0
-        for s, e, ids in self._edges(words, ends):
+        for s, e, at, ids in self._edges(words, ends):
             while s // RENEW > block:
                 block += 1
                 live = a[block * RENEW:block * RENEW + self.longest + 1]
@@ -140,7 +139,7 @@ class Pieces:
                 scale[scale == 0] = 1.0
                 live /= scale
                 logs[block] = logs[block - 1] + np.log(scale)
-            a[e] += a[s] * (p[ids, row][:, None] if row is not None else p[ids])
+            a[e, at] += a[s, at] * (p[ids, row[at]][:, None] if row is not None else p[ids])
         logs[block + 1:] = logs[block]
         return a, logs
 
@@ -157,10 +156,10 @@ class Pieces:
         b = np.zeros(a.shape)
         b[ends, each] = 1 / np.maximum(a[ends, each], 1e-300)
         flat = np.zeros(p.size)
-        for s, e, ids in self._edges(words, ends, back=True):
-            q = p[ids, row] * np.exp(logs[s // RENEW] - logs[e // RENEW]) * b[e]
-            b[s] += q
-            np.add.at(flat, ids * p.shape[1] + row, a[s] * q * times)
+        for s, e, at, ids in self._edges(words, ends, back=True):
+            q = p[ids, row[at]] * np.exp(logs[s // RENEW, at] - logs[e // RENEW, at]) * b[e, at]
+            b[s, at] += q
+            np.add.at(flat, ids * p.shape[1] + row[at], a[s, at] * q * times[at])
         return flat.reshape(p.shape)
 
 
