@@ -9,6 +9,10 @@ import random
 DAY = dt.date(2015, 1, 1)
 
 
+def day_of(n: int) -> dt.date:
+    return DAY + dt.timedelta(days=n)
+
+
 def random_bars(ticker: str, n: int, seed: int = 0, gap: bool = True):
     """Bars of one ticker, on irregular days."""
     rng = random.Random(f"{ticker}-{seed}")
