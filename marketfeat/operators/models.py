@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from marketfeat.functions.numeric import array_round
 from marketfeat.operators.dataset import class_weight
 from marketfeat.operators.metrics import auc
+from marketfeat.operators.series import Layout, as_keys, over_series
 from marketfeat.session import checkpointed
 
 THRESHOLD = 0.5
@@ -32,8 +33,40 @@ def pooled(x: Column, seq_len: int) -> Column:
     return F.concat(mean, F.transform(F.element_at(x, -1), lambda v: v.cast("double")))
 
 
+def pooled_names(cols: Sequence[str]) -> list[str]:
+    """The names of the pooled features in their order."""
+    return [f"mean_{c}" for c in cols] + [f"last_{c}" for c in cols]
+
+
+def pooled_samples(
+    df: DataFrame, cols: Sequence[str], target: str = "target", seq_len: int = 20, key: str | Sequence[str] = "ticker", ts: str = "date", **series
+) -> DataFrame:
+    """What ``pooled`` makes of ``sequence_windows``, as window expressions: no sequence is ever built or stored.
+
+    One sample per row with ``seq_len`` rows before it in its (key, split): ``pooled`` holds their means, then the values of the last of them, in double
+    precision; a column with a null among them gives a null mean. ``y`` is the label.
+    """
+    group = [*as_keys(key), "split"]
+
+    def build(d: DataFrame, lay: Layout) -> DataFrame:
+        before, last = lay.window.rowsBetween(-seq_len, -1), lay.window.rowsBetween(-1, -1)
+        value = {c: F.col(f"`{c}`").cast("double") for c in cols}
+        whole = {c: F.when(F.count(v).over(before) == seq_len, F.avg(v).over(before)) for c, v in value.items()}
+        d = d.withColumns({
+            "_before": F.count(F.lit(1)).over(before),
+            "pooled": F.array(*whole.values(), *[F.max(v).over(last) for v in value.values()]),
+        })
+        return d.filter(F.col("_before") == seq_len).withColumn("y", F.col(f"`{target}`").cast("double"))
+
+    built = over_series(df, build, back=seq_len, key=group, ts=ts, **series)
+    keep = [c for c in (*group, ts, *series.get("tie", ()), "close") if c in built.columns]
+    return built.select(*keep, "pooled", "y")
+
+
 def with_features(samples: DataFrame, seq_len: int) -> DataFrame:
-    """Samples with a ``features`` vector and a double ``label``; the sequence itself goes."""
+    """Samples with a ``features`` vector and a double ``label``; the sequence itself, or its pooled form, goes."""
+    if "pooled" in samples.columns:
+        return samples.withColumns({"features": array_to_vector(F.col("pooled")), "label": F.col("y").cast("double")}).drop("pooled", "y")
     return samples.withColumns({
         "features": array_to_vector(pooled(F.col("X"), seq_len)), "label": F.col("y").cast("double"),
     }).drop("X", "y")
@@ -156,6 +189,42 @@ def fit_stack(samples: DataFrame, base: DirectionModel, sizes: dict | None = Non
     return stack
 
 
+# -- scoring as arithmetic ----------------------------------------------------------
+
+INTERCEPT = "intercept"
+
+
+def coefficient_table(model: DirectionModel, cols: Sequence[str], spark: SparkSession, name: str = "all") -> DataFrame:
+    """A fitted logistic model as rows ``(model, feature, weight)``: two per column and the intercept."""
+    weights = [*zip(pooled_names(cols), (float(w) for w in model.model.coefficients)), (INTERCEPT, float(model.model.intercept))]
+    return spark.createDataFrame([(name, f, w) for f, w in weights], "model string, feature string, weight double")
+
+
+def score_with_coefficients(samples: DataFrame, weights: DataFrame, names: Sequence[str], by: str | None = None, features: str = "pooled") -> DataFrame:
+    """``samples`` with ``prob_up`` from coefficient rows ``(model, feature, weight)``: no model object, any number of models at once.
+
+    ``names`` are the features in the array ``features``. The model of a row is the value of its column ``by`` (null or without coefficients: no
+    probability), or ``all`` for every row. A model's missing coefficients are zero, those of other names take no part. The rows of a model meet in one array of
+    ``len(names) + 1`` weights, and samples join models, so nothing of a sample's size is exploded or exchanged by feature.
+    Raises if a model has a coefficient twice.
+    """
+    places = [*names, INTERCEPT]
+    place = F.array_position(F.array(*[F.lit(n) for n in places]), F.col("feature"))
+    known = weights.withColumn("_place", place).filter(F.col("_place") > 0)
+    repeated = F.count(F.lit(1)) > F.count_distinct("_place")
+    message = F.concat(F.lit("a coefficient comes twice in model "), F.col("model"))
+    by_place = F.map_from_entries(F.array_sort(F.collect_set(F.struct("_place", F.coalesce("weight", F.lit(0.0)).alias("w")))))
+    models = known.groupBy("model").agg(F.when(repeated, F.raise_error(message).cast("map<bigint,double>")).otherwise(by_place).alias("_w")).select(
+        F.col("model").alias("_model"),
+        F.array(*[F.coalesce(F.element_at("_w", F.lit(i + 1).cast("long")), F.lit(0.0)) for i in range(len(places))]).alias("_weights"),
+    )
+    asked = samples.withColumn("_of", F.col(by).cast("string") if by else F.lit("all"))
+    joined = asked.join(models, F.col("_of") == F.col("_model"), "left")
+    terms = F.zip_with(F.col(features), F.slice("_weights", 1, len(names)), lambda x, w: x * w)
+    z = F.aggregate(terms, F.element_at("_weights", -1), lambda total, t: total + t)
+    return joined.withColumn("prob_up", F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).drop("_of", "_model", "_weights")
+
+
 def score_splits(model: DirectionModel | StackedModel, samples: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Prediction rows of all tickers and splits. The class comes from the unrounded probability."""
     scored = model.probabilities(samples)

@@ -100,9 +100,9 @@ def train_and_score(
     stack_sizes: dict | None = None,
     grid: Sequence[float] = (0.0, 0.01, 0.1),
 ) -> tuple[DataFrame, DataFrame, models.DirectionModel | models.StackedModel]:
-    """Feature matrix to predictions, metrics per (ticker, split), and the model."""
+    """Feature matrix to predictions, metrics per (ticker, split), and the model. Sequences are pooled as they are met, and only that is stored."""
     scaled, _ = scaled_splits(matrix, cols, params)
-    samples = checkpointed(dataset.sequence_windows(scaled, cols, seq_len=params.seq_len))
+    samples = checkpointed(models.pooled_samples(scaled, cols, seq_len=params.seq_len))
     model = models.fit_classifier(samples, params.seq_len, grid)
     if stack_sizes is not None:
         model = models.fit_stack(samples, model, stack_sizes)
