@@ -577,6 +577,33 @@ ORACLE["coverage_gaps"] = select(BARS, """SELECT symbol, date FROM (
     SELECT symbol, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS date
     FROM (SELECT ticker AS symbol, min(date) AS lo, max(date) AS hi FROM bars GROUP BY ticker)) w
     WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.ticker = w.symbol AND b.date = w.date)""")
+RANGES = BARS + """,
+spans AS (SELECT DISTINCT p_brand AS symbol FROM part),
+gaps AS (SELECT symbol, day FROM (SELECT symbol, CAST(unnest(generate_series(DATE '1995-01-01', DATE '1999-12-31', INTERVAL 1 DAY)) AS DATE) AS day FROM spans)
+    WHERE (symbol, day) NOT IN (SELECT (ticker, date) FROM bars))"""
+ORACLE["coverage_ranges"] = select(RANGES, """SELECT symbol, min(day) AS "from", max(day) AS "to", CAST(count(*) AS INTEGER) AS days
+    FROM (SELECT *, day - CAST(row_number() OVER (PARTITION BY symbol ORDER BY day) AS INTEGER) AS run FROM gaps) GROUP BY symbol, run""")
+ORACLE["coverage_months"] = select(RANGES, """SELECT symbol, CAST(year(day) AS INTEGER) AS year, CAST(month(day) AS INTEGER) AS month, count(*) AS days
+    FROM gaps GROUP BY ALL""")
+ORACLE["covered_ranges"] = select(BARS, """SELECT ticker AS symbol, min(date) AS "from", max(date) AS "to", count(*) AS days FROM (
+    SELECT ticker, date, sum(starts) OVER (PARTITION BY ticker ORDER BY date) AS run FROM (
+        SELECT ticker, date, CASE WHEN date - lag(date) OVER (PARTITION BY ticker ORDER BY date) <= 3 THEN 0 ELSE 1 END AS starts FROM bars))
+    GROUP BY ticker, run""")
+ORACLE["bucketed_changes"] = select(CHANGED, f"SELECT ticker, date, {rs(('close', 'ldcp'), 8)}, {rs(('change', 'change_pct'), 2)} FROM changed")
+SCALED = STATE + ",\nsc AS (SELECT sp.ticker, sp.date, sp.split, sp.target, " + ", ".join(
+    f"(sp.{c} - s{i}.mean) / s{i}.scale AS {c}" for i, c in enumerate(SMALL)
+) + " FROM sp " + " ".join(f"JOIN state s{i} ON s{i}.ticker = sp.ticker AND s{i}.feature = '{c}'" for i, c in enumerate(SMALL)) + """),
+po AS (SELECT ticker, date, split, target AS y, count(*) OVER b AS n, """ + ", ".join(
+    [f"avg({c}) OVER b AS mean_{c}" for c in SMALL] + [f"lag({c}) OVER s AS last_{c}" for c in SMALL]
+) + """ FROM sc WINDOW s AS (PARTITION BY ticker, split ORDER BY date), b AS (PARTITION BY ticker, split ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)
+)"""
+POOLED = tuple(f"mean_{c}" for c in SMALL) + tuple(f"last_{c}" for c in SMALL)
+ORACLE["pooled_samples"] = select(SCALED, f"SELECT ticker, date, split, {rs(POOLED, 5)}, y FROM po WHERE n = 20")
+ORACLE["score_with_coefficients"] = select(SCALED + """,
+co AS (SELECT ticker, avg(y) - 0.5 AS base, """ + ", ".join(
+    f"coalesce(avg({c}) FILTER (y = 1) - avg({c}) FILTER (y = 0), 0.0) AS w_{c}" for c in POOLED
+) + " FROM po WHERE n = 20 AND split = 'train' GROUP BY ticker)", "SELECT po.ticker, date, split, round(1 / (1 + exp(-(base + "
+    + " + ".join(f"{c} * w_{c}" for c in POOLED) + "))), 6) + 0.0 AS prob_up FROM po LEFT JOIN co ON co.ticker = po.ticker WHERE n = 20")
 ORACLE["symbol_clean"] = r"""SELECT c_custkey, regexp_replace(upper(trim('  ' || lower(c_name) ||
     ['.ka ', '.PK', '.KA.KA', ''][c_custkey % 4 + 1])), '[.](KA|PK)$', '') AS symbol FROM customer"""
 A = roles.ANNOUNCEMENTS
@@ -716,3 +743,5 @@ ORACLE["stream_ohlc"] = """SELECT CAST(ts AS DATE) AS date, event_type AS ticker
     round(max(value), 6) + 0.0 AS high, round(min(value), 6) + 0.0 AS low,
     round(arg_max(value, row(ts, event_id)), 6) + 0.0 AS close, round(sum(1.0::DOUBLE), 6) + 0.0 AS volume
     FROM events GROUP BY ALL"""
+ORACLE["stream_corrected_sentiment"] = ORACLE["stream_daily_sentiment"]
+ORACLE["stream_corrected_ohlc"] = ORACLE["stream_ohlc"]

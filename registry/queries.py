@@ -16,7 +16,7 @@ from marketfeat.session import checkpointed, durable_path
 from marketfeat.sources import bars as bar_io
 from marketfeat.sources import news as news_io
 from marketfeat.sources import worklists
-from marketfeat.streaming import streams
+from marketfeat.streaming import corrections, streams
 from registry import roles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,6 +161,31 @@ def coverage_gaps(spark, sf):
     return worklists.coverage_gaps(work, have, ["symbol", "date"])
 
 
+def _spans(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The years 1995 to 1999 for every brand of the parts, and the days with bars."""
+    spans = roles.table(spark, sf, "part").select(F.col("p_brand").alias("symbol")).distinct().select(
+        "symbol", F.lit("1995-01-01").cast("date").alias("lo"), F.lit("1999-12-31").cast("date").alias("hi"))
+    return spans, roles.bars(spark, sf).select(F.col("ticker").alias("symbol"), "date")
+
+
+@query
+def coverage_ranges(spark, sf):
+    """Missing days of five years as ranges."""
+    return worklists.coverage_ranges(*_spans(spark, sf))
+
+
+@query
+def coverage_months(spark, sf):
+    """Months of the ranges, and how many days of each are missing."""
+    return worklists.month_ranges(worklists.coverage_ranges(*_spans(spark, sf)))
+
+
+@query
+def covered_ranges(spark, sf):
+    """Runs of days with bars; three days apart still belong to one run."""
+    return worklists.covered_ranges(_spans(spark, sf)[1], most=3)
+
+
 @query
 def date_range_mask(spark, sf):
     return rounded(worklists.in_range(roles.bars(spark, sf), "1997-01-01", "1998-06-30"), TD, ["close"])
@@ -175,6 +200,18 @@ def write_partitioned(spark, sf):
     return back.select("ticker", "date", r("close", 8), F.col("category").cast("string").alias("category"))
 
 
+@query
+def bucketed_changes(spark, sf):
+    """Bars and their changes stored by ticker in buckets, opened again and joined."""
+    root = durable_path(spark, "bucketed")
+    name = root.rsplit("-", 1)[1]
+    bars = bar_io.write_bucketed(roles.bars(spark, sf), f"bars_{name}", f"{root}/bars", 8)
+    changed = indicators.ldcp_change(bars).select(*TD, "ldcp", "change", "change_pct")
+    bar_io.write_bucketed(changed, f"changes_{name}", f"{root}/changes", 8)
+    changes = bar_io.open_bucketed(spark, f"again_{name}", f"{root}/changes", 8)
+    return bars.join(changes, TD).select(*TD, r("close", 8), r("ldcp", 8), r("change", 2), r("change_pct", 2))
+
+
 @query
 def write_scaler_state(spark, sf):
     path = durable_path(spark, "scaler")
@@ -944,6 +981,32 @@ def stacked_ensemble(spark, sf):
     return models.score_splits(models.fit_stack(samples, base, SMALL_STACK), samples)
 
 
+def _pooled(spark: SparkSession, sf: str) -> DataFrame:
+    scaled, _ = pipeline.scaled_splits(roles.labelled(spark, sf), roles.SMALL_FEATURES)
+    return models.pooled_samples(scaled, roles.SMALL_FEATURES)
+
+
+@query
+def pooled_samples(spark, sf):
+    """Pooled sequences of the scaled rows, by windows."""
+    names = models.pooled_names(roles.SMALL_FEATURES)
+    cells = [F.round(F.col("pooled")[i], 5) + F.lit(0.0) for i in range(len(names))]
+    return _pooled(spark, sf).select(*TD, "split", *[c.alias(n) for c, n in zip(cells, names)], F.col("y").cast("int").alias("y"))
+
+
+@query
+def score_with_coefficients(spark, sf):
+    """A coefficient row per ticker and feature, the difference of its means over rising and other train samples, scores all samples."""
+    samples, names = checkpointed(_pooled(spark, sf)), models.pooled_names(roles.SMALL_FEATURES)
+    long = samples.filter("split = 'train'").select(
+        F.col("ticker").alias("model"), "y", F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), "pooled")).alias("feature", "value"))
+    gap = F.avg(F.when(F.col("y") == 1, F.col("value"))) - F.avg(F.when(F.col("y") == 0, F.col("value")))
+    weights = long.groupBy("model", "feature").agg(gap.alias("weight"))
+    base = long.groupBy("model").agg((F.avg("y") - 0.5).alias("weight")).select("model", F.lit(models.INTERCEPT).alias("feature"), "weight")
+    scored = models.score_with_coefficients(samples, weights.unionByName(base), names, by="ticker")
+    return scored.select(*TD, "split", r("prob_up"))
+
+
 @query
 def score_splits(spark, sf):
     """The whole price pipeline: bars, features, scaling, sequences, model, metrics."""
@@ -983,3 +1046,31 @@ def stream_ohlc(spark, sf):
     drained = streams.drain(build(streams.read_stream(spark, sf, "events.parquet")))
     bars = streams.finish(drained, roles.table(spark, sf, "events"), build, "bar_start")
     return bars.select(F.col("bar_start").cast("date").alias("date"), "ticker", *[r(c, 8) for c in OHLC])
+
+
+def _shuffled(events: DataFrame) -> DataFrame:
+    """A stream of files that each hold rows of all days, one file a batch: most rows come late."""
+    root = durable_path(events.sparkSession, "events")
+    events.repartition(5, "event_id").write.parquet(root)
+    return events.sparkSession.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(root)
+
+
+@query
+def stream_corrected_sentiment(spark, sf):
+    """Daily means of events that come in any order; the rows so far are merged every second batch."""
+    events = roles.table(spark, sf, "events").select("event_id", "ts", "event_type", "value")
+    windows = corrections.daily_sentiment(spark, durable_path(spark, "daily"), "value", "event_type", "ts")
+    out = corrections.drain_corrected(_shuffled(events), windows, compact_every=2)
+    return corrections.with_mean(out).select("date", "category", r("mean_value"), "n")
+
+
+@query
+def stream_corrected_ohlc(spark, sf):
+    """Daily bars of events that come in any order, one batch of them taken in twice."""
+    events = roles.table(spark, sf, "events").select("event_id", "ts", "event_type", "value", F.lit(1.0).alias("volume"))
+    windows = corrections.ohlc(spark, durable_path(spark, "ohlc"), "1 day", "event_type", "value", "volume", "ts", ["event_id"])
+    half = F.col("event_id") % 2 == 0
+    corrections.drain_corrected(_shuffled(events.filter(half)), windows)
+    for _ in range(2):
+        windows.add(events.filter(~half), 1_000)
+    return windows.table().select(F.col("bar_start").cast("date").alias("date"), "ticker", *[r(c, 8) for c in OHLC])
