@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marketfeat.functions.markup import decode_entities
+
 
 def python_strip(col: Column) -> Column:
     """Trim every kind of white space at both ends, not only blanks."""
@@ -40,15 +42,6 @@ def primary_label(col: Column) -> Column:
     return F.element_at(F.split(col, r"\|"), 1)
 
 
-def decode_entities(col: Column) -> Column:
-    """The character entities that occur in link and cell texts; ``&amp;`` goes last."""
-    for entity, char in (
-        ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"),
-    ):
-        col = F.replace(col, F.lit(entity), F.lit(char))
-    return col
-
-
 def plain_text(html: Column) -> Column:
     """Text of an HTML fragment: tags dropped, entities decoded, trimmed."""
     return python_strip(decode_entities(F.regexp_replace(html, r"(?s)<[^>]*>", "")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketfeat.functions.markup import normal_form
 from marketfeat.functions.text import plain_text
 
 BAR_SCHEMA = T.StructType([
@@ -68,11 +69,13 @@ def parse_html_table(
 
     Rows without a date or a close are dropped. A page without the table gives no rows.
     """
-    body = F.regexp_extract("html", rf'(?is)<table[^>]*\bid="{table_id}"[^>]*>.*?<tbody[^>]*>(.*?)</tbody>', 1)
-    rows = pages.select("symbol", F.explode(F.regexp_extract_all(body, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1)).alias("row"))
+    wanted = rf'(?s)<table id="\Q{table_id}\E">.*?<tbody>(.*?)</tbody>'
+    body = F.regexp_extract(normal_form(F.col("html"), {"table": "id"}), wanted, 1)
+    # The outer form, as Spark tests what the plain one explodes for size first, which would split each page again.
+    rows = pages.select("symbol", F.explode_outer(F.regexp_extract_all(body, F.lit(r"(?s)<tr>(.*?)</tr>"), 1)).alias("row")).filter("row IS NOT NULL")
     cells = rows.select(
         "symbol",
-        F.transform(F.regexp_extract_all("row", F.lit(r"(?is)<td[^>]*>(.*?)</td>"), 1), plain_text).alias("cells"),
+        F.transform(F.regexp_extract_all("row", F.lit(r"(?s)<td>(.*?)</td>"), 1), plain_text).alias("cells"),
     ).filter(F.size("cells") >= len(columns) + 1)
     parsed = cells.select(
         parse_date(F.element_at("cells", 1), formats).alias("date"), F.col("symbol").alias("ticker"),

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketfeat.functions.markup import decode_entities, normal_form
 from marketfeat.functions.rules import AnnouncementRules
 from marketfeat.functions.text import canonical_url, plain_text, python_strip
 from marketfeat.operators.gates import is_bare_company, is_junk
@@ -81,16 +82,15 @@ def extract_links(
     pinned articles are left out. The URL comes out without query and trailing slash.
     ``keep`` names page columns to carry along.
     """
-    # A target stands in double quotes, single quotes or bare; the groups that a link doesn't use are empty.
-    anchor = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))[^>]*>(.*?)</a>"""
-    found = [F.regexp_extract_all("html", F.lit(anchor), i) for i in range(1, 5)]
-    joined = lambda a, b: F.concat(a, b)
-    href = F.zip_with(F.zip_with(found[0], found[1], joined), found[2], joined)
-    links = F.arrays_zip(href.alias("href"), found[3].alias("text"))
-    rows = pages.select(*keep, F.col("url").alias("_page"), F.explode(links).alias("_link")).select(
+    anchor = r'(?s)<a href="([^"]*+)">(.*?)</a>'
+    found = F.regexp_extract_all(normal_form(F.col("html"), {"a": "href"}), F.lit(anchor), F.lit(0))
+    href, text = (F.regexp_extract("_link", anchor, i) for i in (1, 2))
+    # The outer form, as Spark tests what the plain one explodes for size first, which would split each page again.
+    linked = pages.select(*keep, F.col("url").alias("_page"), F.explode_outer(found).alias("_link")).filter("_link IS NOT NULL")
+    rows = linked.select(
         *keep,
-        absolute_url(python_strip(F.col("_link.href")), F.col("_page")).alias("_href"),
-        plain_text(F.col("_link.text")).alias("title"),
+        absolute_url(python_strip(decode_entities(href)), F.col("_page")).alias("_href"),
+        plain_text(text).alias("title"),
     )
     wanted = F.col("_href").rlike(pattern) & (F.length("title") >= min_len)
     if exclude_ids:

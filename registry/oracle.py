@@ -567,6 +567,7 @@ links AS (SELECT page_id, CASE WHEN starts_with(href, '/') THEN site || href ELS
 SELECT page_id, regexp_replace(split_part(href, '?', 1), '/+$', '') AS url, title FROM links
 WHERE regexp_matches(href, 'example\.(?:com|org|net)/([^/?#]+)') AND length(title) >= 10
     AND regexp_extract(href, 'example\.(?:com|org|net)/([^/?#]+)', 1) NOT IN ('laleenéelle', 'about')"""
+ORACLE["extract_links_hidden"] = ORACLE["extract_links"]
 ORACLE["month_worklist"] = """SELECT symbol, year(m)::INTEGER AS year, month(m)::INTEGER AS month FROM (SELECT DISTINCT p_brand AS symbol FROM part),
     (SELECT unnest(generate_series(DATE '2010-01-01', DATE '2011-03-01', INTERVAL 1 MONTH)) AS m)"""
 ORACLE["date_worklist"] = """SELECT symbol, CAST(d AS DATE) AS date FROM (SELECT DISTINCT p_brand AS symbol FROM part),

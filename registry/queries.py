@@ -77,6 +77,18 @@ def extract_links(spark, sf):
     )
 
 
+@query
+def extract_links_hidden(spark, sf):
+    """The same links from pages that also hold links in comments and scripts, and ends of tags in attributes."""
+    hidden = '<a href="http://example.com/thing/1">a link that is not shown</a>'
+    html = F.replace("html", F.lit("<a href"), F.lit("""<a data-x='href="y"' title="1 > 0" href"""))
+    html = F.concat(F.lit(f"<!-- {hidden} --><script>var s = '{hidden}';</script>"), html, F.lit(f"<style>{hidden}</style><!-- {hidden}"))
+    pages = roles.table(spark, sf, "pages").withColumn("html", html)
+    return news_io.extract_links(
+        pages, r"example\.(?:com|org|net)/([^/?#]+)", exclude_ids=("laleenéelle", "about"), keep=("page_id",)
+    )
+
+
 @query
 def parse_html_table(spark, sf):
     """Price pages per ticker and month, made from the bars, parsed back."""
