@@ -62,6 +62,16 @@ def read_stream(
     return spark.readStream.format(fmt).schema(schema).option("pathGlobFilter", files).load(folder)
 
 
+def table_stream(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
+    """Stream of the table at ``path``, one file or a folder of files; without a schema, that of the files there now.
+
+    The path of a stream may not be a file, but a pattern may match one: the braces make it a pattern of one name.
+    """
+    folder, _, name = path.rstrip("/").rpartition("/")
+    schema = schema or spark.read.format(fmt).load(path).schema
+    return spark.readStream.format(fmt).schema(schema).option("basePath", folder or "/").load(f"{folder}/{{{name}}}")
+
+
 def drain(sdf: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Process what is there now, append it to a table, and return the table.
 

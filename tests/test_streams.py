@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from marketfeat.streaming import streams
+from registry.queries import QUERIES
 
 T0 = dt.datetime(2024, 1, 1)
 DDL = "id long, ts timestamp, category string, value double"
@@ -63,3 +64,31 @@ def test_ohlc(spark, tmp_path):
     bars = streams.drain(streams.stream_ohlc(sdf, "1 day", "category", "value", "volume", "ts", ["id"]), str(tmp_path / "out"), str(tmp_path / "c"))
     got = {(r["bar_start"].day, r["ticker"]): tuple(r)[2:] for r in bars.collect()}
     assert got == {(d + 1, "ab"[k]): (d + k, d + 8.0 + k, d + k, d + 8.0 + k, 10.0) for d in range(2) for k in (0, 1)}
+
+
+def test_a_table_is_a_file_or_a_folder_of_files(spark, tmp_path):
+    put(spark, str(tmp_path / "other.parquet"), rows_of([7]))
+    put(spark, str(tmp_path / "parts.parquet"), rows_of([0]))
+    part = next((tmp_path / "parts.parquet").glob("part-*"))
+    (tmp_path / "single.parquet").write_bytes(part.read_bytes())
+    put(spark, str(tmp_path / "parts.parquet"), rows_of([1]))
+    for d in (0, 1):
+        put(spark, str(tmp_path / f"keyed.parquet/key={d}"), rows_of([d]))
+
+    def run(name):
+        sdf = streams.table_stream(spark, str(tmp_path / name))
+        return streams.drain(sdf, str(tmp_path / f"out-{name}"), str(tmp_path / f"check-{name}"))
+
+    for name, days in (("single.parquet", [0]), ("parts.parquet", [0, 1]), ("keyed.parquet", [0, 1])):
+        assert sorted(r["id"] for r in run(name).collect()) == [r[0] for r in rows_of(days)]
+    assert all(r["id"] // 100 == r["key"] for r in run("keyed.parquet").collect())
+    put(spark, str(tmp_path / "parts.parquet"), rows_of([3]))
+    assert sorted(r["id"] for r in run("parts.parquet").collect()) == [r[0] for r in rows_of([0, 1, 3])]
+
+
+def test_the_gate_query_streams_a_table_of_several_files(spark, testdata, tmp_path):
+    docs = spark.read.parquet(f"{testdata}/documents.parquet")
+    docs.repartition(3, "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    run = QUERIES["stream_headline_gate"]
+    got = sorted(map(tuple, run(spark, str(tmp_path)).collect()))
+    assert got and got == sorted(map(tuple, run(spark, testdata).collect()))
