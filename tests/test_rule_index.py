@@ -3,9 +3,11 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from marketfeat.functions import runs
 from marketfeat.operators import rule_index
 
 RULES = "gate string, label string, priority int, phrase string"
@@ -95,3 +97,54 @@ def test_many_rules(spark):
     titles = spark.range(3000).select(F.col("id").cast("int").alias("id"), F.concat(F.lit("see the w"), (F.col("id") * 37).cast("string")).alias("title"))
     kept = rule_index.headline_gate_table(titles, rules, min_length=1, anchor=False)
     assert kept.count() == sum(i * 37 < 60_000 for i in range(3000))
+
+
+def test_runs_stay_in_their_line_and_equal_texts_have_equal_hashes():
+    lines = pa.array(["x", "", "the bank rate", "é the bank", "", "bank", "the bankrate", "a" * 5000 + " b"]).slice(1)
+    line, size, first, rest = runs.runs(lines, [1, 2, 3])
+    got = {}
+    for at, n, *h in zip(line.tolist(), size.tolist(), first.tolist(), rest.tolist()):
+        got.setdefault(tuple(h), set()).add((at, n))
+    texts = {}
+    for at, text in enumerate(lines.to_pylist()):
+        w = text.split()
+        for n in (1, 2, 3):
+            for i in range(len(w) - n + 1):
+                texts.setdefault(tuple(w[i:i + n]), set()).add((at, n))
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, texts.values()))
+    batch = pa.RecordBatch.from_pydict({"phrase": ["the bank", "bank", "the bank rate"]})
+    (hashed,) = runs.hash_lines([batch], [1, 2, 3])
+    assert [got[h % 2**64, r % 2**32] for h, r in zip(hashed["hash"].to_pylist(), hashed["rest"].to_pylist())] == [
+        texts["the", "bank"], texts["bank",], texts["the", "bank", "rate"]]
+
+
+def test_titles_and_rules_that_share_their_words_meet_in_no_product(spark, monkeypatch):
+    """Every pair of 60 words is a rule and every title has most of the words: each title meets its own pairs, not all."""
+    def met(found, rules):
+        out = run(found, rules)
+        assert sum(len(row["number"]) // 2 for row in found.to_pylist()) <= 2 * 200 * 100
+        return out
+
+    run = runs.met
+    monkeypatch.setattr(runs, "met", met)
+    rng = random.Random(4)
+    rules = [("category", f"w{a}", 1, f"w{a} w{b}") for a in range(60) for b in range(60)] + [("anchor", "x", 1, f"w{a}") for a in range(60)]
+    titles = [(i, " ".join(f"w{rng.randrange(70)}" for _ in range(100))) for i in range(200)]
+    df = spark.createDataFrame([(*t, "x", 1) for t in titles], TITLES)
+    want = {i: labels for i, (flags, labels) in decide(titles, rules).items() if {"anchor", "category"} <= flags}
+    assert {r["id"]: r["labels"] for r in rule_index.headline_gate_table(df, spark.createDataFrame(rules, RULES)).collect()} == want
+
+
+def test_long_phrases_slices_and_missing_priorities(spark, made, monkeypatch):
+    monkeypatch.setattr(rule_index, "GROUP_RUNS", 20)
+    monkeypatch.setattr(rule_index, "MOST_BUCKETS", 3)
+    long = " ".join(f"w{i}" for i in range(12))
+    titles = made[0] + [(600, f"see {long} there"), (601, " ".join(f"w{i}" for i in range(11)) + " w0"), (602, long.replace(" ", ", ")), (603, "the only rate")]
+    rules = made[1] + [("category", "long", 2, long), ("category", "b", 0, long), ("anchor", "a", 1, "w3 w4 w5 w6 w7 w8 w9 w10"), ("anchor", "a", 1, "w11 w0")]
+    none = [("category", "n", None, "only"), ("category", None, 3, "the"), ("category", "m", None, "only"), ("category", "m", 5, "only rate")]
+    got = {r["title"]: r["labels"] for r in rule_index.title_gates(
+        spark.createDataFrame([(*t, "x", 1) for t in titles], TITLES), spark.createDataFrame(rules + none, RULES)).collect()}
+    want = {title: labels or None for i, title in titles for flags, labels in [decide(titles, rules)[i]] if flags}
+    assert {t: got[t] for t in want if not {"only"} & set(split(t))} == {t: x for t, x in want.items() if not {"only"} & set(split(t))}
+    assert got["the only rate"].split("|")[0] == "n" and got["the only rate"].split("|")[-1] == "m"
+    assert "unknown words only here" in got and got["unknown words only here"] == "m|n"
