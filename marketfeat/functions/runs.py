@@ -13,7 +13,7 @@ import pyarrow as pa
 #: Bits of the filter of known runs. Its size is fixed: more runs let more others pass, none is lost.
 FILTER_BITS = 1 << 26
 #: Bytes and lines that are hashed at once.
-CHUNK_BYTES, CHUNK_LINES = 2 << 20, 1 << 16
+CHUNK_BYTES, CHUNK_LINES = 2 << 20, (1 << 16) - 1
 #: Bytes of a key.
 KEY = 16
 #: Keys that a task remembers, so that it does not hash the same line again.
@@ -97,21 +97,12 @@ def _pieces(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
         start = end
 
 
-def _planes(hashes: np.ndarray) -> bytes:
-    """The first byte of all, the second of all, and so on: of ascending numbers the high bytes hardly take space."""
-    return hashes.view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _from_planes(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
-
-
 def grouped_runs(
     batches: Iterable[pa.RecordBatch], sizes: Sequence[int], known: bytes, buckets: int, slices: int
 ) -> Iterator[pa.RecordBatch]:
     """The different runs of each ``line`` that pass the filter ``known``: one row for a group and some lines, with ``key`` of each.
 
-    A group is a slice of the lines and a range of the hashes.
+    A group is a slice of the lines and a range of the hashes. A hash is there once, with the ``count`` of its lines; ``number`` has them one after another.
     """
     bits, seen = np.frombuffer(known, np.uint8), set()
     for batch in batches:
@@ -136,18 +127,21 @@ def grouped_runs(
             line, first, rest = line[new], first[new], rest[new]
             bucket = ((first >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+            heads = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (rest[1:] != rest[:-1]))[:len(line)])
             base = int.from_bytes(keys[0].tobytes()[:4], "little") % slices * buckets
             rows = []
             for b in np.flatnonzero(np.diff(cuts)):
                 part = slice(cuts[b], cuts[b + 1])
+                head = heads[np.searchsorted(heads, cuts[b]):np.searchsorted(heads, cuts[b + 1])]
+                count = np.diff(np.append(head, cuts[b + 1])).astype(np.uint16)
                 there = np.zeros(len(keys), bool)
                 there[line[part]] = True
                 number = (np.cumsum(there) - 1).astype(np.uint16)
-                rows.append((base + int(b), keys[there].tobytes(), number[line[part]].tobytes(), _planes(first[part]), rest[part].tobytes()))
+                rows.append((base + int(b), keys[there].tobytes(), number[line[part]].tobytes(), count.tobytes(), first[head].tobytes(), rest[head].tobytes()))
             if rows:
-                kinds = [pa.int32(), *[pa.binary()] * 4]
+                kinds = [pa.int32(), *[pa.binary()] * 5]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["group", "keys", "number", "hash", "rest"])
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["group", "keys", "number", "count", "hash", "rest"])
 
 
 def met(found: pa.Table, rules: pa.Table) -> pa.Table:
@@ -167,10 +161,12 @@ def met(found: pa.Table, rules: pa.Table) -> pa.Table:
     priority = rules["priority"].fill_null(0).to_numpy()[order]
     keys, sizes, kinds, values, nulls = [], [], [], [], []
     for row in found.to_pylist():
-        first, rest = _from_planes(row["hash"]), np.frombuffer(row["rest"], np.uint32)
+        first, rest = np.frombuffer(row["hash"], np.uint64), np.frombuffer(row["rest"], np.uint32)
         left = np.searchsorted(hashes, first, side="left")
-        count = np.searchsorted(hashes, first, side="right") - left
-        run = np.repeat(np.arange(len(first)), count)
+        right = np.searchsorted(hashes, first, side="right")
+        once = np.repeat(np.arange(len(first)), np.frombuffer(row["count"], np.uint16))  # of each number its hash
+        left, count, rest = left[once], (right - left)[once], rest[once]
+        run = np.repeat(np.arange(len(once)), count)
         rule = np.arange(len(run)) + np.repeat(left - (np.cumsum(count) - count), count)
         same = others[rule] == rest[run]
         number, rule = np.frombuffer(row["number"], np.uint16)[run[same]], rule[same]

@@ -91,7 +91,7 @@ def run_hits(titles: DataFrame, known: DataFrame, sizes: Sequence[int]) -> DataF
     line = F.trim(F.regexp_replace(F.lower("title"), r"(?U)[^\w]+", " "))
     found = titles.select("key", line.alias("line")).mapInArrow(
         partial(runs.grouped_runs, sizes=sizes, known=bytes(bits), buckets=buckets, slices=slices),
-        "group int, keys binary, number binary, hash binary, rest binary")
+        "group int, keys binary, number binary, count binary, hash binary, rest binary")
     bucket = F.shiftrightunsigned(F.shiftrightunsigned("hash", 32) * F.lit(buckets), 32)
     dealt = rules.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).withColumn(
         "group", (F.col("slice") * buckets + bucket).cast("int")).drop("slice")
