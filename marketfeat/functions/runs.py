@@ -6,19 +6,22 @@ Two runs with the same hash count as the same: among 10^15 pairs of runs, a wron
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 
-#: Bits of the filter of known runs. Its size is fixed: more runs let more others pass, none is lost.
-FILTER_BITS = 1 << 26
-#: Bytes and lines that are hashed at once.
-CHUNK_BYTES, CHUNK_LINES = 2 << 20, (1 << 16) - 1
+#: Bits of the filter of known runs: so many a run, rounded up to a power of two, and least and most. With more runs than that more others pass, none is lost.
+BITS_A_RUN, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
+#: Bytes and lines that are hashed at once, and runs that pass the filter of one chunk of lines.
+CHUNK_BYTES, CHUNK_LINES, CHUNK_RUNS = 2 << 20, (1 << 16) - 1, 1_500_000
 #: Bytes of a key.
 KEY = 16
 #: Keys that a task remembers, so that it does not hash the same line again.
 SEEN = 200_000
 
+_ZSTD = pa.Codec("zstd", 1)
 _STEPS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -97,14 +100,79 @@ def _pieces(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
         start = end
 
 
+def packed(values: np.ndarray) -> bytes:
+    """The bytes of ``values``, all first ones, then all second ones and so on, each compressed by itself."""
+    planes = [_ZSTD.compress(p.tobytes(), asbytes=True) for p in np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T]
+    return b"".join(len(p).to_bytes(4, "little") for p in planes) + b"".join(planes)
+
+
+def unpacked(data: bytes, count: int, kind: type) -> np.ndarray:
+    """``count`` values of ``kind`` from what ``packed`` made of them."""
+    width = np.dtype(kind).itemsize
+    if not count:
+        return np.empty(0, kind)
+    ends = 4 * width + np.cumsum([0, *np.frombuffer(data, "<u4", width)])
+    out = np.empty((count, width), np.uint8)
+    for j in range(width):
+        out[:, j] = np.frombuffer(_ZSTD.decompress(data[ends[j]:ends[j + 1]], count, asbytes=True), np.uint8)
+    return out.reshape(-1).view(kind)
+
+
+def filter_bits(known: int) -> int:
+    """Bits of a filter of ``known`` runs, a power of two."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_RUN * known - 1).bit_length())) if known else LEAST_BITS
+
+
+def _chunk(keys: list[bytes], name: bytes, line: np.ndarray, first: np.ndarray, rest: np.ndarray, buckets: int, slices: int) -> pa.RecordBatch:
+    """The rows of some lines, one a group: each different hash once, as the difference to the one before, then its lines in the same way."""
+    order = np.argsort(first, kind="stable")  # a run of some size comes in the order of its lines
+    line, first, rest = line[order], first[order], rest[order]
+    new = np.append(True, (first[1:] != first[:-1]) | (line[1:] != line[:-1]) | (rest[1:] != rest[:-1]))
+    line, first, rest = line[new], first[new], rest[new]
+    heads = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (rest[1:] != rest[:-1])))
+    count = np.diff(np.append(heads, len(line))).astype(np.uint16)
+    step = np.diff(line, prepend=0)
+    step[heads] = line[heads]
+    first, rest, step = first[heads], rest[heads], step.astype(np.uint16)
+    bucket = ((first >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+    places = np.append(heads, len(line))
+    base = int.from_bytes(keys[0][:4], "little") % slices * buckets
+    there = np.flatnonzero(np.diff(cuts))
+    rows = []
+    for b in there:
+        part = slice(cuts[b], cuts[b + 1])
+        rows.append((
+            base + int(b), name, b"" if rows else b"".join(keys), 0 if rows else len(there), packed(step[places[cuts[b]]:places[cuts[b + 1]]]),
+            packed(count[part]), int(cuts[b + 1] - cuts[b]), packed(np.diff(first[part], prepend=np.uint64(0))), packed(rest[part])))
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
+        ["group", "chunk", "keys", "parts", "number", "count", "hashes", "hash", "rest"])
+
+
 def grouped_runs(
     batches: Iterable[pa.RecordBatch], sizes: Sequence[int], known: bytes, buckets: int, slices: int
 ) -> Iterator[pa.RecordBatch]:
-    """The different runs of each ``line`` that pass the filter ``known``: one row for a group and some lines, with ``key`` of each.
+    """The different runs of each ``line`` that pass the filter ``known``: one row for a group and a chunk of lines.
 
-    A group is a slice of the lines and a range of the hashes. A hash is there once, with the ``count`` of its lines; ``number`` has them one after another.
+    A group is a slice of the chunks and a range of the hashes. Only the first row of a chunk has the ``keys`` of its lines and in how many ``parts`` it went
+    to the groups. A chunk is named by its task, its number there and its keys.
     """
     bits, seen = np.frombuffer(known, np.uint8), set()
+    mask = np.uint64(8 * len(bits) - 1)
+    task = TaskContext.get()
+    keys, lines, passing, chunks = [], [], 0, 0
+
+    def flushed() -> Iterator[pa.RecordBatch]:
+        nonlocal passing, chunks
+        if passing:
+            name = blake2b(f"{task.partitionId() if task else 0} {chunks} ".encode() + b"".join(keys), digest_size=KEY).digest()
+            yield _chunk(keys, name, *(np.concatenate(x) for x in zip(*lines, strict=True)), buckets, slices)
+        chunks += 1
+        keys.clear(), lines.clear()
+        passing = 0
+
     for batch in batches:
         fresh = []
         for i, key in enumerate(batch.column("key").to_pylist()):
@@ -116,36 +184,20 @@ def grouped_runs(
         batch = batch.take(pa.array(fresh, pa.int64()))
         lengths = np.diff(np.frombuffer(batch.column("line").buffers()[1], np.int32)[:len(fresh) + 1]) if fresh else np.empty(0, int)
         for start, end in _pieces(lengths):
-            keys = np.frombuffer(b"".join(batch.column("key").slice(start, end - start).to_pylist()), f"V{KEY}")
             line, _, first, rest = runs(batch.column("line").slice(start, end - start), sizes)
-            at = first & np.uint64(FILTER_BITS - 1)
+            at = first & mask
             passed = np.flatnonzero((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
-            line, first, rest = line[passed], first[passed], rest[passed]
-            order = np.lexsort((line, first))
-            line, first, rest = line[order], first[order], rest[order]
-            new = np.append(True, (first[1:] != first[:-1]) | (line[1:] != line[:-1]) | (rest[1:] != rest[:-1]))[:len(line)]
-            line, first, rest = line[new], first[new], rest[new]
-            bucket = ((first >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-            heads = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (rest[1:] != rest[:-1]))[:len(line)])
-            base = int.from_bytes(keys[0].tobytes()[:4], "little") % slices * buckets
-            rows = []
-            for b in np.flatnonzero(np.diff(cuts)):
-                part = slice(cuts[b], cuts[b + 1])
-                head = heads[np.searchsorted(heads, cuts[b]):np.searchsorted(heads, cuts[b + 1])]
-                count = np.diff(np.append(head, cuts[b + 1])).astype(np.uint16)
-                there = np.zeros(len(keys), bool)
-                there[line[part]] = True
-                number = (np.cumsum(there) - 1).astype(np.uint16)
-                rows.append((base + int(b), keys[there].tobytes(), number[line[part]].tobytes(), count.tobytes(), first[head].tobytes(), rest[head].tobytes()))
-            if rows:
-                kinds = [pa.int32(), *[pa.binary()] * 5]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["group", "keys", "number", "count", "hash", "rest"])
+            if passing and (len(keys) + end - start > CHUNK_LINES or passing + len(passed) > CHUNK_RUNS):
+                yield from flushed()
+            some, line = np.unique(line[passed], return_inverse=True)
+            lines.append(((len(keys) + line).astype(np.int32), first[passed], rest[passed]))
+            keys.extend(batch.column("key").slice(start, end - start).take(pa.array(some)).to_pylist())
+            passing += len(passed)
+    yield from flushed()
 
 
 def met(found: pa.Table, rules: pa.Table) -> pa.Table:
-    """The rules of the runs of one group: a row for a key, with the least ``priority`` of each ``gate`` and ``label``."""
+    """The rules of the runs of one group: a row for a part of a chunk, with the least ``priority`` of each line, ``gate`` and ``label``."""
     rules = rules.combine_chunks()
     hashes = rules["hash"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
@@ -159,37 +211,68 @@ def met(found: pa.Table, rules: pa.Table) -> pa.Table:
     gates, labels, kind = rules["gate"].take(pa.array(example)), rules["label"].take(pa.array(example)), kind[order]
     none = rules["priority"].is_null().to_numpy()[order]
     priority = rules["priority"].fill_null(0).to_numpy()[order]
-    keys, sizes, kinds, values, nulls = [], [], [], [], []
+    out = []
     for row in found.to_pylist():
-        first, rest = np.frombuffer(row["hash"], np.uint64), np.frombuffer(row["rest"], np.uint32)
+        first = np.cumsum(unpacked(row["hash"], row["hashes"], np.uint64), dtype=np.uint64)
+        rest, size = unpacked(row["rest"], row["hashes"], np.uint32), unpacked(row["count"], row["hashes"], np.uint16).astype(np.int64)
+        ends = np.cumsum(size)
+        number = np.cumsum(unpacked(row["number"], int(ends[-1]), np.uint16), dtype=np.int64)
+        number -= np.repeat(np.append(0, number[ends[:-1] - 1]), size)
         left = np.searchsorted(hashes, first, side="left")
-        right = np.searchsorted(hashes, first, side="right")
-        once = np.repeat(np.arange(len(first)), np.frombuffer(row["count"], np.uint16))  # of each number its hash
-        left, count, rest = left[once], (right - left)[once], rest[once]
-        run = np.repeat(np.arange(len(once)), count)
-        rule = np.arange(len(run)) + np.repeat(left - (np.cumsum(count) - count), count)
-        same = others[rule] == rest[run]
-        number, rule = np.frombuffer(row["number"], np.uint16)[run[same]], rule[same]
-        place = np.lexsort((priority[rule], none[rule], kind[rule], number))
-        number, rule = number[place], rule[place]
-        once = np.flatnonzero(np.append(True, (number[1:] != number[:-1]) | (kind[rule[1:]] != kind[rule[:-1]]))[:len(number)])
-        number, rule = number[once], rule[once]
-        which, size = np.unique(number, return_counts=True)
-        keys.append(np.frombuffer(row["keys"], f"V{KEY}")[which])
-        sizes.append(size)
-        kinds.append(kind[rule])
-        values.append(priority[rule])
-        nulls.append(none[rule])
-    empty = [np.empty(0, int)]
-    key = b"".join(x.tobytes() for x in keys)
-    kinds, nulls = pa.array(np.concatenate(kinds or empty)), np.concatenate(nulls or [np.empty(0, bool)])
-    hits = pa.StructArray.from_arrays(
-        [_joined(gates.take(kinds)), _joined(labels.take(kinds)), pa.array(np.concatenate(values or empty).astype(np.int64), mask=nulls)], ["gate", "label", "priority"])
-    offsets = np.append(0, np.cumsum(np.concatenate(sizes or empty))).astype(np.int32)
-    binary = pa.FixedSizeBinaryArray.from_buffers(pa.binary(KEY), len(key) // KEY, [None, pa.py_buffer(key)]).cast(pa.binary())
-    return pa.table({"key": binary, "hits": pa.ListArray.from_arrays(pa.array(offsets), hits)})
+        head, rule = _ranges(left, np.searchsorted(hashes, first, side="right") - left)
+        same = others[rule] == rest[head]
+        head, rule = head[same], rule[same]
+        which, place = _ranges((ends - size)[head], size[head])
+        rule = rule[which]
+        number, which, values, nulls = _least(number[place], kind[rule], priority[rule], none[rule])
+        used, which = np.unique(which, return_inverse=True)
+        there = pa.array(used)
+        out.append({
+            "chunk": row["chunk"], "keys": row["keys"], "parts": row["parts"], "hits": len(number), "number": packed(np.diff(number, prepend=0).astype(np.uint16)),
+            "gates": gates.take(there).to_pylist(), "labels": labels.take(there).to_pylist(), "kind": packed(which.astype(np.uint32)),
+            "priority": packed(values.astype(np.int64)), "none": packed(nulls.astype(np.uint8))})
+    return pa.Table.from_pylist(out, MET)
+
+
+#: What the groups leave of each part of a chunk.
+MET = pa.schema([
+    ("chunk", pa.binary()), ("keys", pa.binary()), ("parts", pa.int32()), ("hits", pa.int32()), ("number", pa.binary()), ("gates", pa.list_(pa.string())),
+    ("labels", pa.list_(pa.string())), ("kind", pa.binary()), ("priority", pa.binary()), ("none", pa.binary()),
+])
+
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each place of the ranges that begin at ``starts``: the number of its range, and the place."""
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    return which, np.arange(len(which)) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
-def _joined(values: pa.ChunkedArray | pa.Array) -> pa.Array:
-    values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
-    return pa.concat_arrays(values.chunks) if isinstance(values, pa.ChunkedArray) else values
+
+def _least(number: np.ndarray, kind: np.ndarray, priority: np.ndarray, none: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One row a number and kind, in this order, with the least priority; none is the last."""
+    place = np.lexsort((priority, none, kind, number))
+    number, kind, priority, none = number[place], kind[place], priority[place], none[place]
+    once = np.flatnonzero(np.append(True, (number[1:] != number[:-1]) | (kind[1:] != kind[:-1]))[:len(number)])
+    return number[once], kind[once], priority[once], none[once]
+
+
+def of_chunk(found: pa.Table) -> pa.Table:
+    """The rules of the lines of one chunk, from all its parts: a row for a key, with the least ``priority`` of each ``gate`` and ``label``."""
+    rows = found.to_pylist()
+    if len(rows) != sum(row["parts"] for row in rows):
+        raise RuntimeError("a part of a chunk is missing: its titles were read again in another order")
+    keys = np.frombuffer(b"".join(row["keys"] for row in rows), f"V{KEY}")
+    codes: dict[tuple, int] = {}
+    parts = []
+    for row in rows:
+        code = np.array([codes.setdefault(x, len(codes)) for x in zip(row["gates"], row["labels"], strict=True)], np.int64)
+        n = row["hits"]
+        parts.append((
+            np.cumsum(unpacked(row["number"], n, np.uint16), dtype=np.int64), code[unpacked(row["kind"], n, np.uint32)],
+            unpacked(row["priority"], n, np.int64), unpacked(row["none"], n, np.uint8) > 0))
+    number, kind, priority, none = _least(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    which, sizes = np.unique(number, return_counts=True)
+    names = [pa.array([x[i] for x in codes], pa.string()).take(pa.array(kind)) for i in (0, 1)]
+    hits = pa.StructArray.from_arrays([*names, pa.array(priority, mask=none)], ["gate", "label", "priority"])
+    key = keys[which].tobytes()
+    binary = pa.FixedSizeBinaryArray.from_buffers(pa.binary(KEY), len(key) // KEY, [None, pa.py_buffer(key)]).cast(pa.binary())
+    return pa.table({"key": binary, "hits": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), hits)})

@@ -4,9 +4,10 @@ In ``gates`` rules become part of the query, one alternation a gate; that is fas
 ``(gate, label, priority, phrase)``, and neither the query nor a task grows with it:
 
 1. A title is known by its digest. Its runs of so many words as some phrase has are hashed, each different run once.
-2. A filter of fixed size drops most runs that are no phrase. More phrases let more runs pass; none is lost.
-3. Runs and phrases are dealt out by ranges of the hash and by slices of the titles. Each group is matched, and leaves one row a title with
-   the gates and labels met, so that the work grows with the words and the rules, not with their product.
+2. A filter of ``runs.BITS_A_RUN`` bits a phrase, and of ``runs.MOST_BITS`` at most, drops most runs that are no phrase. None that is one is lost.
+3. Titles go by chunks. Runs and phrases are dealt out by ranges of the hash and by slices of the chunks: a chunk leaves one row a group, with each
+   different hash once and the numbers of its titles, and their keys once in all, so that the rows don't grow with the number of groups. Each
+   group is matched, and the parts of a chunk are put together again. The work grows with the words and the rules, not with their product.
 4. A phrase of more than ``NEAR`` words is filed under the word of it that the fewest titles have, counted over the titles. A phrase with a
    word that no title has can't match. Titles, as one row a different word, meet these phrases by an equi-join on that word; the words
    of a phrase must stand in the title next to each other.
@@ -31,7 +32,7 @@ GATES = (
 )
 #: Words of the phrases that are looked up as runs of words.
 NEAR = 8
-#: Runs of a group, and ranges of the hash; beyond these, titles are dealt out by slices.
+#: Runs of a group, and ranges of the hash; beyond these, chunks are dealt out by slices.
 GROUP_RUNS, MOST_BUCKETS = 8_000_000, 1024
 
 
@@ -78,11 +79,12 @@ def run_hits(titles: DataFrame, known: DataFrame, sizes: Sequence[int]) -> DataF
     spark = titles.sparkSession
     near = known.filter(F.size(F.split("phrase", " ")).isin(*sizes))
     rules = checkpointed(near.mapInArrow(partial(runs.hash_lines, sizes=sizes), f"hash long, rest int, {_ddl(known)}").drop("phrase"))
-    at = F.col("hash").bitwiseAND(F.lit(runs.FILTER_BITS - 1))
+    size = runs.filter_bits(rules.count())
+    at = F.col("hash").bitwiseAND(F.lit(size - 1))
     page = 1 << 15  # bits of a bitmap
     pages = rules.groupBy(F.shiftright(at, 15).alias("page")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(page - 1))).alias("bits"))
-    bits = bytearray(runs.FILTER_BITS // 8)
-    for row in pages.collect():  # 8 MB, whatever the number of rules
+    bits = bytearray(size // 8)
+    for row in pages.collect():  # 32 MB at most, whatever the number of rules
         bits[row["page"] * page // 8:(row["page"] + 1) * page // 8] = row["bits"]
     chars = titles.agg(F.sum(F.length("title"))).first()[0] or 0
     groups = max(24, chars // 6 * len(sizes) // GROUP_RUNS + 1)
@@ -91,12 +93,13 @@ def run_hits(titles: DataFrame, known: DataFrame, sizes: Sequence[int]) -> DataF
     line = F.trim(F.regexp_replace(F.lower("title"), r"(?U)[^\w]+", " "))
     found = titles.select("key", line.alias("line")).mapInArrow(
         partial(runs.grouped_runs, sizes=sizes, known=bytes(bits), buckets=buckets, slices=slices),
-        "group int, keys binary, number binary, count binary, hash binary, rest binary")
+        "group int, chunk binary, keys binary, parts int, number binary, count binary, hashes int, hash binary, rest binary")
     bucket = F.shiftrightunsigned(F.shiftrightunsigned("hash", 32) * F.lit(buckets), 32)
     dealt = rules.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).withColumn(
         "group", (F.col("slice") * buckets + bucket).cast("int")).drop("slice")
-    hits = found.groupBy("group").cogroup(dealt.groupBy("group")).applyInArrow(
-        runs.met, "key binary, hits array<struct<gate: string, label: string, priority: bigint>>")
+    parts = found.groupBy("group").cogroup(dealt.groupBy("group")).applyInArrow(
+        runs.met, "chunk binary, keys binary, parts int, hits int, number binary, gates array<string>, labels array<string>, kind binary, priority binary, none binary")
+    hits = parts.groupBy("chunk").applyInArrow(runs.of_chunk, "key binary, hits array<struct<gate: string, label: string, priority: bigint>>")
     return hits.repartition("key").select("key", F.inline("hits"))
 
 

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -148,3 +149,75 @@ def test_long_phrases_slices_and_missing_priorities(spark, made, monkeypatch):
     assert {t: got[t] for t in want if not {"only"} & set(split(t))} == {t: x for t, x in want.items() if not {"only"} & set(split(t))}
     assert got["the only rate"].split("|")[0] == "n" and got["the only rate"].split("|")[-1] == "m"
     assert "unknown words only here" in got and got["unknown words only here"] == "m|n"
+
+
+def _hits(lines, rules, buckets, slices):
+    """What the groups and then the chunks make of ``lines`` (key, line) and ``rules`` (gate, label, priority, phrase), without Spark; and the rows of the groups."""
+    (hashed,) = runs.hash_lines([pa.RecordBatch.from_pydict({
+        "phrase": [r[3] for r in rules], "gate": [r[0] for r in rules], "label": pa.array([r[1] for r in rules], pa.string()),
+        "priority": pa.array([r[2] for r in rules], pa.int64())})], [1, 2])
+    batch = pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in lines], pa.binary()), "line": [x for _, x in lines]})
+    found = pa.Table.from_batches(list(runs.grouped_runs([batch], [1, 2], b"\xff" * 16, buckets, slices)))
+    group = ((hashed["hash"].to_numpy().view("u8") >> 32) * buckets) >> 32
+    parts = [runs.met(found.filter(pa.array([g == i for g in found["group"].to_pylist()])), pa.Table.from_batches([hashed]).filter(pa.array(group == i % buckets)))
+             for i in sorted(set(found["group"].to_pylist()))]
+    parts = pa.concat_tables(parts)
+    got = {}
+    for chunk in set(parts["chunk"].to_pylist()):
+        for row in runs.of_chunk(parts.filter(pa.array([c == chunk for c in parts["chunk"].to_pylist()]))).to_pylist():
+            assert row["key"] not in got
+            got[row["key"]] = {(h["gate"], h["label"]): h["priority"] for h in row["hits"]}
+            assert len(got[row["key"]]) == len(row["hits"])
+    return got, found, parts
+
+
+@pytest.mark.parametrize("chunk_runs, chunk_lines, buckets, slices", [(1_500_000, 65_535, 1, 1), (1_500_000, 65_535, 64, 1), (300, 65_535, 7, 3), (10**6, 9, 5, 2), (1, 1, 3, 1)])
+def test_chunks_and_groups_of_any_size_give_the_same(monkeypatch, chunk_runs, chunk_lines, buckets, slices):
+    monkeypatch.setattr(runs, "CHUNK_RUNS", chunk_runs)
+    monkeypatch.setattr(runs, "CHUNK_LINES", chunk_lines)
+    rng = random.Random(6)
+    lines = [(bytes([i]) + rng.randbytes(15), " ".join(f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(rng.randrange(30)))) for i in range(90)]
+    lines += [lines[5], lines[7], (b"e" * 16, ""), (b"z" * 16, "no rule has these")]
+    rules = [(rng.choice(["category", "anchor"]), rng.choice(["a", "b", None]), rng.choice([None, -3, 0, 5, 2**40]), f"w{a}" + f" w{b}" * (b < 40)) for a in range(40) for b in (a, a + 1, 50)]
+    want = {}
+    for key, line in lines:
+        for gate, label, priority, phrase in rules:
+            if f" {phrase} " in f" {line} ":
+                of = want.setdefault(key, {})
+                known = [p for p in (of.get((gate, label)), priority) if p is not None]
+                of[gate, label] = min(known) if known else None
+    assert _hits(lines, rules, buckets, slices)[0] == want
+
+
+def test_what_goes_to_the_groups_does_not_grow_with_their_number():
+    """The key of a title was once in each group that it went to, and so were its labels after the match."""
+    rng = random.Random(8)
+    lines = [(rng.randbytes(16), " ".join(f"w{rng.randrange(3000)}" for _ in range(300))) for _ in range(60)]
+    rules = [("category", "ab"[i % 2], i % 5, f"w{i}") for i in range(3000)]
+    for buckets in (1, 100):
+        got, found, parts = _hits(lines, rules, buckets, 1)
+        assert len(got) == 60
+        assert sum(map(len, found["keys"].to_pylist())) == 16 * 60 == sum(map(len, parts["keys"].to_pylist()))
+        assert parts.num_rows == found.num_rows <= buckets
+
+
+def test_a_lost_part_is_an_error():
+    lines = [(bytes([i]) * 16, " ".join(f"w{j}" for j in range(i, i + 50))) for i in range(9)]
+    _, _, parts = _hits(lines, [("anchor", "a", 1, f"w{i}") for i in range(60)], 8, 1)
+    runs.of_chunk(parts)
+    for at in range(parts.num_rows):
+        with pytest.raises(RuntimeError, match="missing"):
+            runs.of_chunk(parts.filter(pa.array([i != at for i in range(parts.num_rows)])))
+
+
+def test_packed_values_come_back():
+    for values in ([], [0], [2**63 - 1, -1, -(2**63)], list(range(-5, 3000))):
+        for kind in ("i8", "u8", "u4", "u2", "u1"):
+            given = np.array(values, "i8").astype(kind)
+            assert runs.unpacked(runs.packed(given), len(given), kind).tolist() == given.tolist()
+
+
+def test_the_filter_grows_with_the_phrases():
+    """Of fixed size, it let nearly every run pass with some ten million phrases."""
+    assert [runs.filter_bits(n) for n in (0, 1, 4096, 4097)] == [1 << 16, 1 << 16, 1 << 16, 1 << 17]
+    assert runs.filter_bits(16_000_000) == runs.filter_bits(10**9) == 1 << 28
